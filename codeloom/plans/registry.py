@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.plans import problems
+from codeloom.plans import base, graph_queries, problems  # noqa: F401
 
-QUERIES = {**problems.QUERIES}
-ORACLES = {**problems.ORACLES}
+QUERIES = {**problems.QUERIES, **base.QUERIES}
+ORACLES = {**problems.ORACLES, **base.ORACLES}
