@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from codeloom.runtime import work_area
+
 #: Labelled documents (the least hashes of their ids) and their characters that are used at most for fitting.
 LABELLED, LABELLED_CHARS = 6_000, 24_000_000
 #: Of a document's subject sentences, the share from which a subject counts.
@@ -75,13 +77,23 @@ class Words:
             return [seen[t] for t in TOKEN.findall(text)]
 
 
-def stream(texts: list[str], words: Words):
-    """Arrays over all texts: token, the token before it, number of its sentence, of its text; sentence ends are left out."""
+def numbered(texts: list[str], words: Words):
+    """Numbers of all texts in a row, and how many each text has."""
+    import numpy as np
+
+    parts = [words.number(t) for t in texts]
+    return np.array([n for p in parts for n in p], dtype=np.int32), np.array([len(p) for p in parts], dtype=np.int64)
+
+
+def stream(numbers, sizes):
+    """Arrays over all texts: token, the token before it, number of its sentence, starts and texts of sentences; sentence
+    ends are left out."""
     import numpy as np
 
-    parts = [np.array([STOP, *words.number(t)], dtype=np.int32) for t in texts]
-    token = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts]) if parts else np.zeros(0, int)
+    n = len(sizes)
+    token = np.full(len(numbers) + n, STOP, dtype=np.int32)  # every text starts with a sentence end
+    token[np.arange(len(numbers)) + np.repeat(np.arange(1, n + 1), sizes)] = numbers
+    doc = np.repeat(np.arange(n), sizes + 1)
     before = np.concatenate([[STOP], token[:-1]]).astype(np.int32) if len(token) else token
     ends = token == STOP
     sentence = np.cumsum(ends) - 1
@@ -103,29 +115,29 @@ class Models:
     of_word: object  # float32[size, subjects]: of a word in a bigram without an entry
     margin: float = 0.0
 
-    def sentences(self, texts: list[str], words: Words):
+    def sentences(self, numbers, sizes):
         import numpy as np
 
-        token, before, _, starts, doc = stream(texts, words)
+        token, before, _, starts, doc = stream(numbers, sizes)
         if not len(token):
             return np.zeros((0, len(self.subjects)), np.float32), doc
-        code = before.astype(np.int64) * words.size + token
+        code = before.astype(np.int64) * (len(self.vocabulary) + 2) + token
         at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
         hit = self.pairs[at] == code
         gain = np.where(hit[:, None], self.of_pair[at], self.of_word[token])
         return np.add.reduceat(gain, starts, axis=0), doc
 
-    def shares(self, texts: list[str], words: Words, margin: float | None = None):
+    def shares(self, numbers, sizes, margin: float | None = None):
         """Of each text: the number of sentences of each subject."""
         import numpy as np
 
-        gain, doc = self.sentences(texts, words)
-        counts = np.zeros((len(texts), len(self.subjects)))
+        gain, doc = self.sentences(numbers, sizes)
+        counts = np.zeros((len(sizes), len(self.subjects)))
         if not len(gain):
             return counts
         gain = gain - (self.margin if margin is None else margin)
         # a text's own mixture of subjects settles sentences that fit several
-        mix = np.full((len(texts), gain.shape[1]), 1 / gain.shape[1])
+        mix = np.full((len(sizes), gain.shape[1]), 1 / gain.shape[1])
         peak = np.maximum(gain.max(axis=1, keepdims=True), 0)
         likely, free = np.exp(gain - peak), np.exp(-peak[:, 0])
         for _ in range(MIX_ROUNDS):
@@ -158,7 +170,7 @@ def fit(texts: list[str], labels: list[set], subjects: list[str], vocabulary: li
     words = Words(vocabulary)
     s_at = {s: i for i, s in enumerate(subjects)}
     k = len(subjects)
-    token, before, sentence, starts, doc = stream(texts, words)
+    token, before, sentence, starts, doc = stream(*numbered(texts, words))
     code = before.astype(np.int64) * words.size + token
     pairs, pair = np.unique(code, return_inverse=True)
     pb, pt = (pairs // words.size).astype(np.int64), (pairs % words.size).astype(np.int64)
@@ -207,11 +219,11 @@ def calibrate(models: Models, texts: list[str], labels: list[set]) -> Models:
     """The margin under which accepted subjects agree best (F1) with the labels of held-out texts."""
     import numpy as np
 
-    words = Words(models.vocabulary)
+    text = numbered(texts, Words(models.vocabulary))
     want = np.array([[s in own for s in models.subjects] for own in labels])
     best = (-1.0, 0.0, MARGINS[0])
     for m in MARGINS:
-        got = accepted(models.shares(texts, words, m))
+        got = accepted(models.shares(*text, m))
         best = max(best, (2 * (want & got).sum() / max(1, want.sum() + got.sum()), -abs(m - TRAIN_MARGIN), m))
     models.margin = best[2]
     return models
@@ -226,34 +238,46 @@ def _vocabulary(texts: list[str], least: int = 2) -> list[str]:
     return sorted(w for w, c in n.items() if c >= least and w not in ".!?\n")
 
 
-def _background(documents: DataFrame, vocabulary: list[str]):
+def _numbers(documents: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(doc_id, numbers) of all documents with an id and a text: every text is read and split once."""
+    sent = documents.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def number(batches):
+        import pyarrow as pa
+
+        words = Words(sent.value)
+        for b in batches:
+            numbers, sizes = numbered(b.column(1).to_pylist(), words)
+            ends = pa.array([0, *sizes.cumsum()], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(numbers, pa.int32()))], ["doc_id", "numbers"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(number, f"doc_id {kind}, numbers array<int>")
+
+
+def _background(numbers: DataFrame, size: int):
     """The count of every vocabulary number over all documents."""
     import numpy as np
 
-    sent = documents.sparkSession.sparkContext.broadcast(vocabulary)
-
     def count(batches):
         import pyarrow as pa
 
-        words = Words(sent.value)
-        total = np.zeros(words.size, dtype=np.int64)
+        total = np.zeros(size, dtype=np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    total += np.bincount(words.number(t), minlength=words.size)
+            total += np.bincount(b.column(0).flatten().to_numpy(), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["number", "n"])
 
-    rows = documents.select("text").mapInArrow(count, "number int, n bigint").groupBy("number").agg(F.sum("n").alias("n")).collect()  # a row a vocabulary word
-    out = np.zeros(len(vocabulary) + 2)
+    rows = numbers.select("numbers").mapInArrow(count, "number int, n bigint").groupBy("number").agg(F.sum("n").alias("n")).collect()  # a row a vocabulary word
+    out = np.zeros(size)
     for r in rows:
         out[r["number"]] = r["n"]
     out[STOP] = 0
     return out
 
 
-def train(documents: DataFrame, subjects: DataFrame, labels: DataFrame, most: int = LABELLED) -> Models:
-    """Models from the labelled documents with the least hashes of doc_id, at most ``most`` (and ``LABELLED_CHARS``
+def train(documents: DataFrame, subjects: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[Models, DataFrame]:
+    """Models, and the numbered words of all documents. Trained from the labelled documents with the least hashes of doc_id, at most ``most`` (and ``LABELLED_CHARS``
     characters) of them, a fifth of which only calibrates; the background counts cover all documents."""
     names = sorted(r[0] for r in subjects.where("subject IS NOT NULL").select("subject").distinct().collect())
     said = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("own"))
@@ -268,8 +292,9 @@ def train(documents: DataFrame, subjects: DataFrame, labels: DataFrame, most: in
     all_texts = [r["text"] for r in fitted] + [d for d, _ in described]
     all_labels = [set(r["own"]) for r in fitted] + [s for _, s in described]
     vocabulary = _vocabulary(all_texts)
-    models = fit(all_texts, all_labels, names, vocabulary, _background(documents, vocabulary))
-    return calibrate(models, [r["text"] for r in held], [set(r["own"]) for r in held])
+    numbers = work_area(documents.sparkSession, "subjects").put(_numbers(documents, vocabulary), "numbers")
+    models = fit(all_texts, all_labels, names, vocabulary, _background(numbers, len(vocabulary) + 2))
+    return calibrate(models, [r["text"] for r in held], [set(r["own"]) for r in held]), numbers
 
 
 def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
@@ -281,7 +306,7 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     out_schema = f"doc_id {kind}, subject string, share double"
-    models = train(documents, subjects, labels, most)
+    models, numbers = train(documents, subjects, labels, most)
     if not models.subjects or not len(models.pairs):
         return spark.createDataFrame([], out_schema)
     sent = spark.sparkContext.broadcast(models)
@@ -291,14 +316,14 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
         import pyarrow as pa
 
         m = sent.value
-        words = Words(m.vocabulary)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for a in range(0, len(texts), 250):
-                counts = m.shares([t or "" for t in texts[a : a + 250]], words)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 250):
+                b = whole.slice(a, 250)
+                lists = b.column(1)
+                counts = m.shares(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64))
                 at, s = np.nonzero(accepted(counts))
                 share = counts[at, s] / counts.sum(axis=1)[at]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + a)), pa.array([m.subjects[x] for x in s], pa.string()), pa.array(share)], ["doc_id", "subject", "share"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([m.subjects[x] for x in s], pa.string()), pa.array(share)], ["doc_id", "subject", "share"])
 
-    found = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(judge, out_schema)
+    found = numbers.mapInArrow(judge, out_schema)
     return found.groupBy("doc_id", "subject").agg(F.max("share").alias("share"))
