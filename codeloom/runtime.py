@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def session(app: str = "codeloom", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -54,12 +55,19 @@ class WorkArea:
     def put(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         w = df.write.mode("overwrite").option("compression", "zstd")
         (w.partitionBy(*by) if by else w).parquet(self.path(name))
-        return self.get(name, df.schema if not by else None)
+        # the schema is given, so that a table without rows can be read; partition columns come last
+        fields = [f for f in df.schema.fields if f.name not in (by or [])] + [df.schema[c] for c in by or []]
+        return self.get(name, StructType(fields))
 
     def get(self, name: str, schema=None) -> DataFrame:
         r = self.spark.read
         return (r.schema(schema) if schema is not None else r).parquet(self.path(name))
 
+    def read(self, names: list[str], schema) -> DataFrame:
+        """The rows of those of the named folders that exist."""
+        there = [self.path(n) for n in names if (lambda fs, p: fs.exists(p))(*_fs(self.spark, self.path(n)))]
+        return self.spark.read.schema(schema).parquet(*there) if there else self.spark.createDataFrame([], schema)
+
     def bytes(self, name: str) -> int:
         fs, p = _fs(self.spark, self.path(name))
         return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
