@@ -91,7 +91,7 @@ def route(df: DataFrame, key: Column, by: Column, plan: LoadPlan) -> DataFrame:
     heavy, slots = plan.routing(df.sparkSession)
     d = df.withColumns({"bal_key": key, "bal_slot": _slot(key, len(plan.slots))})
     d = d.join(heavy, "bal_key", "left").join(slots, "bal_slot", "left")
-    shard = F.expr("bal_tasks").getItem(F.pmod(F.xxhash64(by), F.size("bal_tasks")).cast("int"))
+    shard = F.get("bal_tasks", F.pmod(F.xxhash64(by), F.size("bal_tasks")).cast("int"))
     d = d.withColumn("bal_task", F.coalesce(shard, F.col("bal_task"))).drop("bal_slot", "bal_tasks")
     return d.repartitionById(plan.tasks, F.col("bal_task"))
 
@@ -122,7 +122,7 @@ def distinct_counts(df: DataFrame, keys: list[str], item: str, tasks: int | None
     part = each.groupBy("bal_task", "tag").agg(F.count("*").alias("n"))
     whole = part.groupBy("tag").agg(F.sum("n").alias("n"))
     digits = r"^(\d+)"
-    field = F.array(*[F.lit(k) for k in keys]).getItem(F.regexp_extract("tag", digits, 1).cast("int"))
+    field = F.get(F.array(*[F.lit(k) for k in keys]), F.regexp_extract("tag", digits, 1).cast("int"))
     rest = F.regexp_replace("tag", digits, "")
     return whole.select(field.alias("key_field"), F.when(rest.startswith("+"), F.substr(rest, F.lit(2))).alias("key_item"), F.col("n").cast("bigint").alias("n"))
 
