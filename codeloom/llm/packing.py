@@ -4,7 +4,7 @@ Texts are measured with a public tokenizer. Longer ones are cut into full window
 remainders are spread over batches of about ``WINDOWS`` windows each, and every batch is partitioned by itself: partial
 partitions start as single items, the two with the widest spread are merged with opposing imbalances (the fullest part
 of one with the emptiest of the other) until one is left, whose parts are near-equal. Starting from the least possible
-number of windows, the number rises while any window exceeds the capacity.
+number of windows, single items are exchanged where a window exceeds the capacity, and the number rises while any does.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from codeloom.runtime import work_area
 
 CAPACITY, WINDOWS = 2048, 256
+#: Parts tried, and items of two parts regrouped together, where no single swap helps.
+SHARED, SUBSETS = 40, 12
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern published with that vocabulary (fixed value).
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -98,26 +100,97 @@ def difference(sizes: list[int], m: int) -> list[list[int]]:
     return out
 
 
+def level(sizes: list[int], parts: list[list[int]], capacity: int) -> list[list[int]] | None:
+    """The parts with items exchanged until none exceeds the capacity, or None if that does not succeed.
+
+    The fullest part swaps one of its items for a smaller one (or nothing) of a part with room, the swap that takes most
+    off the excess of all parts; where none does, a few items of two parts are regrouped. Every step lessens the excess.
+    """
+    import numpy as np
+
+    m, n = len(parts), len(sizes)
+    size = np.array([*sizes, *[0] * m], dtype=np.int64)  # the last m stand for nothing, one a part
+    at = np.empty(n + m, dtype=np.int64)
+    for w, p in enumerate(parts):
+        at[p] = w
+    at[n:] = np.arange(m)
+    total = np.bincount(at, weights=size, minlength=m).astype(np.int64)
+    moved: set[int] = set()
+    while total.max() > capacity:
+        o = int(total.argmax())
+        excess = total[o] - capacity
+        mine = np.flatnonzero(at[:n] == o)
+        d = size[mine][:, None] - size[None, :]
+        room = capacity - total[at]
+        room[at == o] = -1
+        # what the swap takes off the excess of all parts; the other part may come to exceed by less than this one did
+        gain = np.where((d > 0) & (room > 0), np.minimum(d, excess) - np.maximum(d - room, 0), 0)
+        if gain.max() > 0:
+            i, j = divmod(int((gain * (2 * capacity) - d).argmax()), n + m)
+        else:
+            # no single swap helps: of both parts together, the items that fill the other one best, by all subsets of a few
+            done = False
+            for u in np.argsort(total)[:SHARED].tolist():
+                room_u = capacity - total[u]
+                if u == o or room_u <= 0:
+                    break
+                both = np.concatenate([mine[np.argsort(size[mine])][: SUBSETS // 2], np.flatnonzero(at[:n] == u)[: SUBSETS // 2]])
+                bits = (np.arange(1 << len(both))[:, None] >> np.arange(len(both))) & 1
+                fixed = total[u] - size[both[at[both] == u]].sum()
+                sums = bits @ size[both] + fixed
+                sums[(sums <= total[u]) | (sums > total[u] + min(room_u, excess))] = -1
+                k = int(sums.argmax())
+                if sums[k] > 0:
+                    total[o] -= sums[k] - total[u]
+                    total[u] = sums[k]
+                    at[both] = np.where(bits[k] == 1, u, o)
+                    done = True
+                    break
+            if not done:
+                # the smallest item goes to the part with most room, which has other items to go on with; once a part
+                if o in moved or len(mine) < 2:
+                    return None
+                moved.add(o)
+                x, u = mine[size[mine].argmin()], int(total.argmin())
+                at[x] = u
+                total[o] -= size[x]
+                total[u] += size[x]
+            continue
+        x, u = mine[i], at[j]
+        step = d[i, j]
+        at[x] = u
+        if j < n:
+            at[j] = o
+        total[o] -= step
+        total[u] += step
+    out: list[list[int]] = [[] for _ in range(m)]
+    for i, w in enumerate(at[:n].tolist()):
+        out[w].append(i)
+    return out
+
+
 def windows_for(sizes: list[int], capacity: int) -> list[list[int]]:
-    """The parts of the least number of windows (by galloping, then halving) at which none exceeds the capacity."""
+    """Parts that do not exceed the capacity: differencing into the least possible number of windows, levelled where it
+    exceeds; the number rises (galloping, then halving back) while that does not succeed."""
     if not sizes:
         return []
-    fits = lambda parts: max(sum(sizes[i] for i in p) for p in parts) <= capacity
+
+    def attempt(m):
+        parts = difference(sizes, m)
+        parts += [[] for _ in range(m - len(parts))]
+        return level(sizes, parts, capacity)
+
     m = max(1, math.ceil(sum(sizes) / capacity), sum(s * 2 > capacity for s in sizes))
     bad, step = m - 1, 1
-    while True:
-        parts = difference(sizes, m)
-        if fits(parts):
-            break
+    while (parts := attempt(m)) is None:
         bad, m, step = m, min(len(sizes), m + step), step * 2
     while m - bad > 1:
         mid = (m + bad) // 2
-        tried = difference(sizes, mid)
-        if fits(tried):
-            m, parts = mid, tried
-        else:
+        if (tried := attempt(mid)) is None:
             bad = mid
-    return parts
+        else:
+            m, parts = mid, tried
+    return [p for p in parts if p]
 
 
 def pack(texts: DataFrame, key: str, text: str, capacity: int = CAPACITY, windows: int = WINDOWS, path: str = TOKENIZER) -> DataFrame:

@@ -306,8 +306,10 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     out_schema = f"doc_id {kind}, subject string, share double"
+    if subjects.where("subject IS NOT NULL").isEmpty():
+        return spark.createDataFrame([], out_schema)
     models, numbers = train(documents, subjects, labels, most)
-    if not models.subjects or not len(models.pairs):
+    if not len(models.pairs):
         return spark.createDataFrame([], out_schema)
     sent = spark.sparkContext.broadcast(models)
 
