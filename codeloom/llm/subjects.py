@@ -220,7 +220,7 @@ def calibrate(models: Models, texts: list[str], labels: list[set]) -> Models:
     import numpy as np
 
     text = numbered(texts, Words(models.vocabulary))
-    want = np.array([[s in own for s in models.subjects] for own in labels])
+    want = np.array([[s in own for s in models.subjects] for own in labels], dtype=bool).reshape(len(labels), len(models.subjects))
     best = (-1.0, 0.0, MARGINS[0])
     for m in MARGINS:
         got = accepted(models.shares(*text, m))
