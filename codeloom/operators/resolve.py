@@ -1,13 +1,14 @@
 """Unresolved references bound to symbols by a cascade of strategies.
 
-A reference meets all symbols of its name; each strategy is a flag on the pair and its count over the reference decides:
-the first strategy that leaves exactly one candidate wins. Names borne by one symbol only are settled before the
-cascade and never enter a window.
+A strategy looks at the candidates of a name in one scope (the file, the directory, all that are no fixtures, ...). The
+candidates of every (name, scope) are first reduced to their number and their least and greatest id, which is all that
+is needed to tell whether exactly one is left besides the caller itself; references then meet these aggregates by
+equi-join. References are never multiplied by candidates, however common a name is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
@@ -41,46 +42,61 @@ def placeholders(g: Graph) -> DataFrame:
     )
 
 
+def _sole(n, low, high):
+    """The only candidate besides the caller, else null."""
+    src = F.col("src_id")
+    return F.when((n == 1) & (low != src), low).when((n == 2) & (low == src), high).when((n == 2) & (high == src), low)
+
+
 def resolve(g: Graph) -> DataFrame:
-    """(edge_id, src_id, dst_id, strategy, confidence) of the references that bind to exactly one symbol."""
+    """(edge_id, src_id, dst_id, strategy, confidence) of the references that bind to exactly one symbol.
+
+    The first strategy that leaves exactly one candidate wins; the caller is never a candidate. Names borne by one
+    symbol only are settled as ``unique``; the further strategies see names with several.
+    """
     r = placeholders(g)
     owner = F.when(F.col("parent_id").startswith("sym:"), F.substring_index("parent_id", ":", -1)).otherwise(F.col("parent_id"))
-    s = g.symbols.select(F.col("repo_id").alias("ref_repo"), "name", F.col("id").alias("cand"), F.col("path").alias("cand_path"), F.col("kind").alias("cand_kind"), owner.alias("cand_owner"))
-    names = r.select("ref_repo", "name").distinct()
-    s = s.join(names, ["ref_repo", "name"], "left_semi")  # only names that are asked for are counted
-    n = s.groupBy("ref_repo", "name").agg(F.count("*").alias("n_cand"), F.min("cand").alias("only"))
-    r = r.join(n, ["ref_repo", "name"])
-    sole = r.where("n_cand = 1 AND only <> src_id").select("edge_id", "src_id", F.col("only").alias("dst_id"), F.lit("unique").alias("strategy"))
-    many = r.where("n_cand > 1").drop("only", "n_cand").join(s, ["ref_repo", "name"]).where("cand <> src_id")
-    modules = g.edges.where("kind = 'imports' AND dst_id LIKE 'mod:%'").select(F.regexp_extract("src_id", r"^file:([^:]*):", 1).alias("ref_repo"), paths.id_path(F.col("src_id")).alias("ref_path"), F.regexp_extract("dst_id", r"^mod:[^:]*:(.*)$", 1).alias("module"))
-    # an import names a candidate's file without extension, or its directory: both become keys of an equi-join
-    keys = many.select("edge_id", "ref_repo", "ref_path", "cand", F.explode(F.array(paths.strip_extension(F.col("cand_path")), paths.dirname(F.col("cand_path")))).alias("module"))
-    imported = keys.join(modules, ["ref_repo", "ref_path", "module"], "left_semi").select("edge_id", "cand").distinct().withColumn("is_imported", F.lit(True))
-    many = many.join(imported, ["edge_id", "cand"], "left")
-    lower = F.lower("cand_path")
-    flags = {
-        "unique": F.lit(True),
-        "recv_type": F.col("recv").isNotNull() & (F.col("cand_owner") == F.substring_index("recv", ".", -1)),
-        "type_kind": F.col("edge_kind").isin("inherits", "implements") & F.col("cand_kind").isin("class", "interface", "struct"),
-        "same_file": F.col("cand_path") == F.col("ref_path"),
-        "import": F.coalesce("is_imported", F.lit(False)),
-        "same_dir": paths.dirname(F.col("cand_path")) == paths.dirname(F.col("ref_path")),
-        "same_subtree": (paths.subtree_root(F.col("ref_path")) != "") & (paths.subtree_root(F.col("cand_path")) == paths.subtree_root(F.col("ref_path"))),
-        "non_fixture": ~lower.rlike(paths.FIXTURE),
-        "non_vendor": ~lower.rlike(paths.VENDOR),
-        "impl_over_decl": lower.rlike(r"\.(c|cc|cpp|cxx)$"),
-    }
-    w = Window.partitionBy("edge_id")
-    cols = {f"f{i}": F.coalesce(flags[k], F.lit(False)) for i, k in enumerate(STRATEGIES)}
-    many = many.withColumns(cols).withColumns({f"n{i}": F.count_if(f"f{i}").over(w) for i in range(len(STRATEGIES))})
-    first = F.coalesce(*[F.when(F.col(f"n{i}") == 1, F.lit(i)) for i in range(len(STRATEGIES))])
-    chosen = F.lit(False)
-    for i in range(len(STRATEGIES)):
-        chosen = chosen | ((first == i) & F.col(f"f{i}"))
-    label = F.element_at(F.array(*[F.lit(k) for k in STRATEGIES]), first + 1)
-    won = many.where(chosen).select("edge_id", "src_id", F.col("cand").alias("dst_id"), label.alias("strategy"))
+    s = g.symbols.select(F.col("repo_id").alias("ref_repo"), "name", F.col("id").alias("cand"), "path", "kind", owner.alias("owner"))
+    s = s.join(r.select("ref_repo", "name").distinct(), ["ref_repo", "name"], "left_semi")  # only names that are asked for
+    lower = F.lower("path")
+    name = ["ref_repo", "name"]
+
+    def reduced(d: DataFrame, i: int, *scope: str) -> DataFrame:
+        return d.groupBy(*name, *scope).agg(F.count("*").alias(f"n{i}"), F.min("cand").alias(f"low{i}"), F.max("cand").alias(f"high{i}"))
+
+    when = lambda c: F.when(F.coalesce(c, F.lit(False)), F.col("cand"))
+    of_name = {
+        "unique": F.col("cand"), "type_kind": when(F.col("kind").isin("class", "interface", "struct")), "non_fixture": when(~lower.rlike(paths.FIXTURE)),
+        "non_vendor": when(~lower.rlike(paths.VENDOR)), "impl_over_decl": when(lower.rlike(r"\.(c|cc|cpp|cxx)$")),
+    }
+    at = STRATEGIES.index
+    by_name = s.groupBy(*name).agg(*[x for k, c in of_name.items() for x in (F.count(c).alias(f"n{at(k)}"), F.min(c).alias(f"low{at(k)}"), F.max(c).alias(f"high{at(k)}"))])
+    r = r.join(by_name, name)
+    r = r.withColumns({"dir": paths.dirname(F.col("ref_path")), "root": F.nullif(paths.subtree_root(F.col("ref_path")), F.lit("")), "recv_owner": F.substring_index("recv", ".", -1)})
+    scopes = (
+        ("recv_type", s.withColumn("recv_owner", F.col("owner")), "recv_owner"), ("same_file", s.withColumn("ref_path", F.col("path")), "ref_path"),
+        ("same_dir", s.withColumn("dir", paths.dirname(F.col("path"))), "dir"), ("same_subtree", s.withColumn("root", F.nullif(paths.subtree_root(F.col("path")), F.lit(""))), "root"),
+    )
+    for k, d, scope in scopes:
+        r = r.join(reduced(d.where(F.col(scope).isNotNull()), at(k), scope), [*name, scope], "left")
+    # an import names a candidate's file without extension, or its directory
+    modules = g.edges.where("kind = 'imports' AND dst_id LIKE 'mod:%'").select(F.regexp_extract("src_id", r"^file:([^:]*):", 1).alias("ref_repo"), paths.id_path(F.col("src_id")).alias("ref_path"), F.regexp_extract("dst_id", r"^mod:[^:]*:(.*)$", 1).alias("module")).distinct()
+    i = at("import")
+    keyed = s.withColumn("module", F.explode(F.array_distinct(F.array(paths.strip_extension(F.col("path")), paths.dirname(F.col("path"))))))
+    per_file = reduced(keyed, i, "module").join(modules, ["ref_repo", "module"]).groupBy(*name, "ref_path")
+    # the same candidate by file and by directory is one: then least and greatest are equal
+    per_file = per_file.agg(F.when(F.min(f"low{i}") == F.max(f"high{i}"), F.lit(1)).otherwise(F.sum(f"n{i}")).alias(f"n{i}"), F.min(f"low{i}").alias(f"low{i}"), F.max(f"high{i}").alias(f"high{i}"))
+    r = r.join(per_file, [*name, "ref_path"], "left")
+
+    sole = {k: _sole(F.col(f"n{at(k)}"), F.col(f"low{at(k)}"), F.col(f"high{at(k)}")) for k in STRATEGIES}
+    sole["type_kind"] = F.when(F.col("edge_kind").isin("inherits", "implements"), sole["type_kind"])
+    # a name with one symbol is settled at once, for better or worse
+    first = F.when(F.col("n0") == 1, F.when(sole["unique"].isNotNull(), 0)).otherwise(F.coalesce(*[F.when(sole[k].isNotNull(), F.lit(at(k))) for k in STRATEGIES]))
+    r = r.withColumn("pick", first).where("pick IS NOT NULL")
     table = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])
-    return sole.unionByName(won).withColumn("confidence", F.element_at(table, F.col("strategy")))
+    chosen = F.coalesce(*[F.when(F.col("pick") == at(k), sole[k]) for k in STRATEGIES])
+    label = F.element_at(F.array(*[F.lit(k) for k in STRATEGIES]), F.col("pick") + 1)
+    return r.select("edge_id", "src_id", chosen.alias("dst_id"), label.alias("strategy")).withColumn("confidence", F.element_at(table, F.col("strategy")))
 
 
 def resolution_stats(g: Graph) -> DataFrame:

@@ -67,12 +67,13 @@ def disambiguate(g: Graph, names: DataFrame, margin: float = 2.0) -> DataFrame:
     s = g.symbols.join(names.select("name").distinct(), "name", "left_semi").select("id", "name", paths.path_flag("fixture", F.col("path")).alias("fixture"))
     callers = g.edges.where(F.col("kind").isin(REFERENCES)).select("dst_id", "src_id").distinct().groupBy(F.col("dst_id").alias("id")).agg(F.count("*").alias("fan_in"))
     s = s.join(callers, "id", "left").na.fill(0, ["fan_in"])
-    w = Window.partitionBy("name")
-    s = s.withColumn("n", F.count("*").over(w)).withColumn("n_own", F.count_if(~F.col("fixture")).over(w))
-    o = w.orderBy(F.desc("fan_in"), "id")
-    s = s.withColumn("next", F.lead("fan_in").over(o)).withColumn("r", F.row_number().over(o))
-    how = F.when(F.col("n") == 1, "only").when((F.col("n_own") == 1) & ~F.col("fixture"), "non_fixture").when((F.col("n_own") != 1) & (F.col("r") == 1) & (F.col("fan_in") > 0) & (F.col("fan_in") >= F.coalesce("next", F.lit(0)) * margin), "fan_in")
-    return s.select("name", "id", how.alias("how")).where("how IS NOT NULL")
+    n = s.groupBy("name").agg(F.count("*").alias("n"), F.count_if(~F.col("fixture")).alias("n_own"), F.min(F.when(~F.col("fixture"), F.col("id"))).alias("own"))
+    # two rows a name at most: the rank filter is applied before the shuffle too
+    best = s.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("fan_in"), "id"))).where("r <= 2")
+    best = best.groupBy("name").agg(F.max(F.when(F.col("r") == 1, F.col("id"))).alias("top"), F.max(F.when(F.col("r") == 1, F.col("fan_in"))).alias("fan_in"), F.max(F.when(F.col("r") == 2, F.col("fan_in"))).alias("next"))
+    d = n.join(best, "name")
+    how = F.when(F.col("n") == 1, "only").when(F.col("n_own") == 1, "non_fixture").when((F.col("fan_in") > 0) & (F.col("fan_in") >= F.coalesce("next", F.lit(0)) * margin), "fan_in")
+    return d.select("name", F.when(how == "non_fixture", F.col("own")).otherwise(F.col("top")).alias("id"), how.alias("how")).where("how IS NOT NULL")
 
 
 def promoted_methods(methods: DataFrame, embeds: DataFrame, depth: int = 4) -> DataFrame:
@@ -89,8 +90,8 @@ def promoted_methods(methods: DataFrame, embeds: DataFrame, depth: int = 4) -> D
         if front.isEmpty():
             break
     r = methods.sparkSession.read.parquet(*levels).join(methods.select(F.col("type").alias("at"), "method", "id"), "at")
-    w = Window.partitionBy("type", "method")
-    r = r.withColumn("least", F.min("depth").over(w)).where("depth = least").withColumn("n", F.count("*").over(w)).where("n = 1")
+    r = r.groupBy("type", "method", "depth").agg(F.count("*").alias("n"), F.min("id").alias("id")).groupBy("type", "method").agg(F.min(F.struct("depth", "n", "id")).alias("b"))
+    r = r.where("b.n = 1").select("type", "method", "b.id", "b.depth")
     return r.join(methods.select("type", "method"), ["type", "method"], "left_anti").select("type", "method", "id", "depth")
 
 

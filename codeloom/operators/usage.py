@@ -41,9 +41,20 @@ def search_memory(rows: DataFrame, query: str, latest: int = 200, k: int = 10) -
     return last.select("id", F.round(score, 6).alias("score"), "weight").where("score > 0").orderBy(F.desc("score"), F.desc("weight"), "id").limit(k)
 
 
-def sessions(events: DataFrame, gap_s: int) -> DataFrame:
-    """events(user, ts) -> (user, session, n, first_ts, last_ts), cut where nothing happens for longer than the gap."""
-    w = Window.partitionBy("user").orderBy("ts", "id")
-    new = F.coalesce((F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)) > gap_s * 1_000_000, F.lit(True))
-    d = events.withColumn("new", new.cast("int")).withColumn("session", F.sum("new").over(w))
-    return d.groupBy("user", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+def sessions(events: DataFrame, gap_s: int, span_s: int = 86_400) -> DataFrame:
+    """events(user, ts, id) -> (user, session, n, first_ts, last_ts), cut where nothing happens for longer than the gap.
+
+    Events without a user or time are left out. Breaks are found within spans of time first, then between the spans of a user, so that a user with a third of all
+    events is sorted span by span and only one row a span meets in one task.
+    """
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = events.where("user IS NOT NULL AND ts IS NOT NULL").select("user", "ts", "id", us.alias("us"), F.floor(us / (span_s * 1_000_000)).alias("span"))
+    w = Window.partitionBy("user", "span").orderBy("us", "id")
+    e = e.withColumn("new", (F.coalesce(F.col("us") - F.lag("us").over(w), F.lit(0)) > gap_s * 1_000_000).cast("bigint"))
+    e = e.withColumn("local", F.sum("new").over(w))
+    spans = e.groupBy("user", "span").agg(F.min("us").alias("a"), F.max("us").alias("b"), F.max("local").alias("breaks"))
+    u = Window.partitionBy("user").orderBy("span")
+    spans = spans.withColumn("gap", F.coalesce((F.col("a") - F.lag("b").over(u)) > gap_s * 1_000_000, F.lit(True)).cast("bigint"))
+    spans = spans.withColumn("base", F.sum("gap").over(u) + F.coalesce(F.sum("breaks").over(u.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    d = e.join(spans.select("user", "span", "base"), ["user", "span"])
+    return d.groupBy("user", (F.col("base") + F.col("local")).alias("session")).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
