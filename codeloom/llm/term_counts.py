@@ -61,8 +61,8 @@ class TermCounts:
         changed = after.where("touched AND NOT (was <=> now)")
         signed = changed.where("was IS NOT NULL").select(F.lit(-1).alias("sign"), F.col("was").alias("entries")).unionByName(changed.where("now IS NOT NULL").select(F.lit(1).alias("sign"), F.col("now").alias("entries")))
         delta = self._changes(signed).where("occurrences <> 0 OR records <> 0")
-        delta = area.put(delta.withColumn("bucket", F.pmod(F.xxhash64("source_field", "item"), F.lit(self.buckets)).cast("int")), f"delta{self.turn}")
-        touched = [r[0] for r in delta.select("bucket").distinct().collect()]
+        delta = area.put(delta.withColumn("bucket", F.pmod(F.xxhash64("source_field", "item"), F.lit(self.buckets)).cast("int")), f"delta{self.turn}", ["bucket"])
+        touched = [int(b) for b in area.parts(f"delta{self.turn}")]
         if touched:
             old = [self.parts[b] for b in touched if b in self.parts]
             both = delta
@@ -72,7 +72,7 @@ class TermCounts:
             # by item, not by bucket: a bucket may end up in several files, but no task holds a whole hot bucket
             area.put(merged, f"counts{self.turn}", ["bucket"])
             at = area.path(f"counts{self.turn}")
-            here = {r[0] for r in area.get(f"counts{self.turn}").select("bucket").distinct().collect()}
+            here = set(map(int, area.parts(f"counts{self.turn}")))
             for b in touched:
                 self.parts.pop(b, None)
                 if b in here:
