@@ -68,6 +68,12 @@ class WorkArea:
         there = [self.path(n) for n in names if (lambda fs, p: fs.exists(p))(*_fs(self.spark, self.path(n)))]
         return self.spark.read.schema(schema).parquet(*there) if there else self.spark.createDataFrame([], schema)
 
+    def parts(self, name: str) -> list[str]:
+        """The partition values of a table written with one partition column."""
+        fs, p = _fs(self.spark, self.path(name))
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(n.split("=", 1)[1] for n in names if "=" in n)
+
     def bytes(self, name: str) -> int:
         fs, p = _fs(self.spark, self.path(name))
         return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
