@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from codeloom.operators.current import key128, latest
 from codeloom.runtime import WorkArea, work_area
 
-PARENTS_A_RANGE, REFS_A_SHARD = 150_000, 150_000
+PARENTS_A_RANGE, REFS_A_SHARD = 10_000, 15_000
 
 MISSING, DELETED, LATE = 1, 2, 3
 REASONS = {MISSING: "missing", DELETED: "deleted", LATE: "late"}
