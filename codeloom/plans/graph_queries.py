@@ -398,7 +398,10 @@ def resolve_stats(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolution_stats(graph.load_graph(spark, d))
 
 
-@query()
+@query(GRAPH + _RES + """, c AS (SELECT edge_id, src_id, dst_id, CASE strategy """ + " ".join(f"WHEN '{k}' THEN {v}" for k, v in resolve.CONFIDENCE.items()) + """ END::DOUBLE AS confidence FROM res),
+u AS (SELECT repo_id, id, kind, src_id, dst_id, confidence FROM e WHERE id NOT IN (SELECT edge_id FROM c)
+  UNION ALL SELECT e.repo_id, 'e:' || e.repo_id || ':' || c.src_id || ':' || e.kind || ':' || c.dst_id, e.kind, c.src_id, c.dst_id, c.confidence FROM e JOIN c ON c.edge_id = e.id)
+SELECT id, any_value(repo_id) AS repo_id, any_value(kind) AS kind, any_value(src_id) AS src_id, any_value(dst_id) AS dst_id, max(confidence) AS confidence FROM u GROUP BY id""")
 def resolved_edges(spark: SparkSession, d: str) -> DataFrame:
     g = graph.load_graph(spark, d)
     return resolve.apply_resolutions(g, resolve.resolve(g))

@@ -10,7 +10,7 @@ from codeloom.functions import text as T
 from codeloom.operators import docs, evaluate, graph, markdown, review, rules, search
 from codeloom.plans.base import GRAPH, query
 from codeloom.plans.graph_queries import _CHANGED, _EXPORTED, REFS, changed_files, matches
-from codeloom.plans.search_queries import _LINES, _words
+from codeloom.plans.search_queries import _LINES, _scan, _words
 from codeloom.runtime import driver_tables
 
 _STEM = "regexp_replace(path, '\\.[^./]*$', '')"
@@ -155,7 +155,10 @@ def token_costs(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.index_percentile(t, ["which"], "v", [50, 95])
 
 
-@query()
+@query(GRAPH + f", {_CHANGED}, {_TESTED}, {_scan(rules.NOTE_RULES, True)}" + f""", gates AS (SELECT (SELECT count(*) FILTER (severity IN ('critical','high')) FROM x)::BIGINT AS n_severe,
+  (SELECT count(*) FROM s JOIN c USING (repo_id, path) WHERE s.kind IN ('function','method') AND NOT {matches('s.path', paths.TEST)} AND (s.repo_id, s.path) NOT IN (SELECT repo_id, path FROM tested))::BIGINT AS n_gaps,
+  (SELECT count(*) FROM s JOIN c USING (repo_id, path) WHERE ({_EXPORTED} OR regexp_matches(lower(path), '(^|/)(pkg|cmd|api)/')) AND NOT regexp_matches(lower(path), '(^|/)(internal|private)/'))::BIGINT AS n_public)
+SELECT *, CASE WHEN n_severe > 0 THEN 'blocked' WHEN n_gaps > 0 THEN 'needs_tests' ELSE 'ready' END AS verdict FROM gates""")
 def finish_check(spark: SparkSession, d: str) -> DataFrame:
     from codeloom.plans.search_queries import findings_of
 
