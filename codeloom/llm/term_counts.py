@@ -1,9 +1,9 @@
 """Occurrences and record counts of every distinct item, kept by signed deltas.
 
-The state is persistent and partitioned: the entries of each record as last counted (by record) and the counts of each
-item (by item bucket). ``apply`` takes a batch of added, changed and deleted records, turns only those into signed
-changes (what a record held before counts minus, what it holds now plus), adds the changes up and rewrites only the
-item buckets they touch.
+The state is persistent and partitioned: the entries of each record as last counted (in record buckets) and the counts
+of each item (in item buckets). ``apply`` takes a batch of added, changed and deleted records, turns only those into
+signed changes (what a record held before counts minus, what it holds now plus), adds the changes up, and reads and
+rewrites only the buckets of either kind that they touch.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from codeloom.runtime import WorkArea
 SPACE = r"^\s+|\s+$"
 
 ENTRY = "array<struct<source_field:string,item:string,count:bigint>>"
+HELD = f"record_key string, entries {ENTRY}"
+COUNTS = "source_field string, item string, occurrences bigint, records bigint"
 
 
 def cleaned(field: str, items: Column, text: str, lower: bool) -> Column:
@@ -31,8 +33,27 @@ class TermCounts:
     def __init__(self, area: WorkArea, buckets: int | None = None):
         self.area, self.turn, self.records = area, 0, 0
         self.buckets = buckets or max(8, int(area.spark.conf.get("spark.sql.shuffle.partitions")))
-        self.parts: dict[int, str] = {}  # item bucket -> path of its newest counts; as many as there are buckets
-        self.held: str | None = None
+        # bucket -> folder of its newest rows; as many as there are buckets
+        self.counted: dict[int, str] = {}
+        self.held: dict[int, str] = {}
+
+    def _read(self, parts: dict[int, str], buckets: list[int], schema: str) -> DataFrame:
+        paths = sorted(parts[b] for b in buckets if b in parts)
+        return self.area.spark.read.schema(schema).parquet(*paths) if paths else self.area.spark.createDataFrame([], schema)
+
+    def _replace(self, parts: dict[int, str], rows: DataFrame, name: str, touched: list[int]) -> None:
+        """Write the rows (with ``bucket``) as the new contents of the touched buckets; the others stay where they are."""
+        self.area.put(rows, name, ["bucket"])
+        there = set(map(int, self.area.parts(name)))
+        for b in touched:
+            old = parts.pop(b, None)
+            if b in there:
+                parts[b] = f"{self.area.path(name)}/bucket={b}"
+            if old:
+                self.area.drop(old[len(self.area.root) + 1 :])
+
+    def _bucket(self, *cols: str) -> Column:
+        return F.pmod(F.xxhash64(*cols), F.lit(self.buckets)).cast("int")
 
     def _changes(self, entries: DataFrame) -> DataFrame:
         """entries(sign, entries) -> (source_field, item, occurrences, records); an item twice in a record is one record."""
@@ -46,48 +67,39 @@ class TermCounts:
     def apply(self, batch: DataFrame) -> None:
         """batch(record_key STRING, entries, deleted BOOLEAN), one row per added, changed or deleted record.
 
-        A record whose entries did not change causes no delta; deleting an unknown record does nothing.
+        A record whose entries did not change causes no delta; deleting an unknown record does nothing. A record has one
+        row in a batch. A batch that changes nothing leaves all files as they are.
         """
         self.turn += 1
-        area, spark = self.area, self.area.spark
+        area = self.area
         new = batch.where("record_key IS NOT NULL").select("record_key", F.when(F.col("deleted"), None).otherwise(F.col("entries")).alias("now"))
-        if self.held is None:
-            joined = new.withColumn("was", F.lit(None).cast(ENTRY))
-            both = joined.withColumn("touched", F.lit(True))
-        else:
-            held = spark.read.parquet(self.held).select("record_key", F.col("entries").alias("was"), F.lit(True).alias("there"))
-            both = new.withColumn("touched", F.lit(True)).join(held, "record_key", "full").drop("there")
-        after = area.put(both, f"both{self.turn}")
-        changed = after.where("touched AND NOT (was <=> now)")
+        new = area.put(new.withColumn("bucket", self._bucket("record_key")), f"batch{self.turn}", ["bucket"])
+        touched = [int(b) for b in area.parts(f"batch{self.turn}")]
+        held = self._read(self.held, touched, HELD).select("record_key", F.col("entries").alias("was"))
+        both = new.drop("bucket").withColumn("given", F.lit(True)).join(held, "record_key", "full")
+        both = area.put(both, f"both{self.turn}")
+        changed = both.where("given AND NOT (was <=> now)")
         signed = changed.where("was IS NOT NULL").select(F.lit(-1).alias("sign"), F.col("was").alias("entries")).unionByName(changed.where("now IS NOT NULL").select(F.lit(1).alias("sign"), F.col("now").alias("entries")))
         delta = self._changes(signed).where("occurrences <> 0 OR records <> 0")
-        delta = area.put(delta.withColumn("bucket", F.pmod(F.xxhash64("source_field", "item"), F.lit(self.buckets)).cast("int")), f"delta{self.turn}", ["bucket"])
-        touched = [int(b) for b in area.parts(f"delta{self.turn}")]
-        if touched:
-            old = [self.parts[b] for b in touched if b in self.parts]
-            both = delta
-            if old:
-                both = spark.read.parquet(*old).withColumn("bucket", F.pmod(F.xxhash64("source_field", "item"), F.lit(self.buckets)).cast("int")).unionByName(delta)
-            merged = both.groupBy("bucket", "source_field", "item").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("records > 0")
+        delta = area.put(delta.withColumn("bucket", self._bucket("source_field", "item")), f"delta{self.turn}", ["bucket"])
+        dirty = [int(b) for b in area.parts(f"delta{self.turn}")]
+        if dirty:
+            old = self._read(self.counted, dirty, COUNTS).withColumn("bucket", self._bucket("source_field", "item"))
             # by item, not by bucket: a bucket may end up in several files, but no task holds a whole hot bucket
-            area.put(merged, f"counts{self.turn}", ["bucket"])
-            at = area.path(f"counts{self.turn}")
-            here = set(map(int, area.parts(f"counts{self.turn}")))
-            for b in touched:
-                self.parts.pop(b, None)
-                if b in here:
-                    self.parts[b] = f"{at}/bucket={b}"
-        kept = after.select("record_key", F.when(F.col("touched"), F.col("now")).otherwise(F.col("was")).alias("entries")).where("entries IS NOT NULL")
-        area.put(kept, f"held{self.turn}")
-        self.held = area.path(f"held{self.turn}")
-        self.records = spark.read.parquet(self.held).count()
-        area.drop(f"both{self.turn}", f"delta{self.turn}", f"held{self.turn - 1}")
+            merged = old.unionByName(delta).groupBy("bucket", "source_field", "item").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+            self._replace(self.counted, merged.where("records > 0"), f"counts{self.turn}", dirty)
+        came = changed.agg(F.count_if(F.col("was").isNull()), F.count_if(F.col("now").isNull())).first()
+        if changed.isEmpty():
+            area.drop(f"batch{self.turn}", f"both{self.turn}", f"delta{self.turn}")
+            return
+        kept = both.select("record_key", F.when(F.col("given"), F.col("now")).otherwise(F.col("was")).alias("entries")).where("entries IS NOT NULL")
+        self._replace(self.held, kept.withColumn("bucket", self._bucket("record_key")), f"held{self.turn}", touched)
+        self.records += came[0] - came[1]
+        area.drop(f"batch{self.turn}", f"both{self.turn}", f"delta{self.turn}")
 
     def counts(self) -> DataFrame:
         """(source_field, item, occurrences, records) of every item held."""
-        schema = "source_field string, item string, occurrences bigint, records bigint"
-        paths = sorted(self.parts.values())
-        return self.area.spark.read.schema(schema).parquet(*paths) if paths else self.area.spark.createDataFrame([], schema)
+        return self._read(self.counted, list(self.counted), COUNTS)
 
     def marked(self, min_records: int = 3, min_occurrences: int = 10, max_share: float = 0.2) -> DataFrame:
         """``counts`` with marks: array of ``rare`` (few records or occurrences) and ``common`` (in more than a share of all records)."""

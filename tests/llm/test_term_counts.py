@@ -66,9 +66,19 @@ def test_unchanged_records_touch_nothing(spark):
     state = TC.TermCounts(work_area(spark, "t"), 4)
     b = spark.createDataFrame([("a", [("term", "x", 1)], False)], f"record_key string, entries {TC.ENTRY}, deleted boolean")
     state.apply(b)
-    before = dict(state.parts)
+    before = dict(state.counted), dict(state.held)
     state.apply(b)
-    assert state.parts == before
+    assert (state.counted, state.held) == before and state.records == 1
+
+
+def test_only_touched_buckets_are_rewritten(spark):
+    state = TC.TermCounts(work_area(spark, "t"), 16)
+    schema = f"record_key string, entries {TC.ENTRY}, deleted boolean"
+    state.apply(spark.createDataFrame([(f"k{i}", [("term", f"t{i}", 1)], False) for i in range(200)], schema))
+    counted, held = dict(state.counted), dict(state.held)
+    state.apply(spark.createDataFrame([("k3", [("term", "t3", 7)], False)], schema))
+    assert sum(state.counted[b] != counted[b] for b in counted) == 1 == sum(state.held[b] != held[b] for b in held)
+    assert counts(state)[("term", "t3")] == (7, 1) and len(counts(state)) == 200 == state.records
 
 
 @pytest.mark.parametrize("n", [1, 20_000])
