@@ -44,8 +44,8 @@ def search_memory(rows: DataFrame, query: str, latest: int = 200, k: int = 10) -
 def sessions(events: DataFrame, gap_s: int, span_s: int = 86_400) -> DataFrame:
     """events(user, ts, id) -> (user, session, n, first_ts, last_ts), cut where nothing happens for longer than the gap.
 
-    Events without a user or time are left out. Breaks are found within spans of time first, then between the spans of a user, so that a user with a third of all
-    events is sorted span by span and only one row a span meets in one task.
+    Events without a user or time are left out. Breaks are found within spans of time first, then between the spans of a
+    user, so that a user with a third of all events is sorted span by span and only one row a span meets in one task.
     """
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     e = events.where("user IS NOT NULL AND ts IS NOT NULL").select("user", "ts", "id", us.alias("us"), F.floor(us / (span_s * 1_000_000)).alias("span"))
