@@ -51,7 +51,8 @@ def language(text: str) -> int:
 
 
 # words of identifiers are told apart by case; sentence ends and line ends are tokens of their own
-TOKEN = re.compile(r"[A-ZÄÖÜÁÉÍÓÚÑ]?[a-zäöüßáéíóúñ]+|[A-ZÄÖÜÁÉÍÓÚÑ]{2,}(?![a-zäöüßáéíóúñ])|[^\W\d_]+?|[.!?](?=\s)|\n")
+_UPPER, _LOWER = "A-ZÄÖÜÁÉÍÓÚÑ", "a-zäöüßáéíóúñ"
+TOKEN = re.compile(rf"[{_LOWER}]+|[{_UPPER}][{_LOWER}]+|[{_UPPER}]{{2,}}(?![{_LOWER}])|[{_UPPER}]|\n|[.!?](?=\s)|[^\W\d_]+")
 STOP, RARE = 0, 1  # numbers of sentence ends and of words outside the vocabulary
 
 
@@ -65,24 +66,31 @@ class Words:
 
     def number(self, text: str) -> list[int]:
         seen = self.seen
+        found = TOKEN.findall(text)
         try:
-            return [seen[t] for t in TOKEN.findall(text)]
+            return list(map(seen.__getitem__, found))
         except KeyError:
             if len(seen) > 500_000:
                 seen.clear()
                 seen.update({".": STOP, "!": STOP, "?": STOP, "\n": STOP})
-            for t in TOKEN.findall(text):
+            for t in found:
                 if t not in seen:
                     seen[t] = self.known.get(t.lower(), RARE)
-            return [seen[t] for t in TOKEN.findall(text)]
+            return list(map(seen.__getitem__, found))
 
 
 def numbered(texts: list[str], words: Words):
     """Numbers of all texts in a row, and how many each text has."""
     import numpy as np
 
-    parts = [words.number(t) for t in texts]
-    return np.array([n for p in parts for n in p], dtype=np.int32), np.array([len(p) for p in parts], dtype=np.int64)
+    from array import array
+
+    flat, sizes = array("i"), []
+    for t in texts:
+        n = words.number(t)
+        flat.extend(n)
+        sizes.append(len(n))
+    return np.frombuffer(flat, dtype=np.int32) if flat else np.zeros(0, np.int32), np.array(sizes, dtype=np.int64)
 
 
 def stream(numbers, sizes):
@@ -111,8 +119,7 @@ class Models:
     vocabulary: list
     subjects: list
     pairs: object  # sorted numbers before * size + token of the bigrams that have an entry
-    of_pair: object  # float32[pairs, subjects]
-    of_word: object  # float32[size, subjects]: of a word in a bigram without an entry
+    table: object  # float32[pairs + size, subjects]: of the bigrams, then of words in bigrams without an entry
     margin: float = 0.0
 
     def sentences(self, numbers, sizes):
@@ -124,7 +131,7 @@ class Models:
         code = before.astype(np.int64) * (len(self.vocabulary) + 2) + token
         at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
         hit = self.pairs[at] == code
-        gain = np.where(hit[:, None], self.of_pair[at], self.of_word[token])
+        gain = self.table[np.where(hit, at, len(self.pairs) + token)]
         return np.add.reduceat(gain, starts, axis=0), doc
 
     def shares(self, numbers, sizes, margin: float | None = None):
@@ -136,20 +143,22 @@ class Models:
         if not len(gain):
             return counts
         gain = gain - (self.margin if margin is None else margin)
-        # a text's own mixture of subjects settles sentences that fit several
-        mix = np.full((len(sizes), gain.shape[1]), 1 / gain.shape[1])
+        # a text's own mixture of subjects settles sentences that fit several; sentences are in the order of their texts
+        k = gain.shape[1]
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(doc))))
+        mix = np.full((len(first), k), 1 / k, np.float32)
         peak = np.maximum(gain.max(axis=1, keepdims=True), 0)
         likely, free = np.exp(gain - peak), np.exp(-peak[:, 0])
         for _ in range(MIX_ROUNDS):
-            p = likely * (mix[doc] * 0.98 + 0.02 / gain.shape[1])
-            p /= p.sum(axis=1, keepdims=True) + free[:, None] / gain.shape[1]
-            total = np.zeros_like(mix)
-            np.add.at(total, doc, p)
-            mix = (total + 1e-3) / (total.sum(axis=1, keepdims=True) + 1e-3 * gain.shape[1])
-        p = likely * (mix[doc] * 0.98 + 0.02 / gain.shape[1])
+            p = likely * (mix[of] * 0.98 + 0.02 / k)
+            p /= p.sum(axis=1, keepdims=True) + free[:, None] / k
+            total = np.add.reduceat(p, first, axis=0)
+            mix = (total + 1e-3) / (total.sum(axis=1, keepdims=True) + 1e-3 * k)
+        p = likely * (mix[of] * 0.98 + 0.02 / k)
         best = p.argmax(axis=1)
         deals = gain[np.arange(len(gain)), best] > 0
-        np.add.at(counts, (doc[deals], best[deals]), 1)
+        counts += np.bincount(doc[deals] * k + best[deals], minlength=len(sizes) * k).reshape(len(sizes), k)
         return counts
 
 
@@ -204,7 +213,7 @@ def fit(texts: list[str], labels: list[set], subjects: list[str], vocabulary: li
             own = np.bincount(pair, weights=w, minlength=len(pairs))
             after = np.bincount(before, weights=w, minlength=words.size)
             of_pair[:, j] = np.log((own / p_pair + OWN_PAIR * ratio[pt]) / (after[pb] + OWN_PAIR))
-        models = Models(vocabulary, subjects, pairs, of_pair, of_word)
+        models = Models(vocabulary, subjects, pairs, np.concatenate([of_pair, of_word]))
         if turn == ROUNDS - 1:
             break
         gain = np.add.reduceat(of_pair[pair], starts, axis=0)
