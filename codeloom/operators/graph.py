@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
-from codeloom.operators.current import latest
+from codeloom.operators.current import latest_same
 from codeloom.runtime import driver_tables
 
 REFERENCES = ["calls", "reads", "inherits", "implements"]
@@ -29,8 +29,8 @@ class Graph:
 def load_graph(spark: SparkSession, folder: str) -> Graph:
     """Current rows of the graph tables; deleted symbols are left out, shared SDK symbols are in."""
     files, symbols, sdk, edges = driver_tables(spark, folder, "files", "symbols", "sdk_symbols", "edges")
-    live = latest(symbols, ["id"], "indexed_at").unionByName(latest(sdk, ["id"], "indexed_at")).where("removed_at IS NULL")
-    return Graph(latest(files, ["id"], "indexed_at"), live.drop("indexed_at", "removed_at"), latest(edges, ["id"], "indexed_at").drop("indexed_at"))
+    live = latest_same(symbols, ["id"], "indexed_at").unionByName(latest_same(sdk, ["id"], "indexed_at")).where("removed_at IS NULL")
+    return Graph(latest_same(files, ["id"], "indexed_at"), live.drop("indexed_at", "removed_at"), latest_same(edges, ["id"], "indexed_at").drop("indexed_at"))
 
 
 def _at(c: str) -> Column:
