@@ -181,7 +181,7 @@ def vector_rrf(spark: SparkSession, d: str) -> DataFrame:
 
 def calls_of(spark: SparkSession, d: str) -> DataFrame:
     (calls,) = driver_tables(spark, d, "ch_tool_calls")
-    cur = latest(calls, ["id"], "logged_at")
+    cur = latest(calls, ["id"], "logged_at", ["run_id", "called_at", "tool_name", "duration_ms", "error"])
     return cur.select("id", F.col("run_id").alias("session"), F.col("called_at").alias("ts"), F.lower(F.trim("tool_name")).alias("tool"), F.when(F.col("duration_ms") >= 0, F.col("duration_ms")).alias("latency"), F.col("error").isNotNull().alias("failed"))
 
 
@@ -203,8 +203,8 @@ def usage_sessions(spark: SparkSession, d: str) -> DataFrame:
 SELECT run_id, status, string_agg(tool, '>' ORDER BY step_index, ts, c.id) AS trace, count(*)::BIGINT AS n_steps, (count(*) FILTER (failed))::BIGINT AS n_errors FROM c JOIN r ON r.run_id = c.session GROUP BY ALL""")
 def run_traces(spark: SparkSession, d: str) -> DataFrame:
     runs, calls = driver_tables(spark, d, "ch_runs", "ch_tool_calls")
-    cur = latest(calls, ["id"], "logged_at").withColumn("tool_name", F.lower(F.trim("tool_name")))
-    return usage.run_traces(latest(runs, ["id"], "created_at"), cur)
+    cur = latest(calls, ["id"], "logged_at", ["run_id", "step_index", "called_at", "tool_name", "error"]).withColumn("tool_name", F.lower(F.trim("tool_name")))
+    return usage.run_traces(latest(runs, ["id"], "created_at", ["status"]), cur)
 
 
 @query("""WITH r AS (SELECT DISTINCT id, created_at, task, confidence FROM ch_runs WHERE task IS NOT NULL), l AS (SELECT * FROM r ORDER BY created_at DESC, id LIMIT 200),
