@@ -22,12 +22,16 @@ def session(app: str = "codeloom", master: str | None = None, partitions: int |
     return b.getOrCreate()
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="codeloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        at = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="codeloom-")
+        _OWN[app] = at
     return at.rstrip("/")
 
 
