@@ -13,17 +13,18 @@ def churn(commits: DataFrame) -> DataFrame:
 
 def hotspots(churned: DataFrame, centrality: DataFrame, k: int = 20) -> DataFrame:
     """churned(file, n_commits), centrality(file, degree) -> (file, score, rank): product of both, log-scaled to 0..1."""
-    top = churned.agg(F.log(1.0 + F.max("n_commits")).alias("c")).crossJoin(centrality.agg(F.log(1.0 + F.max("degree")).alias("d")))  # one row each
-    d = churned.join(centrality, "file").crossJoin(F.broadcast(top))
-    score = F.log(1.0 + F.col("n_commits")) / F.col("c") * F.log(1.0 + F.col("degree")) / F.col("d")
+    c = churned.agg(F.log(1.0 + F.max("n_commits"))).scalar()
+    m = centrality.agg(F.log(1.0 + F.max("degree"))).scalar()
+    d = churned.join(centrality, "file")
+    score = F.log(1.0 + F.col("n_commits")) / c * F.log(1.0 + F.col("degree")) / m
     d = d.select("file", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "file").limit(k)
     return d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "file")))
 
 
 def centrality_only(centrality: DataFrame, k: int = 20) -> DataFrame:
     """Where there is no history: degree over the greatest degree."""
-    top = centrality.agg(F.max("degree").alias("m"))
-    return centrality.crossJoin(F.broadcast(top)).select("file", F.round(F.col("degree") / F.col("m"), 6).alias("score")).orderBy(F.desc("score"), "file").limit(k)
+    m = centrality.agg(F.max("degree")).scalar()
+    return centrality.select("file", F.round(F.col("degree") / m, 6).alias("score")).orderBy(F.desc("score"), "file").limit(k)
 
 
 def cochange(commits: DataFrame, max_files: int = 30, min_support: int = 3, min_confidence: float = 0.3) -> DataFrame:

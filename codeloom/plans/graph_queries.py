@@ -300,8 +300,8 @@ _CHANGED = "c AS (SELECT repo_id, path FROM f WHERE indexed_at >= (SELECT max(in
 
 def changed_files(g: graph.Graph) -> DataFrame:
     """Files indexed in the last three days before the newest."""
-    newest = g.files.agg(F.max("indexed_at").alias("newest"))
-    return g.files.crossJoin(F.broadcast(newest)).where("indexed_at >= newest - INTERVAL 3 DAY").select("repo_id", "path")  # one row is sent
+    newest = g.files.agg(F.max("indexed_at")).scalar()
+    return g.files.where(F.col("indexed_at") >= newest - F.expr("INTERVAL 3 DAY")).select("repo_id", "path")
 
 
 @query(GRAPH + f", {_CHANGED} SELECT s.id FROM s JOIN c USING (repo_id, path)")
