@@ -27,13 +27,17 @@ def centrality_only(centrality: DataFrame, k: int = 20) -> DataFrame:
     return centrality.select("file", F.round(F.col("degree") / m, 6).alias("score")).orderBy(F.desc("score"), "file").limit(k)
 
 
-def cochange(commits: DataFrame, max_files: int = 30, min_support: int = 3, min_confidence: float = 0.3) -> DataFrame:
+def cochange(commits: DataFrame, max_files: int | None = 30, min_support: int = 3, min_confidence: float = 0.3) -> DataFrame:
     """(file, other, support, confidence) of files changed together in enough commits; commits of more than ``max_files``
-    files say nothing and are left out, which also bounds the pairs of a commit."""
+    files say nothing and are left out, which also bounds the pairs of a commit. With None every commit counts: pairs are
+    then formed of files with ``min_support`` commits only, as no other file can be in a pair that has so many."""
     c = commits.where("file IS NOT NULL").select("commit_id", "file").distinct()
-    size = c.groupBy("commit_id").agg(F.count("*").alias("n")).where(F.col("n") <= max_files)
-    c = c.join(size.select("commit_id"), "commit_id", "left_semi")
+    if max_files is not None:
+        size = c.groupBy("commit_id").agg(F.count("*").alias("n")).where(F.col("n") <= max_files)
+        c = c.join(size.select("commit_id"), "commit_id", "left_semi")
     total = c.groupBy("file").agg(F.count("*").alias("n_file"))
+    if max_files is None:
+        c = c.join(total.where(F.col("n_file") >= min_support).select("file"), "file", "left_semi")
     pairs = c.join(c.withColumnRenamed("file", "other"), "commit_id").where("file <> other").groupBy("file", "other").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
     r = pairs.join(total, "file").withColumn("confidence", F.round(F.col("support") / F.col("n_file"), 6))
     return r.where(F.col("confidence") >= min_confidence).select("file", "other", "support", "confidence")
