@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions import text as T
+
 
 def rank_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     """ranked(query_id, id, rank), relevant(query_id, id) -> per query: hit at 1, 5 and 10, reciprocal rank, recall, nDCG
@@ -23,6 +25,23 @@ def rank_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFra
     )
 
 
+def self_retrieval(symbols: DataFrame) -> DataFrame:
+    """(repo_id, n_queries, hit_1, hit_10, mrr): of each repository, all functions and methods whose name is unique among
+    those of the repository, each searched there by the words of its name.
+
+    Every shared word adds to a score, then fewer words and the lesser id come first. So none scores more than a symbol
+    with all words asked for, and before the one sought are those with just its words and a lesser id: its rank is
+    counted from the symbols with equal words, without a row for any other. A name without words finds nothing.
+    """
+    words = F.array_sort(F.array_distinct(T.split_identifier(F.col("name"))))
+    s = symbols.select("repo_id", "id", "name", "kind", F.concat_ws(" ", words).alias("words"))
+    own = s.where(F.col("kind").isin("function", "method") & F.col("name").isNotNull()).groupBy("repo_id", "name").agg(F.min("id").alias("qid"), F.count("*").alias("c"), F.min("words").alias("words")).where("c = 1")
+    like = s.where("words <> ''").select("repo_id", "words", "id")
+    at = own.join(like, ["repo_id", "words"], "left").groupBy("repo_id", "qid").agg(F.count_if(F.col("id") <= F.col("qid")).alias("rank"))
+    hit = lambda k: F.round(F.avg(F.when(F.col("rank").between(1, k), 1.0).otherwise(0.0)), 6)
+    return at.groupBy("repo_id").agg(F.count("*").alias("n_queries"), hit(1).alias("hit_1"), hit(10).alias("hit_10"), F.round(F.avg(F.when(F.col("rank") > 0, 1.0 / F.col("rank")).otherwise(0.0)), 6).alias("mrr"))
+
+
 def set_accuracy(truth: DataFrame, got: DataFrame, by: str) -> DataFrame:
     """truth(by, item), got(by, item) -> precision, recall and F1 per group; 0 where undefined."""
     t = truth.select(by, "item").distinct().withColumn("t", F.lit(1))

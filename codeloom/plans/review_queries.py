@@ -142,6 +142,17 @@ def self_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return own.agg(F.count("*").alias("n_queries"), at(1).alias("hit_1"), at(10).alias("hit_10"), F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"))
 
 
+@query(GRAPH + f"""
+, w AS (SELECT repo_id, id, unnest(list_distinct({_words('name')})) AS word, len(list_distinct({_words('name')})) AS size FROM s), n AS (SELECT repo_id, word, count(*) AS df FROM w GROUP BY ALL),
+u AS (SELECT repo_id, min(id) AS qid FROM s WHERE kind IN ('function','method') AND name IS NOT NULL GROUP BY repo_id, name HAVING count(*) = 1), q AS (SELECT u.repo_id, qid, word FROM u JOIN w ON w.id = qid),
+r AS (SELECT qid, w.id, round(sum(1 / ln(1.0 + df)), 9) AS score, max(size) AS size FROM q JOIN w USING (repo_id, word) JOIN n USING (repo_id, word) GROUP BY ALL),
+o AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, size, id) AS rank FROM r), x AS (SELECT u.repo_id, u.qid, rank FROM u LEFT JOIN o ON o.qid = u.qid AND o.id = u.qid)
+SELECT repo_id, count(*)::BIGINT AS n_queries, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 6) AS hit_1, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS hit_10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM x GROUP BY repo_id""")
+def self_retrieval_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every function and method whose name is unique among those of its repository, searched there by its words; one row a repository."""
+    return evaluate.self_retrieval(graph.load_graph(spark, d).symbols)
+
+
 @query(GRAPH + """
 , c AS (SELECT dst_id, count(DISTINCT src_id) AS n, count(DISTINCT split_part(src_id, ':', 3)) AS files FROM e WHERE kind = 'calls' AND dst_id LIKE 'sym:%' GROUP BY 1),
 t AS (SELECT dst_id AS id, (12 * n + 20)::BIGINT AS tool_tokens, (files * 1200)::BIGINT AS read_tokens FROM c),

@@ -1,6 +1,6 @@
 """Queries and operators that do the whole job where a cut was."""
 
-from codeloom.operators import evolve
+from codeloom.operators import evaluate, evolve
 
 
 def test_days_of_many_files_count(spark, rows):
@@ -8,3 +8,11 @@ def test_days_of_many_files_count(spark, rows):
     got = rows(evolve.cochange(commits, None, min_support=2))
     assert len(got) == 40 * 39 and got[0] == ("f00", "f01", 2, 1.0) and not any("once" in r for r in got)
     assert rows(evolve.cochange(commits, min_support=2)) == []
+
+
+def test_every_function_and_method_is_searched_in_its_repository(spark):
+    names = [("r", f"s{i:03d}", f"loadItem{chr(97 + i // 26) * 2}{chr(97 + i % 26) * 2}", "function" if i % 2 else "method") for i in range(90)]
+    names += [("r", "a1", "flushLedger", "class"), ("r", "a2", "flush_ledger", "method"), ("q", "a3", "flush_ledger", "function"), ("q", "a0", "flush_ledger_all", "class"), ("q", "b1", "twice", "method"), ("q", "b2", "twice", "function"), ("q", "b3", "x", "function")]
+    got = {r["repo_id"]: tuple(r)[1:] for r in evaluate.self_retrieval(spark.createDataFrame(names, "repo_id string, id string, name string, kind string")).collect()}
+    # a2 comes after a1, which has the same words; x has no words
+    assert got == {"r": (91, round(90 / 91, 6), 1.0, round(90.5 / 91, 6)), "q": (2, 0.5, 0.5, 0.5)}
