@@ -184,3 +184,15 @@ def symbol_tree(symbols: DataFrame) -> DataFrame:
         F.when(lost, None).when(F.col("root").isNull(), F.coalesce("name", F.lit(""))).otherwise(F.col("path")).alias("path"),
         F.when(lost, None).otherwise(F.coalesce("n", F.lit(0)) - own).cast("bigint").alias("n_descendants"),
     )
+
+
+def symbol_descendants(symbols: DataFrame) -> DataFrame:
+    """(ancestor, descendant, steps) of the current symbols, in ids; rings and what is below them give no rows."""
+    book, links, area = symbol_links(symbols)
+    found = area.put(contract(area, links, paths=True), "paths").where("depth > 0")
+    # from the root (which found has no row for) down to the parent
+    above = F.concat(F.array("root"), F.slice("path", F.lit(1), F.col("depth").cast("int") - 1))
+    pairs = found.select("node", "depth", F.posexplode(above).alias("at", "up")).select("node", "up", (F.col("depth") - F.col("at")).cast("bigint").alias("steps"))
+    ids = book.select(F.col("nid").alias("node"), F.col("id").alias("descendant"))
+    tops = book.select(F.col("nid").alias("up"), F.col("id").alias("ancestor"))
+    return pairs.join(ids, "node").join(tops, "up").select("ancestor", "descendant", "steps")

@@ -20,6 +20,12 @@ def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.symbol_tree(symbols)
 
 
+def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every symbol below every current symbol, with the steps between them; rings and what is below them have none."""
+    (symbols,) = driver_tables(spark, d, "symbols")
+    return hierarchy.symbol_descendants(symbols)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     (edges,) = driver_tables(spark, d, "edges")
     return balance.heavy_keys(edges, ["repo_id", "dst_id"], "id")
@@ -39,7 +45,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(p6_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_hierarchy, p5_found, p5_dst_profile, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_hierarchy, p3_descendants, p5_found, p5_dst_profile, p6_found, p6_report)}
 
 _CUR = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {at} DESC) AS rn FROM {t}) WHERE rn = 1"
 
@@ -90,6 +96,13 @@ WITH RECURSIVE {_LINKS},
 SELECT c.id AS symbol_id, CASE WHEN d.id IS NULL THEN 'cycle' ELSE d.root END AS root_id, CASE WHEN d.id IS NULL THEN -1 ELSE d.depth END::BIGINT AS depth,
   d.path AS path, u.n::BIGINT AS n_descendants
 FROM cur c LEFT JOIN down d ON c.id = d.id LEFT JOIN under u ON u.id = c.id""",
+    "p3_descendants": f"""
+WITH RECURSIVE {_LINKS},
+  down AS (
+    SELECT id, [id] AS ids FROM cur WHERE id NOT IN (SELECT id FROM ends)
+    UNION ALL
+    SELECT e.id, list_append(d.ids, e.id) FROM ends e JOIN down d ON e.up = d.id)
+SELECT ids[g] AS ancestor, id AS descendant, (len(ids) - g)::BIGINT AS steps FROM (SELECT id, ids, unnest(range(1, len(ids))) AS g FROM down)""",
     "p5_found": """
 WITH e AS (SELECT DISTINCT id, repo_id, dst_id FROM edges),
 k AS (SELECT 'repo_id' AS key_field, repo_id AS key_item, count(DISTINCT id) AS n FROM e GROUP BY repo_id

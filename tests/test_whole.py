@@ -1,6 +1,6 @@
 """Queries and operators that do the whole job where a cut was."""
 
-from codeloom.operators import evaluate, evolve
+from codeloom.operators import evaluate, evolve, hierarchy
 
 
 def test_days_of_many_files_count(spark, rows):
@@ -16,3 +16,9 @@ def test_every_function_and_method_is_searched_in_its_repository(spark):
     got = {r["repo_id"]: tuple(r)[1:] for r in evaluate.self_retrieval(spark.createDataFrame(names, "repo_id string, id string, name string, kind string")).collect()}
     # a2 comes after a1, which has the same words; x has no words
     assert got == {"r": (91, round(90 / 91, 6), 1.0, round(90.5 / 91, 6)), "q": (2, 0.5, 0.5, 0.5)}
+
+
+def test_all_descendants_of_symbols(spark, rows):
+    data = [("sym:0", None), ("sym:1", "sym:0"), ("sym:2", "sym:1"), ("sym:3", "sym:0"), ("sym:4", "sym:5"), ("sym:5", "sym:4"), ("sym:6", "sym:4"), ("sym:7", "sym:99")]
+    d = spark.createDataFrame([("r", i, i, "method", "p", up) for i, up in data], "repo_id string, id string, name string, kind string, path string, parent_id string").selectExpr("*", "timestamp'2020-01-01' AS indexed_at")
+    assert rows(hierarchy.symbol_descendants(d)) == [("sym:0", "sym:1", 1), ("sym:0", "sym:2", 2), ("sym:0", "sym:3", 1), ("sym:1", "sym:2", 1)]
