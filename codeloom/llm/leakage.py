@@ -90,8 +90,6 @@ def stretch(item, doc):
 
 def covered(item, doc, spots) -> tuple[int, int]:
     """Matched item words of the best one and the best two stretches in order; ``spots`` are doc positions of seeds."""
-    import numpy as np
-
     # windows around the seeds, wide enough for the whole item on either side
     reach = len(item) + len(item) // 2
     spans: list[list[int]] = []
@@ -103,40 +101,62 @@ def covered(item, doc, spots) -> tuple[int, int]:
             spans.append([a, b])
     # a long span is searched in overlapping pieces, so that memory is bounded however long the text
     pieces = [(c, min(b, c + 8 * reach)) for a, b in spans for c in range(a, max(a + 1, b - 2 * reach), 6 * reach)]
-    found = []
-    for a, b in pieces:
-        part = doc[a:b]
-        taken = part.copy()
-        for _ in range(4):  # the best stretches of a window, each without the words of those before
-            i0, i1, j0, j1, hit = stretch(item, taken)
-            if hit < STRETCH or hit < DENSITY * (i1 - i0):
-                break
-            found.append((hit, i0, i1, a + j0, a + j1))
-            taken[j0:j1] = -2
-        # and the best one of the rest of the item before and after the first stretch
-        if found:
-            hit, i0, i1, j0, j1 = max(f for f in found)
-            for lo, hi, left in ((0, i0, True), (i1, len(item), False)):
-                if hi - lo >= STRETCH:
-                    side = part.copy()
-                    if left:
-                        side[max(0, j0 - a) :] = -2
-                    else:
-                        side[: max(0, j1 - a)] = -2
-                    x0, x1, y0, y1, h = stretch(item[lo:hi], side)
-                    if h >= STRETCH and h >= DENSITY * (x1 - x0):
-                        found.append((h, lo + x0, lo + x1, a + y0, a + y1))
+    found = [(hit, i0, i1, a + j0, a + j1) for a, b in pieces for hit, i0, i1, j0, j1 in stretches(item, doc[a:b])]
     if not found:
         return 0, 0
     one = max(f[0] for f in found)
-    two = one
-    for x in found:
-        for y in found:
-            if x[2] <= y[1] and x[4] <= y[3]:
-                two = max(two, x[0] + y[0])
+    two = max(one, pair(found))
+    # the best ones of the rest of the item before and after each stretch, where more could come of it: of stretches
+    # that end alike in the item the first one in the doc leaves most behind it, and the last one most before it
+    for (hit, i1), j1 in ends(found).items():
+        if hit + len(item) - i1 > two and len(item) - i1 >= STRETCH:
+            for a, b in pieces:
+                if b - max(a, j1) >= STRETCH:
+                    two = max([two, *(hit + x[0] for x in stretches(item[i1:], doc[max(a, j1) : b]))])
+    for (hit, i0), j0 in starts(found).items():
+        if hit + i0 > two and i0 >= STRETCH:
+            for a, b in pieces:
+                if min(b, j0) - a >= STRETCH:
+                    two = max([two, *(hit + x[0] for x in stretches(item[:i0], doc[a : min(b, j0)]))])
     return one, two
 
 
+def stretches(item, doc) -> list[tuple[int, int, int, int, int]]:
+    """(matched words, item start, item end, doc start, doc end): the best stretch, then the best one without the words of
+    those before, until none has enough words."""
+    out = []
+    taken = doc.copy()
+    while True:
+        i0, i1, j0, j1, hit = stretch(item, taken)
+        if hit < STRETCH:
+            return out
+        if hit >= DENSITY * (i1 - i0):
+            out.append((hit, i0, i1, j0, j1))
+        taken[j0:j1] = -2
+
+
+def ends(found) -> dict[tuple[int, int], int]:
+    """(matched words, item end) -> least doc end."""
+    out: dict[tuple[int, int], int] = {}
+    for hit, _, i1, _, j1 in found:
+        out[hit, i1] = min(j1, out.get((hit, i1), j1))
+    return out
+
+
+def starts(found) -> dict[tuple[int, int], int]:
+    """(matched words, item start) -> greatest doc start."""
+    out: dict[tuple[int, int], int] = {}
+    for hit, i0, _, j0, _ in found:
+        out[hit, i0] = max(j0, out.get((hit, i0), j0))
+    return out
+
+
+def pair(found) -> int:
+    """Most matched words of two stretches in order, 0 without such."""
+    last = starts(found).items()
+    return max((x + y for (x, i1), j1 in ends(found).items() for (y, i0), j0 in last if i1 <= i0 and j1 <= j0), default=0)
+
+
 def leaks(text: str, items: Items) -> list[tuple[int, float]]:
     """(item, share of its words covered) of the items that leaked into the text."""
     import numpy as np

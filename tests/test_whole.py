@@ -1,5 +1,6 @@
 """Queries and operators that do the whole job where a cut was."""
 
+from codeloom.llm import leakage
 from codeloom.operators import evaluate, evolve, hierarchy
 
 
@@ -22,3 +23,13 @@ def test_all_descendants_of_symbols(spark, rows):
     data = [("sym:0", None), ("sym:1", "sym:0"), ("sym:2", "sym:1"), ("sym:3", "sym:0"), ("sym:4", "sym:5"), ("sym:5", "sym:4"), ("sym:6", "sym:4"), ("sym:7", "sym:99")]
     d = spark.createDataFrame([("r", i, i, "method", "p", up) for i, up in data], "repo_id string, id string, name string, kind string, path string, parent_id string").selectExpr("*", "timestamp'2020-01-01' AS indexed_at")
     assert rows(hierarchy.symbol_descendants(d)) == [("sym:0", "sym:1", 1), ("sym:0", "sym:2", 2), ("sym:0", "sym:3", 1), ("sym:1", "sym:2", 1)]
+
+
+def test_pair_beside_many_repeated_quotations():
+    item = [f"i{k}" for k in range(60)]
+    text = " ".join([*item[:16], *["x"] * 12, *item[45:], *(["y"] * 12 + item[:29]) * 6])
+    # only the first two stretches, with 31 of 60 words in order, reach the half
+    items = leakage.Items([(1, " ".join(item))])
+    assert [i for i, _ in leakage.leaks(text, items)] == [1]
+    text = " ".join([*item[40:58], *["x"] * 12, *(item[14:43] + ["x"] * 12) * 6, *item[:12]])
+    assert leakage.leaks(text, items) == []
