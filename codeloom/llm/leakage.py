@@ -15,7 +15,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 
 N, LEAST_SEEDS, SHARE = 3, 3, 0.5
-#: Fewest matched words of a stretch, and of those of the item's words it spans.
+#: Fewest matched words of a stretch (of an item under 29 words a quarter of them), and of those of the item's words it spans.
 STRETCH, DENSITY = 8, 0.6
 MATCH, MISS, GAP = 2, -2, -2
 #: The items are broadcast to the tasks up to so many characters; beyond that they are searched in blocks of that size.
@@ -43,17 +43,21 @@ class Items:
     def __init__(self, items: list[tuple[int, str]]):
         self.words = {i: words(t or "") for i, t in items}
         held = defaultdict(set)
-        for i, w in self.words.items():
-            for k in range(len(w) - N + 1):
-                held[tuple(w[k : k + N])].add(i)
+        grams = {i: {tuple(w[k : k + n]) for n in [min(N, len(w))] if n for k in range(len(w) - n + 1)} for i, w in self.words.items()}
+        for i, own in grams.items():
+            for g in own:
+                held[g].add(i)
         self.seeds: dict[tuple, list[int]] = defaultdict(list)
-        for i, w in self.words.items():
-            own = {tuple(w[k : k + N]) for k in range(len(w) - N + 1)}
+        #: seeds that a text must hold: as many as half of the item in two stretches has, and no more than there are
+        self.least: dict[int, int] = {}
+        for i, own in grams.items():
             ranks = sorted(len(held[g]) for g in own)
             most = max(1, ranks[len(ranks) // 4]) if ranks else 1  # items that repeat each other still have seeds
-            for g in own:
-                if len(held[g]) <= most:
-                    self.seeds[g].append(i)
+            rare = [g for g in own if len(held[g]) <= most]
+            for g in rare:
+                self.seeds[g].append(i)
+            self.least[i] = max(1, min(LEAST_SEEDS, len(rare), -(-len(self.words[i]) // 2) - 2 * (N - 1)))
+        self.sizes = sorted({len(g) for g in self.seeds})
         self.first = {g[0] for g in self.seeds}
 
 
@@ -101,7 +105,8 @@ def covered(item, doc, spots) -> tuple[int, int]:
             spans.append([a, b])
     # a long span is searched in overlapping pieces, so that memory is bounded however long the text
     pieces = [(c, min(b, c + 8 * reach)) for a, b in spans for c in range(a, max(a + 1, b - 2 * reach), 6 * reach)]
-    found = [(hit, i0, i1, a + j0, a + j1) for a, b in pieces for hit, i0, i1, j0, j1 in stretches(item, doc[a:b])]
+    least = min(STRETCH, -(-len(item) // 4))
+    found = [(hit, i0, i1, a + j0, a + j1) for a, b in pieces for hit, i0, i1, j0, j1 in stretches(item, doc[a:b], least)]
     if not found:
         return 0, 0
     one = max(f[0] for f in found)
@@ -109,26 +114,26 @@ def covered(item, doc, spots) -> tuple[int, int]:
     # the best ones of the rest of the item before and after each stretch, where more could come of it: of stretches
     # that end alike in the item the first one in the doc leaves most behind it, and the last one most before it
     for (hit, i1), j1 in ends(found).items():
-        if hit + len(item) - i1 > two and len(item) - i1 >= STRETCH:
+        if hit + len(item) - i1 > two and len(item) - i1 >= least:
             for a, b in pieces:
-                if b - max(a, j1) >= STRETCH:
-                    two = max([two, *(hit + x[0] for x in stretches(item[i1:], doc[max(a, j1) : b]))])
+                if b - max(a, j1) >= least:
+                    two = max([two, *(hit + x[0] for x in stretches(item[i1:], doc[max(a, j1) : b], least))])
     for (hit, i0), j0 in starts(found).items():
-        if hit + i0 > two and i0 >= STRETCH:
+        if hit + i0 > two and i0 >= least:
             for a, b in pieces:
-                if min(b, j0) - a >= STRETCH:
-                    two = max([two, *(hit + x[0] for x in stretches(item[:i0], doc[a : min(b, j0)]))])
+                if min(b, j0) - a >= least:
+                    two = max([two, *(hit + x[0] for x in stretches(item[:i0], doc[a : min(b, j0)], least))])
     return one, two
 
 
-def stretches(item, doc) -> list[tuple[int, int, int, int, int]]:
+def stretches(item, doc, least: int) -> list[tuple[int, int, int, int, int]]:
     """(matched words, item start, item end, doc start, doc end): the best stretch, then the best one without the words of
     those before, until none has enough words."""
     out = []
     taken = doc.copy()
     while True:
         i0, i1, j0, j1, hit = stretch(item, taken)
-        if hit < STRETCH:
+        if hit < least:
             return out
         if hit >= DENSITY * (i1 - i0):
             out.append((hit, i0, i1, j0, j1))
@@ -164,16 +169,17 @@ def leaks(text: str, items: Items) -> list[tuple[int, float]]:
     w = words(text)
     spots: dict[int, dict] = {}
     first, seeds = items.first, items.seeds
-    for k in range(len(w) - N + 1):
-        if w[k] in first:
-            g = (w[k], w[k + 1], w[k + 2])
-            if g in seeds:
-                for i in seeds[g]:
-                    spots.setdefault(i, {}).setdefault(g, []).append(k)
+    for k, x in enumerate(w):
+        if x in first:
+            for n in items.sizes:
+                g = tuple(w[k : k + n])
+                if g in seeds and len(g) == n:
+                    for i in seeds[g]:
+                        spots.setdefault(i, {}).setdefault(g, []).append(k)
     out = []
     numbers = None
     for i, at in spots.items():
-        if len(at) < LEAST_SEEDS:
+        if len(at) < items.least[i]:
             continue
         if numbers is None:
             known: dict[str, int] = {}

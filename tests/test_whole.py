@@ -33,3 +33,13 @@ def test_pair_beside_many_repeated_quotations():
     assert [i for i, _ in leakage.leaks(text, items)] == [1]
     text = " ".join([*item[40:58], *["x"] * 12, *(item[14:43] + ["x"] * 12) * 6, *item[:12]])
     assert leakage.leaks(text, items) == []
+
+
+def test_short_items_leak():
+    fill = ["plain", "words", "of", "a", "page"] * 9
+    items = leakage.Items([(5, "kob zan tir mel dov"), (2, "Lun Par"), (1, "Qix"), (0, "--"), (9, " ".join(f"i{k}" for k in range(16)))])
+    one = lambda *w: sorted(i for i, _ in leakage.leaks(" ".join([*fill, *w, *fill]), items))
+    assert one("kob", "zan", "tir", "mel", "dov") == [5] == one("zan", "tir", "mel")
+    assert one("lun", "par!") == [2] and one("QIX") == [1] and one() == [] == one("kob", "zan") == one("par", "lun")
+    assert one("i0", "i1", "i2", "i3", *fill, "i11", "i12", "i13", "i14") == [9]
+    assert one("i11", "i12", "i13", "i14", *fill, "i0", "i1", "i2", "i3") == []
