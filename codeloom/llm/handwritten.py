@@ -115,8 +115,7 @@ def layout(text: str) -> tuple[float, float, float, int, str, int]:
 
 def header_verdict(comments: str, repo: str) -> str:
     """``generated`` or ``third_party`` by the leading comments, else empty; a licence in the project's own name is its own."""
-    first = comments[:2000]
-    lines = [re.sub(r"^[\s/*#<!;-]+", "", x) for x in first.splitlines()]
+    lines = [re.sub(r"^[\s/*#<!;-]+", "", x) for x in comments.splitlines()]
     if any(TOOL_MARK.search(x) for x in lines):
         return "generated"
     for x in lines:

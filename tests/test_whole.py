@@ -1,6 +1,6 @@
 """Queries and operators that do the whole job where a cut was."""
 
-from codeloom.llm import leakage
+from codeloom.llm import handwritten, leakage
 from codeloom.operators import evaluate, evolve, hierarchy
 
 
@@ -43,3 +43,11 @@ def test_short_items_leak():
     assert one("lun", "par!") == [2] and one("QIX") == [1] and one() == [] == one("kob", "zan") == one("par", "lun")
     assert one("i0", "i1", "i2", "i3", *fill, "i11", "i12", "i13", "i14") == [9]
     assert one("i11", "i12", "i13", "i14", *fill, "i0", "i1", "i2", "i3") == []
+
+
+def test_marks_after_a_long_banner():
+    banner = "// A banner that says nothing of who wrote the file.\n" * 60
+    for mark, verdict in (("// Code generated by tool v1. DO NOT EDIT.", "generated"), ("// Copyright (c) other contributors. SPDX-License-Identifier: MIT", "third_party")):
+        head = handwritten.layout(banner + mark + "\n\nfunc run() {\n}\n")[4]
+        assert len(head) > 2000 and handwritten.header_verdict(head, "harbor") == verdict
+    assert handwritten.header_verdict(banner, "harbor") == ""
