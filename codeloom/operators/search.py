@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import paths
 from codeloom.functions import text as T
+from codeloom.runtime import work_area
 
 K1, B, AVERAGE, LEAST_IDF = 1.2, 0.75, 50.0, 0.05
 #: Queries a pass; more are searched block by block.
@@ -181,6 +182,46 @@ def similar_symbols(symbols: DataFrame, names: list[str], k: int = 10) -> DataFr
     return top(hit.groupBy("query_id", "id").agg(F.round(score, 6).alias("score")), k)
 
 
+def hashed(id_: str = "id", parts: int = 100):
+    """Whether the hash of an id is divisible by ``parts``."""
+    return F.conv(F.substring(F.md5(F.col(id_).cast("binary")), 1, 8), 16, 10).cast("bigint") % parts == 0
+
+
+def similar_of(symbols: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, id, score, rank): as ``similar_symbols``, for every symbol whose id is in queries(id).
+
+    Symbols with the same words share what words add to a score, so words are joined once for each distinct set of them.
+    Kept of it are the sets that can be among the best k: kind and directory add 0.14 at most, and the k + 1 best sets hold
+    k other symbols. Of a set and kind the first k + 1 ids stand for all, but for those of the query's directory, which are joined by it.
+    """
+    words = F.array_sort(F.array_distinct(T.split_identifier(F.col("name"))))
+    s = symbols.select("id", "kind", paths.dirname(F.col("path")).alias("dir"), F.concat_ws(" ", words).alias("key")).where("key <> ''")
+    area = work_area(symbols.sparkSession, "similar")
+    s = area.put(s, "symbols")
+    sets = s.groupBy("key").agg(F.count("*").alias("n")).select("key", "n", F.explode(F.split("key", " ")).alias("word"))
+    weight = sets.groupBy("word").agg((1 / F.log(1.0 + F.sum("n"))).alias("w"))
+    q = s.join(queries.select("id"), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("kind").alias("own_kind"), F.col("dir").alias("own_dir"), F.col("key").alias("q"))
+    q = area.put(q, "queries")
+    asked = q.select("q").distinct().select("q", F.explode(F.split("q", " ")).alias("word")).join(weight, "word")
+    base = asked.join(sets.select("key", "word"), "word").groupBy("q", "key").agg(F.sum("w").alias("base"))
+    r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("base"), "key"))
+    least = F.min(F.when(F.col("r") <= k + 1, F.col("base"))).over(Window.partitionBy("q"))
+    base = area.put(base.withColumn("r", r).withColumn("least", least).where("base >= least - 0.15"), "base")
+    # sets and kinds that hold the best symbols but for the directory, for all queries of the same words and kind
+    heads = s.withColumn("r", F.row_number().over(Window.partitionBy("key", "kind").orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
+    kinds = heads.select("key", "kind").distinct()
+    alike = q.select("q", "own_kind").distinct().join(base.where("base >= least - 0.09").select("q", "key", "base"), "q").join(kinds, "key")
+    alike = alike.withColumn("part", F.round(F.col("base") + F.when(F.col("kind") == F.col("own_kind"), 0.08).otherwise(0.0), 6))
+    alike = alike.withColumn("place", F.rank().over(Window.partitionBy("q", "own_kind").orderBy(F.desc("part")))).where(F.col("place") <= k + 1)
+    cols = ["query_id", "id", "base", "kind", "own_kind", "dir", "own_dir"]
+    found = alike.join(heads.withColumnRenamed("kind", "k"), (F.col("k").eqNullSafe(F.col("kind"))) & (alike["key"] == heads["key"])).select("q", "own_kind", "id", "base", "kind", "dir")
+    found = q.withColumnRenamed("own_kind", "ok").join(found.withColumnRenamed("q", "fq"), (F.col("fq") == F.col("q")) & F.col("ok").eqNullSafe(F.col("own_kind"))).select(*cols)
+    near = q.join(s.withColumn("own_dir", F.col("dir")), "own_dir").join(base.select("q", "key", "base"), ["q", "key"]).select(*cols)
+    found = found.unionByName(near).where("id <> query_id").dropDuplicates(["query_id", "id"])
+    score = F.col("base") + F.when(F.col("kind") == F.col("own_kind"), 0.08).otherwise(0.0) + F.when(F.col("dir") == F.col("own_dir"), 0.06).otherwise(0.0)
+    return top(found.select("query_id", "id", F.round(score, 6).alias("score")), k)
+
+
 def trigram_index(symbols: DataFrame) -> DataFrame:
     """Inverted index (gram, id) of the distinct trigrams of name, path and signature; write it partitioned by a gram prefix."""
     return symbol_docs(symbols).select("id", F.explode(F.array_distinct(T.trigrams(F.col("doc")))).alias("gram"))

@@ -125,6 +125,18 @@ def similar_symbols(spark: SparkSession, d: str) -> DataFrame:
     return search.similar_symbols(graph.load_graph(spark, d).symbols, ["flushLedger", "resolveSignal", "splitInvoice"])
 
 
+@query(GRAPH + f""", w0 AS (SELECT id, kind, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS dir, list_distinct({_words('name')}) AS words FROM s),
+w AS (SELECT id, kind, dir, unnest(words) AS word FROM w0), n AS (SELECT word, count(*) AS df FROM w GROUP BY 1),
+a AS (SELECT id AS query_id, kind AS k, dir AS d, word FROM w WHERE ('0x' || substr(md5(id), 1, 8))::BIGINT % 100 = 0),
+h AS (SELECT query_id, w.id, round(sum(1 / ln(1.0 + df)) + CASE WHEN any_value(w.kind) = any_value(k) THEN 0.08 ELSE 0 END + CASE WHEN any_value(dir) = any_value(d) THEN 0.06 ELSE 0 END, 6) AS score
+  FROM a JOIN w USING (word) JOIN n USING (word) WHERE w.id <> query_id GROUP BY query_id, w.id),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM h) SELECT query_id, id, score, rank FROM o WHERE rank <= 10""")
+def similar_symbols_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As ``similar_symbols``, for every symbol whose hashed id is divisible by 100."""
+    s = graph.load_graph(spark, d).symbols
+    return search.similar_of(s, s.where(search.hashed()))
+
+
 @query(GRAPH + f""", h AS (SELECT *, CASE WHEN lower(name) = 'flushledger' THEN 0 WHEN lower(name) LIKE '%.flushledger' THEN 1 ELSE 2 END AS tier FROM s WHERE contains(lower(name), 'flushledger')),
 b AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY repo_id) AS best FROM h) WHERE tier = best),
 o AS (SELECT repo_id, id, name, row_number() OVER (PARTITION BY repo_id ORDER BY CASE WHEN {matches('path', paths.FIXTURE)} THEN 1 ELSE 0 END, path, name, id)::INT AS rank FROM b) SELECT * FROM o WHERE rank <= 5""")

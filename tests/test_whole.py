@@ -1,7 +1,9 @@
 """Queries and operators that do the whole job where a cut was."""
 
+from pyspark.sql import functions as F
+
 from codeloom.llm import handwritten, leakage
-from codeloom.operators import evaluate, evolve, hierarchy
+from codeloom.operators import evaluate, evolve, hierarchy, search
 
 
 def test_days_of_many_files_count(spark, rows):
@@ -51,3 +53,13 @@ def test_marks_after_a_long_banner():
         head = handwritten.layout(banner + mark + "\n\nfunc run() {\n}\n")[4]
         assert len(head) > 2000 and handwritten.header_verdict(head, "harbor") == verdict
     assert handwritten.header_verdict(banner, "harbor") == ""
+
+
+def test_every_hashed_symbol_is_a_query(spark):
+    names = ["flushLedger", "ledgerFlush", "splitLedger", "flush", "mergeInvoice"]
+    s = spark.createDataFrame([(f"s{i:04d}", names[i * i % 5], ("function", "method", None)[i % 3], f"d{i % 7}/a.py") for i in range(900)], "id string, name string, kind string, path string")
+    asked = {r["id"] for r in s.where(search.hashed()).collect()}
+    got = search.similar_of(s, s.where(search.hashed())).collect()
+    assert len(asked) > 1 and {r["query_id"] for r in got} == asked and len(got) == 10 * len(asked)
+    r = {(x["query_id"], x["rank"]): (x["id"], x["score"]) for x in got}
+    assert all(r[q, k][1] >= r[q, k + 1][1] for q in asked for k in range(1, 10))
