@@ -1,25 +1,40 @@
 """Evaluation items that leaked into training texts, with the documents that hold them.
 
-Words that layout, markup and escapes leave over are compared. Rare word n-grams of the items (held by the fewest items)
-are the seeds: a document with seeds of an item is aligned with it around them, by local (Smith-Waterman) alignment, so
-that changed, added and dropped words cost little. The best stretch and the best further one in the item's order count
-together; an item leaked where they cover at least half of its words.
+Words that layout, markup and escapes leave over are compared. The seeds are pairs of item words at most two words apart:
+an isolated changed, added or dropped word never parts two pairs of kept neighbours, so a document that holds at least
+half of an item in two stretches has a known least number of its pairs. Pairs are counted over the whole corpus; of each
+item the commonest ones (as many as that least number can spare) are no seeds, the rare rest is joined, as a table of
+(pair, item), to the pairs of the documents. Pairs of document and item with enough seeds are aligned by local
+(Smith-Waterman) alignment. The best stretch and the best further one in the item's order count together; an item leaked
+where they cover at least half of its words.
+
+The corpus is read once, however many items there are: what a task needs of them to leave words out is a bitmap of fixed
+greatest size.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-N, LEAST_SEEDS, SHARE = 3, 3, 0.5
+from codeloom.runtime import WorkArea, work_area
+
+#: Share of an item's words that must be held; distances of the words of a pair.
+SHARE, APART = 0.5, (1, 2)
 #: Fewest matched words of a stretch (of an item under 29 words a quarter of them), and of those of the item's words it spans.
-STRETCH, DENSITY = 8, 0.6
-MATCH, MISS, GAP = 2, -2, -2
-#: The items are broadcast to the tasks up to so many characters; beyond that they are searched in blocks of that size.
-ITEM_CHARS = 20_000_000
+STRETCH, DENSITY = 8, 0.5
+MATCH, MISS, GAP = 2, -1, -1
+#: Bits of the hash by which bitmaps are addressed, at least and at most: 8 kB to 16 MB, whatever the number of items.
+FEWEST_BITS, MOST_BITS = 16, 27
+#: Of the words that a leak must hold, the share that must be linked to another kept one of the item at most two words away.
+LINKED = 0.9
+#: Items are sent to every task up to so many bytes as written, else joined by a shuffle.
+ITEM_BYTES = 32_000_000
+#: Spellings a task remembers, documents it handles at once.
+SPELLINGS, AT_ONCE = 500_000, 256
 
 WORD = re.compile(r"[^\W_]+")
 TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>|<!--.*?-->", re.S)
@@ -37,30 +52,6 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-class Items:
-    """Seeds of a block of items: word n-grams by the items that hold them, of each item only the rarest ones."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.words = {i: words(t or "") for i, t in items}
-        held = defaultdict(set)
-        grams = {i: {tuple(w[k : k + n]) for n in [min(N, len(w))] if n for k in range(len(w) - n + 1)} for i, w in self.words.items()}
-        for i, own in grams.items():
-            for g in own:
-                held[g].add(i)
-        self.seeds: dict[tuple, list[int]] = defaultdict(list)
-        #: seeds that a text must hold: as many as half of the item in two stretches has, and no more than there are
-        self.least: dict[int, int] = {}
-        for i, own in grams.items():
-            ranks = sorted(len(held[g]) for g in own)
-            most = max(1, ranks[len(ranks) // 4]) if ranks else 1  # items that repeat each other still have seeds
-            rare = [g for g in own if len(held[g]) <= most]
-            for g in rare:
-                self.seeds[g].append(i)
-            self.least[i] = max(1, min(LEAST_SEEDS, len(rare), -(-len(self.words[i]) // 2) - 2 * (N - 1)))
-        self.sizes = sorted({len(g) for g in self.seeds})
-        self.first = {g[0] for g in self.seeds}
-
-
 def stretch(item, doc):
     """Best local alignment of two arrays of word numbers: (item start, item end, doc start, doc end, matched words)."""
     import numpy as np
@@ -98,7 +89,7 @@ def covered(item, doc, spots) -> tuple[int, int]:
     reach = len(item) + len(item) // 2
     spans: list[list[int]] = []
     for s in sorted(spots):
-        a, b = max(0, s - reach), min(len(doc), s + reach + N)
+        a, b = max(0, s - reach), min(len(doc), s + reach + max(APART))
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], b)
         else:
@@ -137,7 +128,7 @@ def stretches(item, doc, least: int) -> list[tuple[int, int, int, int, int]]:
             return out
         if hit >= DENSITY * (i1 - i0):
             out.append((hit, i0, i1, j0, j1))
-        taken[j0:j1] = -2
+        taken[j0:j1] = 0  # no word of the item
 
 
 def ends(found) -> dict[tuple[int, int], int]:
@@ -162,67 +153,313 @@ def pair(found) -> int:
     return max((x + y for (x, i1), j1 in ends(found).items() for (y, i0), j0 in last if i1 <= i0 and j1 <= j0), default=0)
 
 
-def leaks(text: str, items: Items) -> list[tuple[int, float]]:
-    """(item, share of its words covered) of the items that leaked into the text."""
+def word_hash(word: str) -> int:
+    """64 bits of a word, never 0 (which stands for words of no item)."""
+    import xxhash
+
+    n = xxhash.xxh3_64_intdigest(word) or 1
+    return n - (1 << 64) if n >= 1 << 63 else n
+
+
+def mixed(a, b):
+    """64-bit keys of pairs of word hashes, in order."""
     import numpy as np
 
-    w = words(text)
-    spots: dict[int, dict] = {}
-    first, seeds = items.first, items.seeds
-    for k, x in enumerate(w):
-        if x in first:
-            for n in items.sizes:
-                g = tuple(w[k : k + n])
-                if g in seeds and len(g) == n:
-                    for i in seeds[g]:
-                        spots.setdefault(i, {}).setdefault(g, []).append(k)
-    out = []
-    numbers = None
-    for i, at in spots.items():
-        if len(at) < items.least[i]:
-            continue
-        if numbers is None:
-            known: dict[str, int] = {}
-            numbers = np.array([known.setdefault(x, len(known)) for x in w], dtype=np.int32)
-        item = np.array([known.get(x, -1) for x in items.words[i]], dtype=np.int32)
-        _, two = covered(item, numbers, [k for ks in at.values() for k in ks])
-        share = two / len(item)
-        if share >= SHARE:
-            out.append((i, share))
-    return out
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def seeds_of(tokens, least_links: int | None = None):
+    """Keys and both places of the pairs of an array of word hashes; words of no item are in none.
+
+    An item so short that half of it may be single words (no link between two is certain) has its words as keys too.
+    """
+    import numpy as np
+
+    keys, first, second = [], [], []
+    for d in APART:
+        a, b = tokens[:-d], tokens[d:]
+        ok = np.flatnonzero((a != 0) & (b != 0))
+        keys.append(mixed(a[ok], b[ok])), first.append(ok), second.append(ok + d)
+    if least_links is not None and least_links <= 0:
+        ok = np.flatnonzero(tokens)
+        keys.append(tokens[ok]), first.append(ok), second.append(ok)
+    return np.concatenate(keys), np.concatenate(first), np.concatenate(second)
+
+
+def links(n: int) -> int:
+    """Links between neighbouring words that a document with half of an item of n words has at least (in two stretches)."""
+    return -(-n // 2) - 2
+
+
+def needed(n: int) -> int:
+    """Seeds asked for: half of the links, so that some edits may lie side by side."""
+    return max(1, links(n) // 2)
+
+
+class Item:
+    """Word hashes of an item with its keys, each with its two places."""
+
+    def __init__(self, words):
+        import numpy as np
+
+        n = len(words)
+        keys, first, second = seeds_of(words, links(n))
+        order = np.argsort(keys, kind="stable")
+        self.words, self.keys, self.first, self.second = words, keys[order], first[order], second[order]
+        self.places: dict[int, int] = {}
+        for k, w in enumerate(words.tolist()):
+            self.places[w] = self.places.get(w, 0) | 1 << k
+
+    def in_order(self, words: list[int]) -> int:
+        """Length of the longest common subsequence with the words, a bit for each place of the item."""
+        whole = (1 << len(self.words)) - 1
+        v = whole
+        for w in words:
+            m = self.places.get(w, 0)
+            v = (v + (v & m)) | (v & ~m)
+        return len(self.words) - (v & whole).bit_count()
+
+
+class Doc:
+    """Word hashes of a document with its keys (pairs, and single words for short items), sorted, and their places."""
+
+    def __init__(self, words):
+        import numpy as np
+
+        keys, first, second = seeds_of(words, 0)
+        order = np.argsort(keys, kind="stable")
+        self.words, self.keys, self.first, self.second = words, keys[order], first[order], second[order]
+
+
+def held(item: Item, doc: Doc) -> float:
+    """Share of the item's words that the document holds in one or two stretches, 0 where too few are linked to say so."""
+    import numpy as np
+
+    n = len(item.words)
+    if not n or not len(doc.keys):
+        return 0.0
+    at = np.minimum(np.searchsorted(doc.keys, item.keys), len(doc.keys) - 1)
+    hit = doc.keys[at] == item.keys
+    linked = np.zeros(n, bool)
+    linked[item.first[hit]] = linked[item.second[hit]] = True
+    if linked.sum() < LINKED * SHARE * n:
+        return 0.0
+    keys = item.keys[hit]
+    at = np.minimum(np.searchsorted(keys, doc.keys), len(keys) - 1)
+    hit = keys[at] == doc.keys
+    linked = np.zeros(len(doc.words), bool)
+    linked[doc.first[hit]] = linked[doc.second[hit]] = True
+    if item.in_order(doc.words[linked].tolist()) < LINKED * SHARE * n:  # two stretches in order are no longer than this
+        return 0.0
+    _, two = covered(item.words, doc.words, np.unique(doc.first[hit]).tolist())
+    return two / n
+
+
+class Numbers:
+    """Hashes of words; 0 for those that the bitmap has not. Spellings seen are remembered up to a bound."""
+
+    def __init__(self, bitmap=None):
+        self.bitmap, self.seen = bitmap, {}
+
+    def of(self, text: str):
+        import numpy as np
+
+        seen, found = self.seen, words(text)
+        if len(seen) > SPELLINGS:
+            seen.clear()
+        for w in set(found).difference(seen):
+            n = word_hash(w)
+            seen[w] = n if self.bitmap is None or self.bitmap.has(np.array([n]))[0] else 0
+        return np.fromiter(map(seen.__getitem__, found), np.int64, len(found))
+
+
+class Bitmap:
+    """Which addresses (leading bits of a hash) occur; built by the JVM as rows (bucket from 1, 4096 bytes)."""
+
+    def __init__(self, bits: int, rows: list[tuple[int, bytes]]):
+        self.bits, self.rows = bits, rows
+        self.flat = None
+
+    def has(self, hashes):
+        import numpy as np
+
+        if self.flat is None:
+            self.flat = np.zeros(max(4096, 1 << self.bits - 3), np.uint8)
+            for k, x in self.rows:
+                self.flat[(k - 1) * 4096 : k * 4096] = np.frombuffer(x, np.uint8)
+        at = (hashes.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.flat[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    def __getstate__(self):
+        return {"bits": self.bits, "rows": self.rows, "flat": None}
+
+
+def bitmap_of(hashes: DataFrame, n: int) -> Bitmap:
+    """hashes(key BIGINT), about n of them; the driver gets at most 2^MOST_BITS bits."""
+    bits = min(MOST_BITS, max(FEWEST_BITS, (max(1, n) * 32).bit_length()))
+    slot = F.shiftrightunsigned("key", 64 - bits)
+    rows = hashes.select((F.bitmap_bucket_number(slot + 1)).alias("b"), F.bitmap_bit_position(slot + 1).alias("p"))
+    return Bitmap(bits, [(r[0], bytes(r[1])) for r in rows.groupBy("b").agg(F.bitmap_construct_agg("p").alias("x")).collect()])
+
+
+def _item_words(batches):
+    import pyarrow as pa
+
+    numbers = Numbers()
+    for b in batches:
+        found = [numbers.of(t) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["item_id", "words"])
+
+
+def _item_seeds(batches):
+    """A row for each key of an item: its number of places, the places needed, those that can be spared, and how many of
+    the item's keys have the places needed at the least."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = ["item_no", "key", "places", "need", "spare", "fewest"]
+    for b in batches:
+        out = [[] for _ in names]
+        for no, w in zip(b.column(0).to_pylist(), b.column(1)):
+            w = np.array(w.values, np.int64)
+            keys, n = np.unique(seeds_of(w, links(len(w)))[0], return_counts=True)
+            need = needed(len(w))
+            fewest = np.searchsorted(np.cumsum(np.sort(n)[::-1]), need) + 1
+            for c, x in zip(out, (no, keys, n, need, max(0, links(len(w)) - need), fewest)):
+                c.append(np.broadcast_to(x, len(keys)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], names)
+
+
+def _doc_keys(numbers: list, singles: bool):
+    """Keys of several documents with the number of the document, each once."""
+    import numpy as np
+
+    gap = np.zeros(max(APART), np.int64)
+    flat = np.concatenate([x for n in numbers for x in (n, gap)])
+    doc = np.repeat(np.arange(len(numbers)), [len(n) + len(gap) for n in numbers])
+    keys, at, _ = seeds_of(flat, 0 if singles else None)
+    return keys, doc[at]
+
+
+def _scan(words_sent, pairs_sent, least: int, singles: bool):
+    """Of each document with at least ``least`` pairs of items its words (0: of no item); of each key the documents with it."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        numbers, pairs = Numbers(words_sent.value), pairs_sent.value
+        for whole in batches:
+            kept, tokens, counted = [], [], []
+            for a in range(0, whole.num_rows, AT_ONCE):
+                part = whole.slice(a, AT_ONCE)
+                found = [numbers.of(t) for t in part.column(1).to_pylist()]
+                keys, doc = _doc_keys(found, singles)
+                ok = pairs.has(keys)
+                both = np.unique(np.stack([doc[ok], keys[ok]]), axis=1) if ok.any() else np.zeros((2, 0), np.int64)
+                enough = np.bincount(both[0], minlength=len(found)) >= least
+                kept += (np.flatnonzero(enough) + a).tolist()
+                tokens += [found[i] for i in np.flatnonzero(enough)]
+                counted.append(both[1])
+            keys, n = np.unique(np.concatenate(counted) if counted else np.zeros(0, np.int64), return_counts=True)
+            k, m = len(kept), len(keys)
+            ids = pa.concat_arrays([whole.column(0).take(pa.array(kept, pa.int64())), pa.nulls(m, whole.schema.field(0).type)])
+            lists = pa.concat_arrays([pa.array(tokens, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))])
+            none = pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, lists, *[pa.concat_arrays([none, pa.array(x, pa.int64())]) for x in (keys, n)]], ["doc_id", "tokens", "key", "n"])
+
+    return run
+
+
+def _keys_of_docs(pairs_sent, singles: bool):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        pairs = pairs_sent.value
+        for whole in batches:
+            for a in range(0, whole.num_rows, AT_ONCE):
+                part = whole.slice(a, AT_ONCE)
+                keys, doc = _doc_keys([np.array(x.values, np.int64) for x in part.column(1)], singles)
+                ok = pairs.has(keys)
+                both = np.unique(np.stack([doc[ok], keys[ok]]), axis=1) if ok.any() else np.zeros((2, 0), np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(both[0])), pa.array(both[1], pa.int64())], ["doc_id", "key"])
+
+    return run
+
+
+def _align(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    items: dict[int, Item] = {}
+    doc = None
+    for b in batches:
+        if len(items) > AT_ONCE * 16:
+            items.clear()
+        (w, w_ends), (t, t_ends) = [(c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (b.column(3), b.column(4))]
+        good, share = [], []
+        for k, no in enumerate(b.column(1).to_pylist()):
+            tokens = t[t_ends[k] : t_ends[k + 1]]
+            if doc is None or not np.array_equal(doc.words, tokens):
+                doc = Doc(tokens.copy())
+            if no not in items:
+                items[no] = Item(w[w_ends[k] : w_ends[k + 1]].copy())
+            x = held(items[no], doc)
+            if x >= SHARE:
+                good.append(k), share.append(x)
+        at = pa.array(good, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(share, pa.float64())], ["doc_id", "item_id", "share"])
+
+
+def seeds(keys: DataFrame, counts: DataFrame) -> DataFrame:
+    """keys(item_no, key, places, need, spare, ...), counts(key, n documents) -> (key, item_no, places, need) of the rare ones.
+
+    Of each item the commonest keys (held by most documents and items) are left out, as many places as it can spare: a
+    document that holds half of the item still has ``need`` of the others.
+    """
+    held_by = keys.groupBy("key").agg(F.count("*").alias("items"))
+    known = keys.join(held_by, "key").join(counts, "key", "left")
+    common = Window.partitionBy("item_no").orderBy(F.desc(F.coalesce("n", F.lit(0)) + F.col("items")), "key")  # the keys of one item
+    return known.withColumn("upto", F.sum("places").over(common)).where("upto > spare").select("key", "item_no", "places", "need")
 
 
 def found_leaks(documents: DataFrame, eval_items: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, item_id, share) of every document that holds an item fully or partly.
 
     Whole texts are searched; null and empty texts and items hold nothing. Rows that repeat an item_id count as one item
-    each text of which may leak; rows that repeat a document give one row. Items are sent to all tasks in blocks of at
-    most ``ITEM_CHARS`` characters, whatever their number.
+    each text of which may leak; rows that repeat a document give one row. Of an item of four words or fewer, single
+    words in order count as stretches. Nothing is found only where more than half of the links between the kept words
+    of a leak are cut, by changes that lie side by side.
     """
-    from pyspark.sql import functions as F
-
+    area = work_area(documents.sparkSession, "leaks")
+    sc = documents.sparkSession.sparkContext
+    kind = eval_items.schema["item_id"].dataType.simpleString()
     rows = eval_items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // ITEM_CHARS))
+    items = area.put(rows.mapInArrow(_item_words, f"item_id {kind}, words array<bigint>").where("size(words) > 0").withColumn("item_no", F.monotonically_increasing_id()), "items")
+    keys = area.put(items.select("item_no", "words").mapInArrow(_item_seeds, "item_no bigint, key bigint, places bigint, need bigint, spare bigint, fewest bigint"), "keys")
+    n_keys, fewest = keys.agg(F.count("*"), F.min("fewest")).first()
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    if not n_keys:
+        return documents.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {eval_items.schema['item_id'].dataType.simpleString()}, share double")
+    singles = items.where(F.size("words") <= 4).limit(1).count() > 0
+    words_sent = sc.broadcast(bitmap_of(items.select(F.explode("words").alias("key")), n_keys))
+    pairs_sent = sc.broadcast(bitmap_of(keys, n_keys))
     src = documents.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select("doc_id", F.col(text).alias("text"))
-    kind = src.schema["doc_id"].dataType.simpleString()
-    whole = None
-    for b in range(blocks):
-        part = [(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()]
-        sent = documents.sparkSession.sparkContext.broadcast(part)
-
-        def search(batches, sent=sent):
-            import pyarrow as pa
-
-            items = Items([(k, t) for k, (_, t) in enumerate(sent.value)])
-            ids = [i for i, _ in sent.value]
-            for batch in batches:
-                d, i, s = [], [], []
-                for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for item, share in leaks(t, items):
-                        d.append(doc), i.append(ids[item]), s.append(share)
-                yield pa.RecordBatch.from_arrays([pa.array(d, batch.schema.field(0).type), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["doc_id", "item_id", "share"])
-
-        one = src.mapInArrow(search, f"doc_id {kind}, item_id bigint, share double")
-        whole = one if whole is None else whole.unionByName(one)
-    return whole.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+    scanned = area.put(src.mapInArrow(_scan(words_sent, pairs_sent, fewest, singles), f"doc_id {kind}, tokens array<bigint>, key bigint, n bigint"), "scanned")
+    counts = scanned.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
+    docs = scanned.where("tokens IS NOT NULL").select("doc_id", "tokens")
+    theirs = docs.mapInArrow(_keys_of_docs(pairs_sent, singles), f"doc_id {kind}, key bigint")
+    hits = theirs.join(area.put(seeds(keys, counts), "seeds"), "key").groupBy("doc_id", "item_no").agg(F.sum("places").alias("hits"), F.max("need").alias("need"))
+    near = hits.where("hits >= need").select("doc_id", "item_no")
+    # alignment takes far longer than its bytes suggest: a number of partitions keeps them from being merged
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if area.bytes("items") <= ITEM_BYTES:
+        pairs = docs.repartition(parts, "doc_id").join(near.repartition(parts, "doc_id"), "doc_id").join(F.broadcast(items), "item_no")
+    else:
+        pairs = docs.repartition(parts, "doc_id").join(near.join(items, "item_no").repartition(parts, "doc_id"), "doc_id")
+    pairs = pairs.select("doc_id", "item_no", "item_id", "words", "tokens")
+    found = pairs.mapInArrow(_align, f"doc_id {kind}, item_id {eval_items.schema['item_id'].dataType.simpleString()}, share double")
+    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
