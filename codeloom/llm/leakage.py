@@ -119,7 +119,7 @@ def covered(item, doc, spots) -> tuple[int, int]:
 
 def stretches(item, doc, least: int) -> list[tuple[int, int, int, int, int]]:
     """(matched words, item start, item end, doc start, doc end): the best stretch, then the best one without the words of
-    those before, until none has enough words."""
+    those before, until none has enough words (or the item has too few left)."""
     out = []
     taken = doc.copy()
     while True:
@@ -128,6 +128,8 @@ def stretches(item, doc, least: int) -> list[tuple[int, int, int, int, int]]:
             return out
         if hit >= DENSITY * (i1 - i0):
             out.append((hit, i0, i1, j0, j1))
+            if len(item) - hit < least:
+                return out
         taken[j0:j1] = 0  # no word of the item
 
 
@@ -267,11 +269,16 @@ class Numbers:
         import numpy as np
 
         seen, found = self.seen, words(text)
-        if len(seen) > SPELLINGS:
-            seen.clear()
-        for w in set(found).difference(seen):
-            n = word_hash(w)
-            seen[w] = n if self.bitmap is None or self.bitmap.has(np.array([n]))[0] else 0
+        try:
+            return np.fromiter(map(seen.__getitem__, found), np.int64, len(found))
+        except KeyError:
+            if len(seen) > SPELLINGS:
+                seen.clear()
+        new = list(set(found).difference(seen))
+        hashes = np.fromiter(map(word_hash, new), np.int64, len(new))
+        if self.bitmap is not None:
+            hashes[~self.bitmap.has(hashes)] = 0
+        seen.update(zip(new, hashes.tolist()))
         return np.fromiter(map(seen.__getitem__, found), np.int64, len(found))
 
 
@@ -332,15 +339,18 @@ def _item_seeds(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], names)
 
 
-def _doc_keys(numbers: list, singles: bool):
-    """Keys of several documents with the number of the document, each once."""
+def _doc_keys(numbers: list, pairs: Bitmap, singles: bool):
+    """Keys of several documents that the bitmap has: the number of the document and the key, each once."""
     import numpy as np
 
     gap = np.zeros(max(APART), np.int64)
     flat = np.concatenate([x for n in numbers for x in (n, gap)])
     doc = np.repeat(np.arange(len(numbers)), [len(n) + len(gap) for n in numbers])
     keys, at, _ = seeds_of(flat, 0 if singles else None)
-    return keys, doc[at]
+    ok = pairs.has(keys)
+    each, number = np.unique(keys[ok], return_inverse=True)
+    both = np.unique(doc[at[ok]] * len(each) + number)
+    return both // max(1, len(each)), each[both % max(1, len(each))]
 
 
 def _scan(words_sent, pairs_sent, least: int, singles: bool):
@@ -356,13 +366,11 @@ def _scan(words_sent, pairs_sent, least: int, singles: bool):
             for a in range(0, whole.num_rows, AT_ONCE):
                 part = whole.slice(a, AT_ONCE)
                 found = [numbers.of(t) for t in part.column(1).to_pylist()]
-                keys, doc = _doc_keys(found, singles)
-                ok = pairs.has(keys)
-                both = np.unique(np.stack([doc[ok], keys[ok]]), axis=1) if ok.any() else np.zeros((2, 0), np.int64)
-                enough = np.bincount(both[0], minlength=len(found)) >= least
+                doc, keys = _doc_keys(found, pairs, singles)
+                enough = np.bincount(doc, minlength=len(found)) >= least
                 kept += (np.flatnonzero(enough) + a).tolist()
                 tokens += [found[i] for i in np.flatnonzero(enough)]
-                counted.append(both[1])
+                counted.append(keys)
             keys, n = np.unique(np.concatenate(counted) if counted else np.zeros(0, np.int64), return_counts=True)
             k, m = len(kept), len(keys)
             ids = pa.concat_arrays([whole.column(0).take(pa.array(kept, pa.int64())), pa.nulls(m, whole.schema.field(0).type)])
@@ -382,10 +390,8 @@ def _keys_of_docs(pairs_sent, singles: bool):
         for whole in batches:
             for a in range(0, whole.num_rows, AT_ONCE):
                 part = whole.slice(a, AT_ONCE)
-                keys, doc = _doc_keys([np.array(x.values, np.int64) for x in part.column(1)], singles)
-                ok = pairs.has(keys)
-                both = np.unique(np.stack([doc[ok], keys[ok]]), axis=1) if ok.any() else np.zeros((2, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(both[0])), pa.array(both[1], pa.int64())], ["doc_id", "key"])
+                doc, keys = _doc_keys([np.array(x.values, np.int64) for x in part.column(1)], pairs, singles)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(keys, pa.int64())], ["doc_id", "key"])
 
     return run
 
