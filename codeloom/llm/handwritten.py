@@ -1,15 +1,17 @@
 """Files that nobody in the project wrote by hand: generated, minified, third-party and data files.
 
-Each stored text is lexed whole and emitted again in canonical layout (one statement a line). What the original layout
-looks like next to it decides: a text that expands many times over is minified; one whose lines all have the same shape,
-but for names and numbers, was printed by a tool; one that consists almost wholly of literals is data saved as code.
-Headers (tool markers, licences of other holders) and paths (lock files, tools' output names, third-party folders)
-add what layout cannot show. Copies of a recognised third-party file are found by content hash too.
+Each stored text is lexed whole and emitted again in canonical layout: one statement a line, indented by its depth, one
+space between tokens. The original layout is compared with it. A text that expands many times over is minified; one whose
+canonical lines all have one shape, but for names and numbers, was printed by a tool; one that consists almost wholly of
+literals is data saved as code. What layout leaves open the leading comments settle, as the lexer finds them (does a
+sentence say that a tool wrote this file; does a licence name a holder outside the project), then the path (lock files,
+tools' output names, third-party folders) and, for copies of a recognised third-party file, the content hash.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +29,19 @@ OUTPUT_FOLDERS = r"(^|/)(__generated__|generated|generated-sources|generated-src
 BUNDLE_NAMES = r"(\.min\.(js|css|mjs)|[.-]bundle\.(js|css)|\.chunk\.(js|css)|[.-](?=[0-9a-f]*[0-9])[0-9a-f]{8,20}\.(js|css|mjs))$"
 THIRD_PARTY_FOLDERS = r"(^|/)(vendor|vendored|_vendor|third_party|third-party|thirdparty|3rdparty|node_modules|bower_components|jspm_packages|site-packages|dist-packages|pods|carthage|deps|extern|external|externals|godeps|\.venv|venv)/"
 
-#: A comment that says a tool wrote the file. The words must speak of this file, not of what its code generates.
-TOOL_MARK = re.compile(
-    r"@generated\b|\bauto-?\s?generated\s+(file|code|by|from|source|module)\b|\bautogenerated\b|\bmachine[- ](written|generated|made)\b|\bcode generated by\b|\bthis (file|code|module|source) (was|is|has been)( automatically| auto-?)? ?(generated|written|produced|created) (by|from|with)\b"
-    r"|^\W*(generated|produced|written|created|emitted) (by|from|with|using)\b|(^|[.;:!)-]\s*)do not (edit|modify|change)\b|^auto-?generated>|\b(edit|change) (the )?(template|schema|source|generator|spec|definition)s?\b.{0,20}\b(not|instead)\b|\bchanges (here |to this file )?(will|are) (be )?(lost|overwritten)\b|\bany edits? (will|are) (be )?(lost|overwritten)\b|\bregenerate with\b|\bto regenerate\b|\bmake \S+` to refresh\b",
-    re.I,
-)
+# Words by which a comment says that a tool wrote the file it stands in.
+MADE = set("generated autogenerated autocreated produced emitted compiled rendered printed".split())
+BY_ANYONE = set("written created built made".split())  # people do so too, unless it says automatically
+AUTO = set("auto automatic automatically machine mechanically programmatically".split())
+ITSELF = set("file code module source class header document output bindings stub stubs script".split())
+LINKS = set("this the these was is are were has have been being".split())
+BY = set("by from with using via".split())
+CHANGE = set("edit modify change touch alter".split())
+CHANGES = set("change changes edit edits modification modifications".split())
+LOST = set("lost overwritten discarded clobbered".split())
+ORIGIN = set("template templates schema generator spec specification definition definitions idl grammar".split())
+AGAIN = set("regenerate refresh recreate rebuild".split())
+RUN = set("run make invoke execute call".split())
 LICENCE = re.compile(r"SPDX-License-Identifier|\bdistributed under\b|\blicen[sc]ed? (under|at|:)|\(c\)\s|©|\b(MIT|ISC|BSD-\d-Clause|Apache-2\.0|MPL-2\.0|A?L?GPL-[\d.]+|Unlicense|Zlib)\b( licen[cs]e)?", re.I)
 OWN = re.compile(r"\bcopyright\s+(?:\(c\)\s*)?(?:\d{4}\S*\s+)?(?:the\s+)?([\w.-]+)|\bpart of\s+([\w.-]+)|\(c\)\s*(?:\d{4}\S*\s+)?(?:the\s+)?([\w.-]+)|^\W*([\w.-]+?) v?\d+\.\d+", re.I)
 
@@ -51,51 +60,79 @@ TOKEN = re.compile(
 )
 
 
-def layout(text: str) -> tuple[float, float, float, int, str, int]:
-    """Of a text: expansion in canonical layout, share of literal characters, share and number of its lines that have the
-    commonest shape, its leading comments, and the number of its lines."""
-    canonical, lines, open_statement, depth = 0, 0, False, 0
-    literal = solid = 0
-    shapes: dict[str, int] = {}
+@dataclass
+class Layout:
+    """A text next to its canonical form."""
+
+    canonical: list  # its lines
+    lines: int  # of the original, without blank ones
+    longest: int
+    literal: float  # share of literal characters
+    uniform: float  # share of canonical lines with the commonest shape
+    alike: int  # and their number
+    comments: str  # before any code
+
+    @property
+    def expansion(self) -> float:
+        return len(self.canonical) / max(1, self.lines)
+
+    def verdict(self) -> str:
+        if self.literal >= LITERAL and (self.longest >= LONG_LINE or self.lines >= UNIFORM_LINES):
+            return "data"
+        if self.expansion >= EXPANSION and self.longest >= LONG_LINE:
+            return "minified"
+        return "generated" if self.uniform >= UNIFORM and self.alike >= UNIFORM_LINES else ""
+
+
+def layout(text: str) -> Layout:
+    """Lex a text and emit it canonically: a statement ends at a brace, at a semicolon or line end outside brackets."""
+    out: list[str] = []
+    line: list[str] = []
     shape: list[str] = []
-    numbers = set()
+    shapes: dict[str, int] = {}
     head: list[str] = []
-    leading, importing = True, False
+    lines = indent = depth = literal = solid = 0
+    leading, importing, used = True, False, False
 
-    def end_line():
-        nonlocal lines, shape
-        if shape:
-            lines += 1
+    def end():
+        nonlocal line, shape
+        if line:
+            out.append("  " * indent + " ".join(line))
             s = "".join(shape)
             shapes[s] = shapes.get(s, 0) + 1
-            shape = []
+            line, shape = [], []
 
     for m in TOKEN.finditer(text):
         kind, t = m.lastgroup, m.group()
         if kind == "newline":
-            end_line()
-            if depth <= 0 and open_statement:
-                canonical, open_statement = canonical + 1, False
+            lines, used = lines + used, False
+            if depth <= 0:
+                end()
             continue
         if kind == "space":
             continue
+        used = True
         if kind == "comment":
+            lines += t.count("\n")
             if leading:
                 head.append(t)
-            shape.append("c")
-            canonical += 1
+            if depth <= 0:
+                end()
+            line.append(t), shape.append("c")
+            if depth <= 0:
+                end()
             continue
         if leading and (kind != "punct" or t not in "!;"):
             leading = False
         solid += len(t)
-        if not shape:
+        if not line:
             importing = t in IMPORTS
+        line.append(t)
         if kind in ("string", "number"):
             literal += 0 if importing else len(t)
-            numbers.add(t)
             shape.append("s" if kind == "string" else "n")
         elif kind == "word":
-            shape.append("w" if re.search(r"\d", t) else t)
+            shape.append("w" if any(c.isdigit() for c in t) else t)
         else:
             shape.append(t)
             if t in "([":
@@ -104,19 +141,54 @@ def layout(text: str) -> tuple[float, float, float, int, str, int]:
                 depth = max(0, depth - 1)
             elif literal * 2 > solid and t in ",;":
                 literal += 1  # what parts two literals belongs to the data
-        open_statement = True
-        if kind == "punct" and (t in "{}" or t == ";" and depth <= 0):
-            canonical, open_statement = canonical + 1, False
-    end_line()
-    canonical += open_statement
+            if t == "{":
+                end()
+                indent += 1
+            elif t == "}":
+                indent = max(0, indent - 1)
+                end()
+            elif t == ";" and depth <= 0:
+                end()
+    lines += used
+    end()
     top = max(shapes.values(), default=0)
-    return canonical / max(1, lines), literal / max(1, solid), top / max(1, lines), top, "\n".join(head), lines
+    return Layout(out, lines, max(map(len, text.splitlines()), default=0), literal / max(1, solid), top / max(1, len(out)), top, "\n".join(head))
+
+
+SENTENCE = re.compile(r"[.;:](?=\s|$)|\s--?\s|\n|[<>()|]")
+PLAIN = re.compile(r"[^\W_]+(?:['\u2019][a-z]+)?")
+
+
+def tool_wrote(comments: str) -> bool:
+    """Whether a sentence of the comments says that a tool wrote this file. It must speak of the file itself, not of what
+    its code makes or of what its users do."""
+    for sentence in SENTENCE.split(comments):
+        w = [x for x in PLAIN.findall(sentence.lower().replace("don't", "do not").replace("don\u2019t", "do not")) if x not in ("please", "warning", "note")]
+        have = set(w)
+        for k, x in enumerate(w):
+            if (x in MADE or x in BY_ANYONE) and all(y in ITSELF or y in AUTO or y in LINKS for y in w[:k]):
+                after = w[k + 1 : k + 3]
+                if x.startswith("auto") or AUTO & set(w[: k + 3]):
+                    return True
+                if x in MADE and (len(w) == 1 or set(after) & BY or after and after[0] in ITSELF):
+                    return True
+        if w[:2] == ["do", "not"] and CHANGE & set(w[2:5]) or w[:1] == ["never"] and CHANGE & set(w[1:4]):
+            return True
+        if w[:1] and w[0] in CHANGE and have & ORIGIN and have & {"not", "instead"}:
+            return True
+        if have & CHANGES and have & LOST and have & {"will", "are", "be", "get"}:
+            return True
+        if have & AGAIN and (have & RUN and "to" in have or w[0] in AGAIN and w[1:2] and w[1] in BY):
+            return True
+    return False
 
 
 def header_verdict(comments: str, repo: str) -> str:
     """``generated`` or ``third_party`` by the leading comments, else empty; a licence in the project's own name is its own."""
+    if not comments:
+        return ""
     lines = [re.sub(r"^[\s/*#<!;-]+", "", x) for x in comments.splitlines()]
-    if any(TOOL_MARK.search(x) for x in lines):
+    if tool_wrote("\n".join(lines)):
         return "generated"
     for x in lines:
         if LICENCE.search(x):
@@ -130,27 +202,20 @@ def _read(batches):
     import pyarrow as pa
 
     for b in batches:
-        out = []
-        for repo, text, n_lines, longest in zip(*[b.column(i).to_pylist() for i in range(1, 5)]):
-            if not text:
-                out.append("")
-                continue
-            expansion, literal, same, alike, comments, lines = layout(text)
-            verdict = header_verdict(comments, repo)
-            long_line = max(longest or 0, max(map(len, text.splitlines()), default=0))
-            if not verdict:
-                if literal >= LITERAL and (long_line >= LONG_LINE or lines >= UNIFORM_LINES):
-                    verdict = "data"
-                elif expansion >= EXPANSION and long_line >= LONG_LINE:
-                    verdict = "minified"
-                elif same >= UNIFORM and alike >= UNIFORM_LINES:
-                    verdict = "generated"
-            out.append(verdict)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["id", "by_text"])
+        verdicts, grounds = [], []
+        for repo, text, longest in zip(*[b.column(i).to_pylist() for i in range(1, 4)]):
+            x = layout(text)
+            x.longest = max(x.longest, longest or 0)
+            found = x.verdict()
+            ground = "layout" if found else "comment"
+            found = found or header_verdict(x.comments, repo)
+            verdicts.append(found or None), grounds.append(ground if found else None)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(verdicts, pa.string()), pa.array(grounds, pa.string())], ["id", "verdict", "ground"])
 
 
 def judge_files(files: DataFrame, samples: DataFrame) -> DataFrame:
-    """(repo_id, file_id, verdict) of each distinct file: lock, generated, minified, third_party, data or hand_written.
+    """(repo_id, file_id, verdict, ground) of each distinct file: verdict lock, generated, minified, third_party, data or
+    hand_written; ground layout, comment, path or copy (null for hand-written ones), the first of them that decides.
 
     Current rows by indexed_at count; a file without a sample is judged by path and hash. Null ids are no files; null
     paths, sizes and texts give no evidence, an empty text is hand-written unless its path says otherwise.
@@ -166,14 +231,20 @@ def judge_files(files: DataFrame, samples: DataFrame) -> DataFrame:
         F.when(name.isin(LOCK_NAMES), "lock").when(path.rlike(THIRD_PARTY_FOLDERS), "third_party")
         .when(path.rlike(OUTPUT_NAMES) | path.rlike(OUTPUT_FOLDERS), "generated").when(name.rlike(BUNDLE_NAMES), "minified")
     )
-    read = both.select("id", "repo_id", F.col("head"), F.col("n_lines").cast("bigint"), F.col("max_line_chars").cast("bigint")).where("head IS NOT NULL").mapInArrow(_read, "id string, by_text string")
+    read = both.select("id", "repo_id", F.col("head"), F.col("max_line_chars").cast("bigint")).where("head <> ''").mapInArrow(_read, "id string, verdict string, ground string")
     d = both.select("id", "repo_id", "hash", by_path.alias("by_path")).join(read, "id", "left")
-    verdict = F.coalesce("by_path", F.when(F.col("by_text") != "", F.col("by_text")))
-    d = d.select("id", "repo_id", "hash", verdict.alias("verdict"))
+    d = d.select("id", "repo_id", "hash", F.coalesce("verdict", "by_path").alias("verdict"), F.coalesce("ground", F.when(F.col("by_path").isNotNull(), "path")).alias("ground"))
     known = d.where("verdict = 'third_party' AND hash IS NOT NULL").select("hash").distinct().withColumn("copy", F.lit(True))
-    return d.join(known, "hash", "left").select("repo_id", F.col("id").alias("file_id"), F.coalesce("verdict", F.when(F.col("copy"), "third_party"), F.lit("hand_written")).alias("verdict"))
+    copy = F.col("copy") & F.col("verdict").isNull()
+    d = d.join(known, "hash", "left")
+    return d.select("repo_id", F.col("id").alias("file_id"), F.coalesce("verdict", F.when(copy, "third_party"), F.lit("hand_written")).alias("verdict"), F.coalesce("ground", F.when(copy, "copy")).alias("ground"))
 
 
 def not_hand_written(files: DataFrame, samples: DataFrame) -> DataFrame:
     """(repo_id, file_id) of the files that nobody in the project wrote."""
     return judge_files(files, samples).where("verdict <> 'hand_written'").select("repo_id", "file_id")
+
+
+def grounds(files: DataFrame, samples: DataFrame) -> DataFrame:
+    """Number of files by verdict and ground."""
+    return judge_files(files, samples).groupBy("verdict", "ground").agg(F.count("*").alias("n_files"))

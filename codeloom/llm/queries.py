@@ -48,6 +48,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_hand_written(*driver_tables(spark, d, "files", "file_samples"))
 
 
+def p2_grounds(spark: SparkSession, d: str) -> DataFrame:
+    """How many files each ground decided."""
+    return handwritten.grounds(*driver_tables(spark, d, "files", "file_samples"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.found_leaks(*driver_tables(spark, d, "documents", "eval_items")).select("doc_id", "item_id")
 
@@ -56,7 +61,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.document_subjects(*driver_tables(spark, d, "documents", "subjects", "doc_labels")).select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p4_found, p4_percentiles, p7_windows, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_grounds, p4_found, p4_percentiles, p7_windows, p8_found, p9_found)}
 
 _P1 = r"""
 WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, package ORDER BY built_at DESC) AS rn FROM vocabularies) WHERE rn = 1),
