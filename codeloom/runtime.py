@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -23,12 +24,22 @@ def session(app: str = "codeloom", master: str | None = None, partitions: int |
 
 
 _OWN: dict[str, str] = {}
+_OPEN: list[WorkArea] = []
+
+
+def free_all() -> None:
+    """Remove the intermediate tables of all work areas; results that still read them must have been written before."""
+    while _OPEN:
+        _OPEN.pop().close()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
+    """The folder every executor can reach: spark.checkpoint.dir. Where that is unset a temporary one, if all runs in one
+    process on this machine (tests); on a cluster such a folder would be another one on each machine, which is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         at = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="codeloom-")
         _OWN[app] = at
@@ -40,6 +51,37 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_new_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that appears whole under its name or not at all; an existing one of that name is an error."""
+    fs, p = _fs(spark, path)
+    _, draft = _fs(spark, f"{path}.{uuid.uuid4().hex[:8]}.draft")
+    stream = fs.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if fs.exists(p) or not fs.rename(draft, p):
+        fs.delete(draft, False)
+        raise FileExistsError(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 class WorkArea:
     """Named intermediate tables under the shared folder.
 
@@ -51,7 +93,9 @@ class WorkArea:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.close)
+        if not _OPEN:
+            atexit.register(free_all)
+        _OPEN.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
