@@ -1,23 +1,32 @@
-"""Occurrences and record counts of every distinct item, kept by signed deltas.
-
-The state is persistent and partitioned: the entries of each record as last counted (in record buckets) and the counts
-of each item (in item buckets). ``apply`` takes a batch of added, changed and deleted records, turns only those into
-signed changes (what a record held before counts minus, what it holds now plus), adds the changes up, and reads and
-rewrites only the buckets of either kind that they touch.
+"""Occurrences and record counts of every distinct item, kept by signed deltas in a persistent, partitioned store.
+
+The store is a folder with the entries of each record as last counted (in record buckets), the counts of each item (in
+item buckets) and manifests. ``apply`` takes a batch of added, changed and deleted records, turns only those into signed
+changes (what a record held before counts minus, what it holds now plus), adds the changes up, and reads and rewrites
+only the buckets of either kind that they touch. New buckets lie beside the old ones until a manifest of the next version
+names them, counts and records together: a batch that failed half-way has changed nothing and can be given again. A store
+is opened again, by any session, from its folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.runtime import WorkArea
+from codeloom.runtime import delete, names_in, read_text, work_area, write_new_text
 
 SPACE = r"^\s+|\s+$"
 
 ENTRY = "array<struct<source_field:string,item:string,count:bigint>>"
 HELD = f"record_key string, entries {ENTRY}"
 COUNTS = "source_field string, item string, occurrences bigint, records bigint"
+#: Bytes of a batch, as written, a bucket is made for; a batch that fills buckets this many times over makes more of them.
+BUCKET_BYTES, GROWTH = 4_000_000, 4
+MANIFEST = re.compile(r"manifest-(\d+)\.json")
 
 
 def cleaned(field: str, items: Column, text: str, lower: bool) -> Column:
@@ -28,32 +37,37 @@ def cleaned(field: str, items: Column, text: str, lower: bool) -> Column:
 
 
 class TermCounts:
-    """Counts of items over a collection of records; ``records`` is the number of records now held."""
+    """Counts of items over a collection of records; ``records`` is the number of records now held.
+
+    ``folder`` holds the store; one that exists is opened at its newest version. There may be one writer at a time: of two
+    that write the same version the second gets a FileExistsError.
+    """
 
-    def __init__(self, area: WorkArea, buckets: int | None = None):
-        self.area, self.turn, self.records = area, 0, 0
-        self.buckets = buckets or max(8, int(area.spark.conf.get("spark.sql.shuffle.partitions")))
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+        self.spark, self.folder = spark, folder
+        self.version, self.records, self.buckets = 0, 0, buckets or 0
         # bucket -> folder of its newest rows; as many as there are buckets
         self.counted: dict[int, str] = {}
         self.held: dict[int, str] = {}
+        known = [int(m[1]) for n in names_in(spark, folder) if (m := MANIFEST.fullmatch(n))]
+        if known:
+            m = json.loads(read_text(spark, f"{folder}/manifest-{max(known)}.json"))
+            self.version, self.records, self.buckets = m["version"], m["records"], m["buckets"]
+            self.counted, self.held = [{int(b): at for b, at in m[k].items()} for k in ("counted", "held")]
 
     def _read(self, parts: dict[int, str], buckets: list[int], schema: str) -> DataFrame:
-        paths = sorted(parts[b] for b in buckets if b in parts)
-        return self.area.spark.read.schema(schema).parquet(*paths) if paths else self.area.spark.createDataFrame([], schema)
-
-    def _replace(self, parts: dict[int, str], rows: DataFrame, name: str, touched: list[int]) -> None:
-        """Write the rows (with ``bucket``) as the new contents of the touched buckets; the others stay where they are."""
-        self.area.put(rows, name, ["bucket"])
-        there = set(map(int, self.area.parts(name)))
-        for b in touched:
-            old = parts.pop(b, None)
-            if b in there:
-                parts[b] = f"{self.area.path(name)}/bucket={b}"
-            if old:
-                self.area.drop(old[len(self.area.root) + 1 :])
+        paths = sorted(f"{self.folder}/{parts[b]}" for b in buckets if b in parts)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _write(self, rows: DataFrame, name: str, touched: list[int], parts: dict[int, str]) -> dict[int, str]:
+        """Write rows (with ``bucket``) as the new contents of the touched buckets; where the buckets then lie."""
+        name = f"{name}-{uuid.uuid4().hex[:8]}"  # another writer of the same version writes elsewhere
+        rows.repartition(max(1, len(touched)), "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        there = {int(n.split("=", 1)[1]): f"{name}/{n}" for n in names_in(self.spark, f"{self.folder}/{name}") if n.startswith("bucket=")}
+        return {b: at for b, at in parts.items() if b not in touched} | there
 
     def _bucket(self, *cols: str) -> Column:
-        return F.pmod(F.xxhash64(*cols), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*cols), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def _changes(self, entries: DataFrame) -> DataFrame:
         """entries(sign, entries) -> (source_field, item, occurrences, records); an item twice in a record is one record."""
@@ -67,35 +81,65 @@ class TermCounts:
     def apply(self, batch: DataFrame) -> None:
         """batch(record_key STRING, entries, deleted BOOLEAN), one row per added, changed or deleted record.
 
-        A record whose entries did not change causes no delta; deleting an unknown record does nothing. A record has one
-        row in a batch. A batch that changes nothing leaves all files as they are.
+        A record whose entries did not change causes no delta; deleting an unknown record does nothing; a null key is no
+        record. A record has one row in a batch. A batch that changes nothing leaves the store as it is.
         """
-        self.turn += 1
-        area = self.area
+        area = work_area(self.spark, "terms")
+        turn = self.version + 1
         new = batch.where("record_key IS NOT NULL").select("record_key", F.when(F.col("deleted"), None).otherwise(F.col("entries")).alias("now"))
-        new = area.put(new.withColumn("bucket", self._bucket("record_key")), f"batch{self.turn}", ["bucket"])
-        touched = [int(b) for b in area.parts(f"batch{self.turn}")]
-        held = self._read(self.held, touched, HELD).select("record_key", F.col("entries").alias("was"))
-        both = new.drop("bucket").withColumn("given", F.lit(True)).join(held, "record_key", "full")
-        both = area.put(both, f"both{self.turn}")
+        new = area.put(new, "batch")
+        wanted = -(-area.bytes("batch") // BUCKET_BYTES)
+        counted, held, was, before = self.counted, self.held, self.held, self.buckets
+        self.buckets = self.buckets or max(4, wanted)
+        everything = wanted > GROWTH * self.buckets
+        if everything:  # more buckets: all of them are written anew
+            self.buckets, counted, held = wanted, {}, {}
+        keyed = new.withColumn("bucket", self._bucket("record_key"))
+        if was:
+            touched = list(range(self.buckets)) if everything else [r[0] for r in keyed.select("bucket").distinct().collect()]
+            old = self._read(was, list(was) if everything else touched, HELD).select("record_key", F.col("entries").alias("was"))
+            both = new.withColumn("given", F.lit(True)).join(old, "record_key", "full")
+            both = area.put(both, "both")
+        else:
+            touched = list(range(self.buckets))
+            both = new.select("record_key", "now", F.lit(True).alias("given"), F.lit(None).cast(ENTRY).alias("was"))
         changed = both.where("given AND NOT (was <=> now)")
-        signed = changed.where("was IS NOT NULL").select(F.lit(-1).alias("sign"), F.col("was").alias("entries")).unionByName(changed.where("now IS NOT NULL").select(F.lit(1).alias("sign"), F.col("now").alias("entries")))
-        delta = self._changes(signed).where("occurrences <> 0 OR records <> 0")
-        delta = area.put(delta.withColumn("bucket", self._bucket("source_field", "item")), f"delta{self.turn}", ["bucket"])
-        dirty = [int(b) for b in area.parts(f"delta{self.turn}")]
-        if dirty:
-            old = self._read(self.counted, dirty, COUNTS).withColumn("bucket", self._bucket("source_field", "item"))
-            # by item, not by bucket: a bucket may end up in several files, but no task holds a whole hot bucket
-            merged = old.unionByName(delta).groupBy("bucket", "source_field", "item").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-            self._replace(self.counted, merged.where("records > 0"), f"counts{self.turn}", dirty)
-        came = changed.agg(F.count_if(F.col("was").isNull()), F.count_if(F.col("now").isNull())).first()
-        if changed.isEmpty():
-            area.drop(f"batch{self.turn}", f"both{self.turn}", f"delta{self.turn}")
+        came = changed.agg(F.count("*"), F.count_if(F.col("was").isNull()), F.count_if(F.col("now").isNull())).first()
+        if not came[0]:
+            area.close()
+            self.buckets = before
             return
+        signed = changed.where("now IS NOT NULL").select(F.lit(1).alias("sign"), F.col("now").alias("entries"))
+        if was:
+            signed = signed.unionByName(changed.where("was IS NOT NULL").select(F.lit(-1).alias("sign"), F.col("was").alias("entries")))
+        delta = self._changes(signed).where("occurrences <> 0 OR records <> 0")
+        if was:
+            delta = area.put(delta.withColumn("bucket", self._bucket("source_field", "item")), "delta")
+            dirty = list(range(self.buckets)) if everything else [r[0] for r in delta.select("bucket").distinct().collect()]
+            old = self.counts() if everything else self._read(self.counted, dirty, COUNTS)
+            delta = old.unionByName(delta.drop("bucket")).groupBy("source_field", "item").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("records > 0")
+        else:
+            dirty = list(range(self.buckets))
+        counted = self._write(delta.withColumn("bucket", self._bucket("source_field", "item")), f"counts-{turn}", dirty, counted)
         kept = both.select("record_key", F.when(F.col("given"), F.col("now")).otherwise(F.col("was")).alias("entries")).where("entries IS NOT NULL")
-        self._replace(self.held, kept.withColumn("bucket", self._bucket("record_key")), f"held{self.turn}", touched)
-        self.records += came[0] - came[1]
-        area.drop(f"batch{self.turn}", f"both{self.turn}", f"delta{self.turn}")
+        held = self._write(kept.withColumn("bucket", self._bucket("record_key")), f"held-{turn}", touched, held)
+        records = self.records + came[1] - came[2]
+        manifest = {"version": turn, "records": records, "buckets": self.buckets, "counted": counted, "held": held}
+        write_new_text(self.spark, f"{self.folder}/manifest-{turn}.json", json.dumps(manifest))
+        self.version, self.records, self.counted, self.held = turn, records, counted, held
+        area.close()
+
+    def vacuum(self) -> None:
+        """Delete buckets and manifests of older versions, which readers of this version do not need."""
+        live = {*self.counted.values(), *self.held.values()}
+        for n in names_in(self.spark, self.folder):
+            m = MANIFEST.fullmatch(n)
+            if m and int(m[1]) < self.version:
+                delete(self.spark, f"{self.folder}/{n}")
+            elif not m and not n.endswith(".json"):
+                for part in names_in(self.spark, f"{self.folder}/{n}"):
+                    if part.startswith("bucket=") and f"{n}/{part}" not in live:
+                        delete(self.spark, f"{self.folder}/{n}/{part}")
 
     def counts(self) -> DataFrame:
         """(source_field, item, occurrences, records) of every item held."""
@@ -109,23 +153,20 @@ class TermCounts:
 
 
 def vocabulary_batches(vocabularies: DataFrame) -> list[DataFrame]:
-    """The table as two batches: each record's first build, then its current one."""
-    from codeloom.operators.current import latest
-
+    """The table as two batches: each record's first build, then the current one of those built again."""
     key = F.concat_ws("\x00", "repo_id", "package")
-    v = vocabularies.where("repo_id IS NOT NULL AND package IS NOT NULL")
-    entries = F.concat(cleaned("identifier", F.col("identifiers"), "text", False), cleaned("term", F.col("terms"), "term", True))
-    rows = v.select(key.alias("record_key"), F.col("built_at"), entries.cast(ENTRY).alias("entries"))
-    last = latest(rows, ["record_key"], "built_at")
-    first = rows.groupBy("record_key").agg(F.min(F.struct("built_at", "entries")).alias("x")).select("record_key", F.col("x.entries").alias("entries"))
-    return [d.select("record_key", "entries", F.lit(False).alias("deleted")) for d in (first, last)]
-
-
-def vocabulary_counts(vocabularies: DataFrame) -> TermCounts:
-    """Counts of all terms and identifiers over current rows: first builds are loaded, then rebuilt records come in as changes."""
-    from codeloom.runtime import work_area
-
-    state = TermCounts(work_area(vocabularies.sparkSession, "terms"))
+    v = vocabularies.where("repo_id IS NOT NULL AND package IS NOT NULL").select(key.alias("record_key"), F.struct("built_at", "identifiers", "terms").alias("build"))
+    builds = v.groupBy("record_key").agg(F.min("build").alias("first"), F.max("build").alias("last"))
+    builds = work_area(vocabularies.sparkSession, "builds").put(builds.select("record_key", "first", F.when(~F.col("last").eqNullSafe(F.col("first")), F.col("last")).alias("last")), "builds")
+    entries = lambda b: F.concat(cleaned("identifier", F.col(f"{b}.identifiers"), "text", False), cleaned("term", F.col(f"{b}.terms"), "term", True)).cast(ENTRY)
+    return [builds.where(f"{b} IS NOT NULL").select("record_key", entries(b).alias("entries"), F.lit(False).alias("deleted")) for b in ("first", "last")]
+
+
+def vocabulary_counts(vocabularies: DataFrame, folder: str | None = None) -> TermCounts:
+    """Counts of all terms and identifiers over current rows: first builds are loaded, then only records built again come
+    in as changes. A new store in ``folder``, or in the work area, if none is given."""
+    spark = vocabularies.sparkSession
+    state = TermCounts(spark, folder or work_area(spark, "counts").root)
     for batch in vocabulary_batches(vocabularies):
         state.apply(batch)
     return state

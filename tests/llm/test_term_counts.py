@@ -40,7 +40,7 @@ def test_empty_table(spark):
 
 def test_deltas_equal_a_recount(spark):
     rnd = random.Random(1)
-    state, held = TC.TermCounts(work_area(spark, "t"), 4), {}
+    state, held = TC.TermCounts(spark, work_area(spark, "t").root, 4), {}
     schema = f"record_key string, entries {TC.ENTRY}, deleted boolean"
     for _ in range(3):
         batch = {}
@@ -63,7 +63,7 @@ def test_deltas_equal_a_recount(spark):
 
 
 def test_unchanged_records_touch_nothing(spark):
-    state = TC.TermCounts(work_area(spark, "t"), 4)
+    state = TC.TermCounts(spark, work_area(spark, "t").root, 4)
     b = spark.createDataFrame([("a", [("term", "x", 1)], False)], f"record_key string, entries {TC.ENTRY}, deleted boolean")
     state.apply(b)
     before = dict(state.counted), dict(state.held)
@@ -72,7 +72,7 @@ def test_unchanged_records_touch_nothing(spark):
 
 
 def test_only_touched_buckets_are_rewritten(spark):
-    state = TC.TermCounts(work_area(spark, "t"), 16)
+    state = TC.TermCounts(spark, work_area(spark, "t").root, 16)
     schema = f"record_key string, entries {TC.ENTRY}, deleted boolean"
     state.apply(spark.createDataFrame([(f"k{i}", [("term", f"t{i}", 1)], False) for i in range(200)], schema))
     counted, held = dict(state.counted), dict(state.held)
@@ -84,6 +84,68 @@ def test_only_touched_buckets_are_rewritten(spark):
 @pytest.mark.parametrize("n", [1, 20_000])
 def test_long_lists(spark, n):
     b = spark.createDataFrame([("a", [("term", f"t{i % 7}", 1) for i in range(n)], False)], f"record_key string, entries {TC.ENTRY}, deleted boolean")
-    state = TC.TermCounts(work_area(spark, "t"), 2)
+    state = TC.TermCounts(spark, work_area(spark, "t").root, 2)
     state.apply(b)
     assert sum(o for o, _ in counts(state).values()) == n and all(r == 1 for _, r in counts(state).values())
+
+
+SCHEMA = f"record_key string, entries {TC.ENTRY}, deleted boolean"
+
+
+def recount(held):
+    want = {}
+    for e in held.values():
+        for f, i, c in e:
+            want[(f, i)] = (want.get((f, i), (0, 0))[0] + c, want.get((f, i), (0, 0))[1])
+        for k in {(f, i) for f, i, _ in e}:
+            want[k] = (want[k][0], want[k][1] + 1)
+    return want
+
+
+def test_a_store_is_opened_again(spark):
+    at = work_area(spark, "t").root
+    held = {f"k{i}": [("term", f"t{i % 5}", i + 1), ("term", "x", 1)] for i in range(30)}
+    TC.TermCounts(spark, at, 4).apply(spark.createDataFrame([(k, e, False) for k, e in held.items()], SCHEMA))
+    again = TC.TermCounts(spark, at)
+    assert (again.version, again.records, again.buckets) == (1, 30, 4) and counts(again) == recount(held)
+    gone = ["k3", "k4", "k29"]
+    again.apply(spark.createDataFrame([(k, None, True) for k in [*gone, "unknown"]] + [("new", [("term", "y", 2)], False)], SCHEMA))
+    held = {k: e for k, e in held.items() if k not in gone} | {"new": [("term", "y", 2)]}
+    third = TC.TermCounts(spark, at)
+    assert counts(third) == recount(held) and third.records == 28
+    third.vacuum()
+    assert counts(TC.TermCounts(spark, at)) == recount(held)
+
+
+def test_a_failed_batch_changes_nothing_and_can_be_repeated(spark, monkeypatch):
+    at = work_area(spark, "t").root
+    b = lambda n: spark.createDataFrame([(f"k{i}", [("term", "x", n)], False) for i in range(9)], SCHEMA)
+    state = TC.TermCounts(spark, at, 4)
+    state.apply(b(1))
+
+    def broken(*a):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(TC, "write_new_text", broken)
+        with pytest.raises(OSError):
+            state.apply(b(2))
+    state = TC.TermCounts(spark, at)
+    assert counts(state) == {("term", "x"): (9, 9)}
+    other = TC.TermCounts(spark, at)
+    state.apply(b(2))
+    assert counts(TC.TermCounts(spark, at)) == {("term", "x"): (18, 9)}
+    with pytest.raises(FileExistsError):  # a second writer of the same version
+        other.apply(b(3))
+    assert counts(TC.TermCounts(spark, at)) == {("term", "x"): (18, 9)}
+
+
+def test_buckets_grow_with_the_batches(spark, monkeypatch):
+    at = work_area(spark, "t").root
+    held = {f"k{i}": [("term", f"t{i}", 1)] for i in range(40)}
+    state = TC.TermCounts(spark, at)
+    state.apply(spark.createDataFrame([(k, held[k], False) for k in list(held)[:5]], SCHEMA))
+    assert state.buckets == 4
+    monkeypatch.setattr(TC, "BUCKET_BYTES", 50)
+    state.apply(spark.createDataFrame([(k, held[k], False) for k in list(held)[4:]], SCHEMA))
+    assert state.buckets > 16 and counts(state) == recount(held) == counts(TC.TermCounts(spark, at)) and state.records == 40
