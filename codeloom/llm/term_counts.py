@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from codeloom.runtime import delete, names_in, read_text, work_area, write_new_text
 
-SPACE = r"^\s+|\s+$"
+SPACE = " \t\n\x0b\f\r"
 
 ENTRY = "array<struct<source_field:string,item:string,count:bigint>>"
 HELD = f"record_key string, entries {ENTRY}"
@@ -32,7 +32,7 @@ MANIFEST = re.compile(r"manifest-(\d+)\.json")
 def cleaned(field: str, items: Column, text: str, lower: bool) -> Column:
     """The entries of one list column that count (text not null, count positive), with texts trimmed."""
     ok = F.filter(F.coalesce(items, F.array()), lambda x: x.isNotNull() & x[text].isNotNull() & (x["count"] > 0))
-    trim = lambda x: F.regexp_replace(F.lower(x[text]) if lower else x[text], SPACE, "")
+    trim = lambda x: F.btrim(F.lower(x[text]) if lower else x[text], F.lit(SPACE))
     return F.transform(ok, lambda x: F.struct(F.lit(field).alias("source_field"), trim(x).alias("item"), x["count"].cast("bigint").alias("count")))
 
 
@@ -70,9 +70,8 @@ class TermCounts:
         return F.pmod(F.xxhash64(*cols), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def _changes(self, entries: DataFrame) -> DataFrame:
-        """entries(sign, entries) -> (source_field, item, occurrences, records); an item twice in a record is one record."""
-        e = entries.select("sign", F.array_sort("entries").alias("e"))
-        e = e.select("sign", "e", F.posexplode("e").alias("at", "x"))
+        """entries(sign, sorted entries) -> (source_field, item, occurrences, records); an item twice in a record is one record."""
+        e = entries.select("sign", F.col("entries").alias("e"), F.posexplode("entries").alias("at", "x"))
         before = F.when(F.col("at") > 0, F.element_at("e", F.col("at")))  # element_at counts from 1: the entry before
         first = F.when(before.isNotNull() & (before["source_field"] == F.col("x.source_field")) & (before["item"] == F.col("x.item")), 0).otherwise(1)
         e = e.select("x.source_field", "x.item", (F.col("sign") * F.col("x.count")).alias("c"), (F.col("sign") * first).alias("r"))
@@ -86,7 +85,7 @@ class TermCounts:
         """
         area = work_area(self.spark, "terms")
         turn = self.version + 1
-        new = batch.where("record_key IS NOT NULL").select("record_key", F.when(F.col("deleted"), None).otherwise(F.col("entries")).alias("now"))
+        new = batch.where("record_key IS NOT NULL").select("record_key", F.when(F.col("deleted"), None).otherwise(F.sort_array("entries")).alias("now"))
         new = area.put(new, "batch")
         wanted = -(-area.bytes("batch") // BUCKET_BYTES)
         counted, held, was, before = self.counted, self.held, self.held, self.buckets
