@@ -3,7 +3,7 @@ probed by binary search with batches of references.
 
 Parents are keyed by 128 bits of their id; the leading bits are uniform, so equal ranges of them hold equally many
 parents and need no sampling. A range's parents are stored once as sorted arrays; references go to the range of their
-target, a range with many references (a hot target) in several shards of bounded size, each with a copy of the arrays.
+target, in as many shards as bound their number, each with a copy of the arrays; a range with a hot target has more.
 """
 
 from __future__ import annotations
@@ -17,13 +17,16 @@ from codeloom.operators.current import key128, latest
 from codeloom.runtime import WorkArea, work_area
 
 PARENTS_A_RANGE, REFS_A_SHARD = 10_000, 15_000
+#: Ranges with many more references than the others are sent to the tasks up to so many (16 bytes each); beyond that the
+#: references are spread over so many salts before they meet the table of these ranges.
+HOT_RANGES, SALTS = 1_000_000, 64
 
 MISSING, DELETED, LATE = 1, 2, 3
 REASONS = {MISSING: "missing", DELETED: "deleted", LATE: "late"}
 
 
 def _range(hi: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(hi, 64 - bits).cast("int") if bits else F.lit(0)
+    return F.shiftrightunsigned(hi, 64 - bits) if bits else F.lit(0).cast("bigint")
 
 
 def _micros(c: Column) -> Column:
@@ -79,16 +82,23 @@ def orphans(parents: DataFrame, refs: DataFrame, area: WorkArea, n_parents: int,
     ``n_parents`` (an upper bound will do) sets the number of ranges; ``loads(space, id)`` may give a cheaper table to
     count the references of each range from, by default ``refs`` itself.
     """
-    bits = min(24, max(0, math.ceil(math.log2(max(1, n_parents) / PARENTS_A_RANGE)))) if n_parents > PARENTS_A_RANGE else 0
+    bits = max(0, math.ceil(math.log2(max(1, n_parents) / PARENTS_A_RANGE))) if n_parents > PARENTS_A_RANGE else 0
     index = area.put(range_index(parents.where("id IS NOT NULL"), bits), "index")
     hi, lo = key128(F.col("space"), F.col("id"))
     probes = refs.where("id IS NOT NULL").select(F.col("ref_kind"), F.col("row_id"), _micros(F.col("ref_at")).alias("ref_at"), hi.alias("hi"), lo.alias("lo")).withColumn("range", _range(F.col("hi"), bits))
     counted = (loads if loads is not None else refs).where("id IS NOT NULL").select(_range(key128(F.col("space"), F.col("id"))[0], bits).alias("range"))
-    shards = area.put(counted.groupBy("range").agg(F.ceil(F.count("*") / REFS_A_SHARD).cast("int").alias("shards")), "shards")
-    ranges = 1 << bits
-    small = lambda d: F.broadcast(d) if ranges <= 200_000 else d  # noqa: E731  12 bytes a range
-    left = index.join(small(shards), "range").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
-    right = probes.join(small(shards), "range").withColumn("shard", F.pmod(F.xxhash64("row_id", "ref_kind"), F.col("shards")).cast("int")).drop("shards")
+    load = area.put(counted.groupBy("range").agg(F.count("*").alias("n")), "load")
+    # keys are uniform, so most ranges have about the same number of references and of shards; those with twice as many are told apart
+    usual = max(1, math.ceil((load.agg(F.sum("n")).first()[0] or 0) / (1 << bits) / REFS_A_SHARD))
+    hot = load.where(F.col("n") > 2 * usual * REFS_A_SHARD).select("range", F.ceil(F.col("n") / REFS_A_SHARD).cast("int").alias("shards"))
+    shards = F.coalesce("shards", F.lit(usual))
+    left = index.join(hot, "range", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1))).drop("shards")
+    if hot.count() <= HOT_RANGES:
+        right = probes.join(F.broadcast(hot), "range", "left")
+    else:
+        salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        right = probes.withColumn("salt", F.pmod(F.xxhash64("row_id", "ref_kind"), F.lit(SALTS)).cast("int")).join(salted, ["range", "salt"], "left").drop("salt")
+    right = right.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "row_id", "ref_kind"), shards).cast("int")).drop("shards")
     return left.groupBy("range", "shard").cogroup(right.groupBy("range", "shard")).applyInArrow(_probe, "ref_kind int, row_id string, ref_at long, reason int")
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import orphans as O
@@ -46,7 +47,9 @@ def test_empty_tables(spark):
     assert {(r["ref_field"], r["reason"]) for r in O.code_orphans(*t).collect()} == {("src_id", "missing"), ("dst_id", "missing")}
 
 
-def test_many_ranges_and_hot_target_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot_ranges", [0, 1_000_000])
+def test_many_ranges_and_hot_target_equal_brute_force(spark, monkeypatch, hot_ranges):
+    monkeypatch.setattr(O, "HOT_RANGES", hot_ranges)
     monkeypatch.setattr(O, "PARENTS_A_RANGE", 100)
     monkeypatch.setattr(O, "REFS_A_SHARD", 200)
     parents = spark.range(1000).select(F.lit(1).alias("space"), F.concat(F.lit("p"), F.col("id") * 2).alias("id"), F.timestamp_micros(F.col("id")).alias("first"), (F.col("id") % 10 == 0).alias("gone"))
