@@ -3,7 +3,9 @@
 Partitions and days are first reduced to value counts (group, value, n), which simply add up when combined. Then every
 (group, percentile) keeps an interval that holds its value; each pass counts the rows below the midpoints that cut all
 intervals into ``FAN`` parts and keeps the part with the wanted rank, until intervals are single values (or narrower
-than the tolerance). A pass is one combined aggregation; nothing is sorted and no group is gathered in a task.
+than the tolerance). A pass is one combined aggregation; nothing is sorted and no group is gathered in a task: the value
+counts of a large group lie in shards of bounded size, each of which gets the group's few intervals. Whether intervals
+are sent to all tasks or joined by a shuffle follows from their size at run time.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from pyspark.sql import Window
 from codeloom.runtime import WorkArea
 
 FAN = 16
-#: Intervals are broadcast up to so many rows (about 100 bytes each), else joined by group.
-BROADCAST_ROWS = 50_000
+#: Value counts of a group that lie in one shard; the intervals of larger groups go to each of their shards.
+ROWS_A_SHARD = 500_000
 
 
 def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -40,7 +42,15 @@ def percentiles(counts: DataFrame, by: list[str], ps: list[int], area: WorkArea,
     null-safely; a group has a row for each p if it has any value.
     """
     data = area.put(counts.select(*by, "value", "n"), "values")
-    groups = data.groupBy(*by).agg(F.sum("n").alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    groups = area.put(data.groupBy(*by).agg(F.sum("n").alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.ceil(F.count("*") / ROWS_A_SHARD).cast("int").alias("shards")), "groups")
+    heavy = groups.where("shards > 1").select(*[F.col(c).alias(f"g_{c}") for c in by], "shards")
+    split = not heavy.isEmpty()
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"g_{c}"))
+    if split:
+        salted = data.join(heavy, same, "left").withColumn("shard", F.pmod(F.xxhash64("value"), F.coalesce("shards", F.lit(1))).cast("int"))
+        data = area.put(salted.select(*by, "value", "n", "shard"), "sharded")
     exact_at = F.expr("(total - 1) * p div 100")
     spans = groups.withColumn("p", F.explode(F.array(*[F.lit(p) for p in ps]))).withColumn("rank", exact_at).withColumn("below", F.lit(0).cast("bigint"))
     spans = area.put(spans.select(*by, "p", "total", "rank", "below", "lo", "hi"), "spans0")
@@ -51,17 +61,21 @@ def percentiles(counts: DataFrame, by: list[str], ps: list[int], area: WorkArea,
         area.put(spans.where(is_done), f"done{turn}")
         done.append(area.path(f"done{turn}"))
         open_spans = spans.where(~is_done)
-        size = open_spans.count()
-        if not size:
+        if open_spans.isEmpty():
             break
         turn += 1
         s = open_spans.select(*[F.col(c).alias(f"g_{c}") for c in by], "p", "total", "rank", "below", "lo", "hi")
         step = F.expr(f"(hi - lo) div {FAN} + 1")
         s = s.withColumn("step", step)
-        same = F.lit(True)
-        for c in by:
-            same = same & F.col(c).eqNullSafe(F.col(f"g_{c}"))
-        hit = data.join(F.broadcast(s) if size <= BROADCAST_ROWS else s, same & F.col("value").between(F.col("lo"), F.col("hi")))
+        on = same
+        if split:
+            of = groups.select(*[F.col(c).alias(f"h_{c}") for c in by], "shards")
+            mine = F.lit(True)
+            for c in by:
+                mine = mine & F.col(f"g_{c}").eqNullSafe(F.col(f"h_{c}"))
+            s = s.join(of, mine).withColumn("s_shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+            on = same & (F.col("shard") == F.col("s_shard"))
+        hit = data.join(s, on & F.col("value").between(F.col("lo"), F.col("hi")))
         hit = hit.withColumn("part", F.expr("(value - lo) div step"))
         keys = [*[F.col(f"g_{c}").alias(c) for c in by], *[F.col(c) for c in ("p", "total", "rank", "below", "lo", "hi", "step", "part")]]
         parts = hit.groupBy(*keys).agg(F.sum("n").alias("n"))

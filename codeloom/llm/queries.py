@@ -61,7 +61,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.document_subjects(*driver_tables(spark, d, "documents", "subjects", "doc_labels")).select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_grounds, p4_found, p4_percentiles, p7_windows, p8_found, p9_found)}
+def p9_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement with the labels of documents that neither train nor calibrate."""
+    return subjects.held_out_agreement(*driver_tables(spark, d, "documents", "subjects", "doc_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_grounds, p4_found, p4_percentiles, p7_windows, p8_found, p9_found, p9_held_out)}
 
 _P1 = r"""
 WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, package ORDER BY built_at DESC) AS rn FROM vocabularies) WHERE rn = 1),

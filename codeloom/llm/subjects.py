@@ -14,13 +14,15 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codeloom.runtime import work_area
 
-#: Labelled documents (the least hashes of their ids) and their characters that are used at most for fitting.
-LABELLED, LABELLED_CHARS = 6_000, 24_000_000
+#: Labelled documents used at most for fitting (the least hashes of their ids), and the characters such a document may
+#: have: longer ones are judged like all others but teach nothing.
+LABELLED, LONGEST = 6_000, 20_000
+#: Documents of a language that it takes to be told from the others.
+LEAST_SPOKEN = 20
 #: Of a document's subject sentences, the share from which a subject counts.
 SHARE = 0.25
 #: Rounds of expectation-maximisation in training and, for a document's mixture, in scoring.
@@ -33,25 +35,17 @@ LOWER, OWN, OWN_PAIR = 5.0, 2.0, 20.0
 TRAIN_MARGIN = 2.0
 MARGINS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0)
 
-#: Frequent words by which a text's language is told (none of them: the last kind).
-MARKERS = [
-    set("the and is was are after when with from for of this that not has before".split()),
-    set("der die das und ist nicht wird mit für zu den dem ein eine auf siehe wir".split()),
-    set("el la los las una para con está por del que se como véase lo al".split()),
-]
 
-
-def language(text: str) -> int:
-    """Number of the marker list that has most words of the text, or the number of lists."""
-    n = [0] * len(MARKERS)
-    for w in re.findall(r"[^\W\d_]+", text.lower()):
-        for i, m in enumerate(MARKERS):
-            n[i] += w in m
-    return max(range(len(n)), key=lambda i: n[i]) if any(n) else len(n)
+def _letters(kind) -> str:
+    """The letters of the basic plane of which the test holds, as ranges for a pattern."""
+    have = [c for c in range(0x10000) if kind(chr(c))]
+    starts = [c for c in have if not kind(chr(c - 1))] if have else []
+    ends = [c for c in have if not kind(chr(c + 1))]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
 
 
 # words of identifiers are told apart by case; sentence ends and line ends are tokens of their own
-_UPPER, _LOWER = "A-ZÄÖÜÁÉÍÓÚÑ", "a-zäöüßáéíóúñ"
+_UPPER, _LOWER = _letters(str.isupper), _letters(str.islower)
 TOKEN = re.compile(rf"[{_LOWER}]+|[{_UPPER}][{_LOWER}]+|[{_UPPER}]{{2,}}(?![{_LOWER}])|[{_UPPER}]|\n|[.!?](?=\s)|[^\W\d_]+")
 STOP, RARE = 0, 1  # numbers of sentence ends and of words outside the vocabulary
 
@@ -167,8 +161,27 @@ def accepted(counts, share: float = SHARE):
     return (counts > 0) & (counts >= share * counts.sum(axis=1, keepdims=True))
 
 
-def fit(texts: list[str], labels: list[set], subjects: list[str], vocabulary: list[str], background) -> Models:
-    """Models of labelled texts. ``background`` has the corpus's count of each number (vocabulary order after STOP, RARE).
+def tongues(token, text, said: list, size: int):
+    """Number of the language of each text, and the number of languages. ``token`` and ``text`` are parallel.
+
+    The languages are those said of enough texts; which of them a text is in, its words tell (what is said of it may be
+    wrong or missing).
+    """
+    import numpy as np
+
+    names = sorted(x for x in set(said) if x is not None and said.count(x) >= LEAST_SPOKEN)
+    if len(names) < 2:
+        return np.zeros(len(said), np.int64), 1
+    of = np.array([names.index(x) if x in names else -1 for x in said])
+    for _ in range(3):
+        rate = np.stack([np.bincount(token[of[text] == k], minlength=size) + 0.1 for k in range(len(names))])
+        rate = np.log(rate / rate.sum(axis=1, keepdims=True))
+        of = np.stack([np.bincount(text, weights=r[token], minlength=len(said)) for r in rate]).argmax(axis=0)
+    return of, len(names)
+
+
+def fit(texts: list[str], labels: list[set], subjects: list[str], vocabulary: list[str], background, said: list | None = None) -> Models:
+    """Models of labelled texts; ``said`` has the language said of each. ``background`` has the corpus's count of each number (vocabulary order after STOP, RARE).
 
     The background model interpolates bigrams of the sample with word frequencies of the corpus. A subject's model
     interpolates its own bigrams with the background's, whose words are weighted by how much commoner they are under
@@ -188,10 +201,10 @@ def fit(texts: list[str], labels: list[set], subjects: list[str], vocabulary: li
     c_before = np.bincount(before, minlength=words.size).astype(float)
     p_pair = (c_pair + LOWER * bg[pt]) / (c_before[pb] + LOWER)
     # how often a word is to be expected follows from the languages of a subject's sentences, lest subjects learn languages
-    spoken = np.array([language(t) for t in texts])[doc]
-    tongues = np.arange(len(MARKERS) + 1)
     lengths = np.diff(np.append(starts, len(token)))
-    p_word = np.stack([(np.bincount(token[spoken[sentence] == x], minlength=words.size) + LOWER * bg) / ((spoken[sentence] == x).sum() + LOWER) for x in tongues])
+    spoken, n_spoken = tongues(token, np.repeat(doc, lengths), said or [None] * len(texts), words.size)
+    spoken = spoken[doc]
+    p_word = np.stack([(np.bincount(token[spoken[sentence] == x], minlength=words.size) + LOWER * bg) / ((spoken[sentence] == x).sum() + LOWER) for x in range(n_spoken)])
     prior = np.full((len(texts), k + 1), STRANGE)
     for i, own in enumerate(labels):
         here = [s_at[s] for s in own if s in s_at]
@@ -207,7 +220,7 @@ def fit(texts: list[str], labels: list[set], subjects: list[str], vocabulary: li
         for j in range(k):
             w = weight[:, j][sentence]
             uni = np.bincount(token, weights=w, minlength=words.size)
-            mass = np.bincount(spoken, weights=weight[:, j] * lengths, minlength=len(tongues))
+            mass = np.bincount(spoken, weights=weight[:, j] * lengths, minlength=n_spoken)
             ratio = (uni + OWN) / (mass @ p_word + OWN)
             of_word[:, j] = np.log(ratio)
             own = np.bincount(pair, weights=w, minlength=len(pairs))
@@ -285,16 +298,24 @@ def _background(numbers: DataFrame, size: int):
     return out
 
 
-def train(documents: DataFrame, subjects: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[Models, DataFrame]:
-    """Models, and the numbered words of all documents. Trained from the labelled documents with the least hashes of doc_id, at most ``most`` (and ``LABELLED_CHARS``
-    characters) of them, a fifth of which only calibrates; the background counts cover all documents."""
-    names = sorted(r[0] for r in subjects.where("subject IS NOT NULL").select("subject").distinct().collect())
-    said = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("own"))
+def sample(documents: DataFrame, labels: DataFrame, most: int) -> list:
+    """At most ``most`` labelled documents (text, own labels, lang or null, hash of the id), none of them above LONGEST."""
+    said = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("own"))  # a few subjects
     pick = said.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.where("text IS NOT NULL").select("doc_id", "text")
-    rows = texts.join(F.broadcast(pick), "doc_id").select("text", "own", F.xxhash64("doc_id").alias("h"), "doc_id")  # at most `most` ids are sent
-    rows = rows.withColumn("upto", F.sum(F.length("text")).over(Window.orderBy("h", "doc_id"))).where(F.col("upto") <= LABELLED_CHARS)
-    rows = rows.select("text", "own", "h").collect()
+    lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
+    texts = documents.where(F.length("text") <= LONGEST).select("doc_id", "text", lang.alias("lang"))
+    rows = texts.join(F.broadcast(pick), "doc_id").groupBy("doc_id", "own").agg(F.max(F.struct("text", "lang")).alias("x"))  # at most `most` ids are sent
+    return rows.select("x.text", "own", "x.lang", F.xxhash64("doc_id").alias("h")).collect()
+
+
+def train(documents: DataFrame, subjects: DataFrame, labels: DataFrame, most: int = LABELLED, withheld: int | None = None) -> tuple[Models, DataFrame]:
+    """Models, and the numbered words of all documents.
+
+    Trained from at most ``most`` labelled documents, a fifth of which only calibrates; the background counts cover all
+    documents. Documents of the fifth ``withheld`` (by hash, 1 to 4) are used for nothing but the background.
+    """
+    names = sorted(r[0] for r in subjects.where("subject IS NOT NULL").select("subject").distinct().collect())
+    rows = [r for r in sample(documents, labels, most) if withheld is None or r["h"] % 5 != withheld]
     fitted = [r for r in rows if r["h"] % 5 != 0] or rows
     held = [r for r in rows if r["h"] % 5 == 0] or rows
     described = [(r[1] or "", {r[0]}) for r in subjects.where("subject IS NOT NULL").select("subject", "description").collect()]
@@ -302,11 +323,23 @@ def train(documents: DataFrame, subjects: DataFrame, labels: DataFrame, most: in
     all_labels = [set(r["own"]) for r in fitted] + [s for _, s in described]
     vocabulary = _vocabulary(all_texts)
     numbers = work_area(documents.sparkSession, "subjects").put(_numbers(documents, vocabulary), "numbers")
-    models = fit(all_texts, all_labels, names, vocabulary, _background(numbers, len(vocabulary) + 2))
+    models = fit(all_texts, all_labels, names, vocabulary, _background(numbers, len(vocabulary) + 2), [r["lang"] for r in fitted] + [None] * len(described))
     return calibrate(models, [r["text"] for r in held], [set(r["own"]) for r in held]), numbers
 
 
-def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
+def held_out_agreement(documents: DataFrame, subjects: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
+    """(n_labelled, n_found, n_both, precision, recall) over a fifth of the labelled documents that neither trains nor
+    calibrates. Labels that are wrong count against both figures."""
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 1
+    found = document_subjects(documents, subjects, labels, most, withheld=1)
+    want = labels.where("subject IS NOT NULL").where(part).join(documents.where("text IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "subject").distinct().withColumn("wanted", F.lit(1))
+    got = found.where(part).join(want.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "subject").withColumn("got", F.lit(1))
+    both = want.join(got, ["doc_id", "subject"], "full")
+    n = both.agg(F.count("wanted").alias("n_labelled"), F.count("got").alias("n_found"), F.count_if(F.col("wanted").isNotNull() & F.col("got").isNotNull()).alias("n_both"))
+    return n.select("*", F.try_divide("n_both", "n_found").alias("precision"), F.try_divide("n_both", "n_labelled").alias("recall"))
+
+
+def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame, most: int = LABELLED, withheld: int | None = None) -> DataFrame:
     """(doc_id, subject, share): the subjects of each document with their shares of its subject sentences.
 
     Whole texts are read. Null, empty and subject-free texts give no row; without any subject or label there is no row
@@ -317,7 +350,7 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
     out_schema = f"doc_id {kind}, subject string, share double"
     if subjects.where("subject IS NOT NULL").isEmpty():
         return spark.createDataFrame([], out_schema)
-    models, numbers = train(documents, subjects, labels, most)
+    models, numbers = train(documents, subjects, labels, most, withheld)
     if not len(models.pairs):
         return spark.createDataFrame([], out_schema)
     sent = spark.sparkContext.broadcast(models)

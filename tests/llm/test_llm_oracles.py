@@ -26,14 +26,6 @@ def test_query_runs(spark, name, columns):
 
 @needs_data
 def test_subjects_agree_with_held_out_labels(spark):
-    """Held-out accuracy: a fifth of the labelled documents (by hash) never trains; labels have wrong rows themselves."""
-    from pyspark.sql import functions as F
-
-    from codeloom.runtime import driver_tables
-
-    docs, labels = driver_tables(spark, DATA.replace("0.001", "0.01"), "documents", "doc_labels")
-    found = queries.QUERIES["p9_found"](spark, DATA.replace("0.001", "0.01"))
-    held = labels.where(F.xxhash64("doc_id") % 5 == 0).select("doc_id", "subject").distinct()
-    got = found.join(held.select("doc_id").distinct(), "doc_id")
-    both_ = got.join(held, ["doc_id", "subject"]).count()
-    assert both_ / got.count() > 0.75 and both_ / held.count() > 0.75
+    """A fifth of the labelled documents neither trains nor calibrates; labels have wrong rows themselves."""
+    r = queries.QUERIES["p9_held_out"](spark, DATA.replace("0.001", "0.01")).first()
+    assert r["n_labelled"] > 30 and r["precision"] > 0.75 and r["recall"] > 0.75

@@ -28,6 +28,12 @@ def test_equals_sorting(spark):
     data += [("tie", 7, 0, None)] * 50 + [("one", 3, 0, None), ("none", None, 0, None)]
     assert run(spark, data, (0, 50, 95, 100)) == brute(data, (0, 50, 95, 100))
 
+def test_large_groups_lie_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(P, "ROWS_A_SHARD", 40)
+    rnd = random.Random(4)
+    data = [(rnd.choice(["a", "a", "a", None, "b"]), rnd.randint(0, 5000), 1, "x") for _ in range(2000)] + [("c", 1, 1, "x")]
+    assert run(spark, data, (0, 50, 95, 100)) == brute(data, (0, 50, 95, 100))
+
 
 def test_empty(spark):
     assert run(spark, []) == {} == run(spark, [("a", None, 1, "x")])
