@@ -11,23 +11,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from codeloom.runtime import WorkArea, work_area
 
 CYCLE = -1
 
 
-def contract(area: WorkArea, links: DataFrame, paths: bool = False, max_rounds: int = 400) -> DataFrame:
-    """links(node BIGINT, parent BIGINT), one row a node -> (node, root, depth[, path]).
+def contract(area: WorkArea, links: DataFrame, paths: bool = False, sizes: bool = False, max_rounds: int = 400) -> DataFrame:
+    """links(node BIGINT, parent BIGINT[, label STRING]), one row a node -> (node, root, depth[, path][, below]).
 
-    Nodes that are only parents are roots and get no row. On a ring or below one: root -1, depth -1, path null.
-    ``path`` holds the nodes from the child of the root down to the node itself.
+    Nodes that are only parents are roots and get no row. On a ring or below one: root -1, depth -1, path and below null.
+    ``path`` holds the labels (else the nodes) from the child of the root down to the node itself. ``below`` is the number
+    of nodes under the node, without any pair of ancestor and descendant being made: a raked leaf hands its count to the
+    node it hung from, a spliced node hands its own to the link that replaces it and takes its child's at the replay.
+
+    The replay reads, for the nodes of a round, what later rounds found: as many rows as were still alive, which over all
+    rounds add up to a multiple of the nodes.
     """
-    extra = [F.array("node").alias("path")] if paths else []
+    first = "label" if "label" in links.columns else "node"
+    extra = [F.array(first).alias("path")] if paths else []
+    # acc: the node and what was raked into it; mass: nodes spliced out of the link to the parent, with what they had
+    extra += [F.lit(1).cast("bigint").alias("acc"), F.lit(0).cast("bigint").alias("mass")] if sizes else []
     active = area.put(links.select("node", "parent", F.lit(1).alias("w"), *extra), "alive0")
-    schema = active.schema
-    step_of = lambda rounds, out: area.read([f"steps{k}/out={out}" for k in rounds], schema)
-    carried = ["path"] if paths else []
+    carried = [c for c in ("path", "acc", "mass") if c in active.columns]
+    recorded_as = StructType([*active.schema.fields, *([StructField("child", LongType()), StructField("child_mass", LongType())] if sizes else [])])
+    step_of = lambda rounds, out: area.read([f"steps{k}/out={out}" for k in rounds], recorded_as)
     recorded: list[int] = []
     alive = not active.isEmpty()
     for k in range(1, max_rounds + 1):
@@ -36,49 +45,75 @@ def contract(area: WorkArea, links: DataFrame, paths: bool = False, max_rounds:
         rank = lambda c: F.xxhash64(c, F.lit(k))  # noqa: B023, E731
         ring = F.col("node") == F.col("parent")
         live = active.where(~ring)
-        children = live.groupBy("parent").agg(F.count("*").alias("n"), F.min("node").alias("only"))
-        below = children.select(F.col("parent").alias("node"), F.col("n").alias("below"), "only")
+        children = live.groupBy("parent").agg(F.count("*").alias("n"), F.min("node").alias("only"), *([F.min("mass").alias("only_mass")] if sizes else []))
+        of_child = ["only", "only_mass"] if sizes else ["only"]
+        below = children.select(F.col("parent").alias("node"), F.col("n").alias("below"), *of_child)
         beside = children.select("parent", F.col("n").alias("beside"))
         v = live.join(beside, "parent").join(below, "node", "left")
         alone = (F.col("below") == 1) & (rank(F.col("node")) > rank(F.col("only")))
         v = v.withColumn("cut", F.coalesce(alone & ((F.col("beside") > 1) | (rank(F.col("node")) > rank(F.col("parent")))), F.lit(False)))
-        v = v.select("node", "parent", "w", *carried, F.col("below").isNull().alias("leaf"), F.col("cut").cast("int").alias("cut"))
+        v = v.select("node", "parent", "w", *carried, *(of_child if sizes else []), F.col("below").isNull().alias("leaf"), F.col("cut").cast("int").alias("cut"))
         v = area.put(v, f"seen{k}", ["cut"])
         cut = v.where("cut = 1")
-        over = cut.select(F.col("node").alias("parent"), F.col("parent").alias("up"), F.col("w").alias("up_w"), *([F.col("path").alias("up_path")] if paths else []))
+        over = cut.select(F.col("node").alias("parent"), F.col("parent").alias("up"), F.col("w").alias("up_w"), *([F.col("path").alias("up_path")] if paths else []), *([(F.col("acc") + F.col("mass")).alias("up_mass")] if sizes else []))
         kept = v.where("cut = 0").join(over, "parent", "left")
         longer = [F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat("up_path", "path")).alias("path")] if paths else []
+        longer += [F.col("acc"), (F.col("mass") + F.coalesce("up_mass", F.lit(0))).alias("mass")] if sizes else []
         kept = kept.select("node", F.coalesce("up", "parent").alias("parent"), (F.col("w") + F.coalesce("up_w", F.lit(0))).alias("w"), *longer, F.when(F.col("leaf"), 1).otherwise(0).alias("out"))
-        cores = active.where(ring).select("node", "parent", "w", *carried, F.lit(2).alias("out"))
-        step = kept.unionByName(cut.select("node", "parent", "w", *carried, F.lit(1).alias("out"))).unionByName(cores)
+        no_child = [F.lit(None).cast("bigint").alias(c) for c in ("child", "child_mass")] if sizes else []
+        if sizes:
+            given = kept.where("out = 1").groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("acc") + F.col("mass")).alias("given"))
+            kept = kept.join(given, "node", "left").withColumn("acc", F.col("acc") + F.coalesce("given", F.lit(0)))
+        cores = active.where(ring).select("node", "parent", "w", *carried, *no_child, F.lit(2).alias("out"))
+        gone = cut.select("node", "parent", "w", *carried, *([F.col("only").alias("child"), F.col("only_mass").alias("child_mass")] if sizes else []), F.lit(1).alias("out"))
+        step = kept.select("node", "parent", "w", *carried, *no_child, "out").unionByName(gone).unionByName(cores)
         area.put(step, f"steps{k}", ["out"])
         area.drop(f"seen{k}", f"alive{k - 1}" if k == 1 else f"steps{k - 1}/out=0")
         recorded.append(k)
-        active, alive = step_of([k], 0), "0" in area.parts(f"steps{k}")
+        active, alive = step_of([k], 0).select("node", "parent", "w", *carried), "0" in area.parts(f"steps{k}")
     else:
         raise RuntimeError(f"contraction did not end in {max_rounds} rounds")
 
     spark = links.sparkSession
+    kind = active.schema["path"].dataType if paths else None
     done: list[str] = []
     if recorded:
         # rings first: what hung from a core may have been removed after the core was found
         cores = step_of(recorded, 2)
-        none = [F.lit(None).cast("array<bigint>").alias("path")] if paths else []
+        none = [*([F.lit(None).cast(kind).alias("path")] if paths else []), *([F.lit(None).cast("bigint").alias("below")] if sizes else [])]
         area.put(cores.select("node", F.lit(CYCLE).cast("bigint").alias("root"), F.lit(-1).cast("bigint").alias("depth"), *none), "found0")
         done.append(area.path("found0"))
     for k in range(len(recorded), 0, -1):
         rec = step_of([k], 1)
-        known = spark.read.parquet(*done).select(F.col("node").alias("parent"), F.col("root").alias("top"), F.col("depth").alias("above"), *([F.col("path").alias("head")] if paths else []))
-        rec = rec.join(known, "parent", "left")
+        later = spark.read.parquet(*done)
+        known = later.select(F.col("node").alias("parent"), F.col("root").alias("top"), F.col("depth").alias("above"), *([F.col("path").alias("head")] if paths else []))
         lost = F.coalesce("top", F.lit(0)) == CYCLE
+        if sizes:  # a spliced node's child went later, or as a leaf of this round
+            counts = later.select(F.col("node").alias("child"), F.col("below").alias("under")).unionByName(rec.where("child IS NULL").select(F.col("node").alias("child"), (F.col("acc") - 1).alias("under")))
+            rec = rec.join(counts, "child", "left")
+        rec = rec.join(known, "parent", "left")
         whole = [F.when(lost, None).when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", "path")).alias("path")] if paths else []
+        if sizes:
+            own = F.col("acc") - 1 + F.when(F.col("child").isNull(), 0).otherwise(F.col("child_mass") + F.col("under") + 1)
+            whole.append(F.when(lost, None).otherwise(own).cast("bigint").alias("below"))
         new = rec.select("node", F.when(lost, F.lit(CYCLE)).otherwise(F.coalesce("top", "parent")).cast("bigint").alias("root"), F.when(lost, F.lit(-1)).otherwise(F.coalesce("above", F.lit(0)) + F.col("w")).cast("bigint").alias("depth"), *whole)
         area.put(new, f"found{k}")
-        area.drop(f"steps{k}")
+        if not sizes:
+            area.drop(f"steps{k}")
         done.append(area.path(f"found{k}"))
     if not done:
-        return links.select("node", F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("depth"), *extra).where("false")
-    return spark.read.parquet(*done)
+        empty = [F.array(first).alias("path")] if paths else []
+        empty += [F.lit(0).cast("bigint").alias("below")] if sizes else []
+        return links.select("node", F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("depth"), *empty).where("false")
+    if not sizes:
+        return spark.read.parquet(*done)
+    # roots have no record of their own: what was raked into each node, of which only roots' counts are wanted
+    found = spark.read.parquet(*done)
+    raked = step_of(recorded, 1).where("child IS NULL").groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("acc") + F.col("mass")).alias("below"))
+    tops = raked.join(links.select("node"), "node", "left_anti")
+    cols = ["node", "root", "depth", *(["path"] if paths else []), "below"]
+    tops = tops.select("node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), *([F.array().cast(kind).alias("path")] if paths else []), "below")
+    return found.select(*cols).unionByName(tops)
 
 
 def numbered(area: WorkArea, nodes: DataFrame, key: str) -> DataFrame:
@@ -99,7 +134,7 @@ def hierarchy(nodes: DataFrame, links: DataFrame, paths: bool = False) -> DataFr
     book = numbered(area, nodes.where(F.col("key").isNotNull()).select("key"), "key")
     pairs = links.where("key IS NOT NULL AND parent_key IS NOT NULL").groupBy("key").agg(F.min("parent_key").alias("parent_key"))
     ids = book.select("key", F.col("nid").alias("node"))
-    e = pairs.join(ids, "key").select("node", "parent_key").join(ids.select(F.col("key").alias("parent_key"), F.col("node").alias("parent")), "parent_key").select("node", "parent")
+    e = pairs.join(ids, "key").select("node", "parent_key", F.col("key").alias("label")).join(ids.select(F.col("key").alias("parent_key"), F.col("node").alias("parent")), "parent_key").select("node", "parent", *(["label"] if paths else []))
     found = contract(area, e, paths)
     return named(book.select("nid", "key"), found, paths)
 
@@ -111,13 +146,8 @@ def named(book: DataFrame, found: DataFrame, paths: bool) -> DataFrame:
     tops = book.select(F.col("nid").alias("root"), F.col("key").alias("top_key"))
     r = r.join(tops, "root", "left")
     root = F.when(F.col("root").isNull(), F.col("key")).when(F.col("root") == CYCLE, F.lit("cycle")).otherwise(F.col("top_key"))
-    out = r.select("node", "key", root.alias("root_key"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"), *([F.when(F.col("root").isNull(), F.array().cast("array<bigint>")).otherwise(F.col("path")).alias("steps")] if paths else []))
-    if not paths:
-        return out.drop("node")
-    steps = out.where("steps IS NOT NULL").select("node", F.posexplode("steps").alias("at", "step"))
-    words = steps.join(book.select(F.col("nid").alias("step"), F.col("key").alias("step_key")), "step")
-    spelled = words.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "step_key"))), lambda x: x["step_key"]).alias("keys"))
-    return out.join(spelled, "node", "left").select("key", "root_key", "depth", F.when(F.col("depth") < 0, None).otherwise(F.concat(F.array("root_key"), F.coalesce("keys", F.array().cast("array<string>")))).alias("path"))
+    path = F.when(F.col("root").isNull(), F.array("key")).otherwise(F.concat(F.array("top_key"), "path"))  # null on rings
+    return r.select("key", root.alias("root_key"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"), *([path.alias("path")] if paths else []))
 
 
 def descendants(tree: DataFrame) -> DataFrame:
@@ -166,23 +196,17 @@ def symbol_tree(symbols: DataFrame) -> DataFrame:
     On a ring or below one: root_id 'cycle', depth -1, path and n_descendants null.
     """
     book, links, area = symbol_links(symbols)
-    found = area.put(contract(area, links, paths=True), "paths")
-    label = book.select("nid", F.coalesce("name", F.lit("")).alias("name"))
-    # from the root (which found has no row for) down to the node
-    steps = found.where("depth >= 0").select("node", F.posexplode(F.concat(F.array("root"), "path")).alias("at", "nid"))
-    spelled = steps.join(label, "nid").groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), "/").alias("path"))
-    under = steps.groupBy("nid").agg(F.count("*").alias("n"))
-    tops = book.select(F.col("nid").alias("root"), F.col("id").alias("top"))
-    r = book.select(F.col("nid").alias("node"), "id", "name").join(found.select("node", "root", "depth"), "node", "left").join(tops, "root", "left")
-    r = r.join(spelled, "node", "left").join(under.withColumnRenamed("nid", "node"), "node", "left")
+    label = book.select(F.col("nid").alias("node"), F.coalesce("name", F.lit("")).alias("label"))
+    found = contract(area, links.join(label, "node"), paths=True, sizes=True)
+    tops = book.select(F.col("nid").alias("root"), F.col("id").alias("top"), F.coalesce("name", F.lit("")).alias("top_name"))
+    r = book.select(F.col("nid").alias("node"), "id", "name").join(found, "node", "left").join(tops, "root", "left")
     lost = F.col("root") == CYCLE
-    own = F.when(F.col("root").isNull(), F.lit(0)).otherwise(F.lit(1))  # a node with a parent is among its own steps
     return r.select(
         F.col("id").alias("symbol_id"),
         F.when(F.col("root").isNull(), F.col("id")).when(lost, "cycle").otherwise(F.col("top")).alias("root_id"),
         F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"),
-        F.when(lost, None).when(F.col("root").isNull(), F.coalesce("name", F.lit(""))).otherwise(F.col("path")).alias("path"),
-        F.when(lost, None).otherwise(F.coalesce("n", F.lit(0)) - own).cast("bigint").alias("n_descendants"),
+        F.when(lost, None).when(F.col("root").isNull(), F.coalesce("name", F.lit(""))).otherwise(F.array_join(F.concat(F.array("top_name"), "path"), "/")).alias("path"),
+        F.when(lost, None).otherwise(F.coalesce("below", F.lit(0))).cast("bigint").alias("n_descendants"),
     )
 
 

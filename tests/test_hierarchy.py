@@ -93,3 +93,30 @@ def test_rounds_are_bounded(spark):
 
     with pytest.raises(RuntimeError):
         H.contract(work_area(spark, "t"), spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 3)], "node long, parent long"), max_rounds=1)
+
+
+def sizes_by_hand(parent):
+    n = dict.fromkeys(parent, 0)
+    for k, (_, depth, path) in brute(parent).items():
+        for a in (path or ())[:-1]:
+            n[a] += 1
+    return n
+
+
+@pytest.mark.parametrize("seed", [3, 8])
+def test_numbers_of_descendants_without_pairs(spark, seed):
+    rnd = random.Random(seed)
+    n = 160
+    parent = {i: rnd.choice([None, rnd.randrange(n), max(0, i - 1), max(0, i - 1), max(0, i - 1)]) for i in range(n)}
+    links = spark.createDataFrame([(k, p) for k, p in parent.items() if p is not None], "node long, parent long")
+    got = {r["node"]: r["below"] for r in H.contract(H.work_area(spark, "t"), links, sizes=True).collect()}
+    want, roots = sizes_by_hand(parent), brute(parent)
+    assert all(got.get(k, 0) == (None if roots[k][1] < 0 else want[k]) for k in parent)
+
+
+def test_a_very_deep_chain(spark):
+    n = 100_000
+    links = spark.range(n).selectExpr("id + 1 AS node", "id AS parent")
+    d = H.contract(H.work_area(spark, "t"), links, sizes=True)
+    r = d.agg(F.count("*"), F.max("depth"), F.count_if(F.col("depth") + F.col("below") != n), F.count_if(F.col("root") != 0)).first()
+    assert tuple(r) == (n + 1, n, 0, 0)
