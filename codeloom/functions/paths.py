@@ -25,9 +25,11 @@ ADDON = _segments("addons", "plugins", "library")
 ROUTE = r"(^|/)(routes?|routing|router)[^/]*/|route"
 MONEY = r"billing|payment|invoice|ledger|pricing|refund"
 AUTH = r"auth|login|session|permission|password|token"
-HOTSPOT_NOISE = VENDOR + "|" + TEST + "|" + _segments("migrations", "scripts", "deps") + r"|\.lock$"
+# Churn here is no sign of a hot path: dependencies, scripts, tools, benchmarks, tests and schema history.
+HOTSPOT_NOISE = _segments("deps", "scripts?", "tools", "benchmarks", "bench", "generators") + "|/(vendor|third_party|node_modules|lua|hiredis|jemalloc|tooling|fixtures|tests?|__tests__|testdata|testing|migrations)/" + r"|(^|/)(test_|generate_)[^/]*$|_test\.(c|py|go|rb)$|_spec\.rb$|\.(sh|ps1|bat)$"
+SECONDARY = _segments("docs_src", "samples?", "examples?", "integration", "fixtures?", "testdata", "benchmarking", "playgrounds?", "acceptance", r"\.github") + r"|/_expected/|(^|/)(expected\.[^/]*|[^/]*_expected[^/]*)$"
 
-FLAGS = {"vendor": VENDOR, "test": TEST, "demo": DEMO, "fixture": FIXTURE, "style": STYLE, "scaffold": SCAFFOLD, "config": CONFIG, "dependency": DEPENDENCY, "entrypoint": ENTRY, "addon": ADDON}
+FLAGS = {"vendor": VENDOR, "test": TEST, "demo": DEMO, "fixture": FIXTURE, "style": STYLE, "scaffold": SCAFFOLD, "config": CONFIG, "dependency": DEPENDENCY, "entrypoint": ENTRY, "addon": ADDON, "hotspot_noise": HOTSPOT_NOISE, "secondary": SECONDARY}
 
 # Language labels by extension.
 LANGUAGES = {
@@ -103,18 +105,33 @@ def arch_role(path: Column) -> Column:
     return F.when(p.rlike("controller|handler|routes?/"), "controller").when(p.rlike("view|template|component|render"), "view").when(p.rlike("model|schema|entity"), "model").otherwise("internal")
 
 
-LAYER_RULES = (("route", "(^|[^a-z])rout|endpoint"), ("controller", "controller|handler|manager"), ("service", "service|worker|adapter"), ("query", "repository|query|store|cache|ledger|index"))
+# Layer, pattern of the lower-case path, pattern of the lower-case name.
+LAYER_RULES = (
+    ("route", r"/(routes?|routing)/|(routes|router)\.go$|routes\.(php|ts|js)$", r"^(servehttp2?|handle|handlefunc)$|^(route|fastapi|express|flask|fiber|gin|nest|axum|ktor|sinatra)_(get|post|put|patch|delete|head|options|any|use|match)_[0-9]+$"),
+    ("controller", r"/controllers?/|controller\.(php|ts|go)$", r"controller$"),
+    ("service", r"/(services?|usecases|use_cases|interactors|handlers?)/", r"(service|interactor|usecase|handler)$"),
+    ("query", r"/(repositor(ies|y)|quer(ies|y)|models|dao|persistence|stores?)/", r"(repository|repo|query|store|dao|mapper|model)$"),
+)
 
 
-def flow_layer(name: Column, path: Column) -> Column:
-    """Layer of a request flow; the first rule that matches name or file name wins."""
-    text = F.lower(F.concat_ws(" ", name, F.substring_index(path, "/", -1)))
+def flow_layer(name: Column, path: Column, signature: Column | None = None, rules=LAYER_RULES) -> Column:
+    """Layer of a request flow; the first rule that matches path or name wins, entry points by signature are routes."""
+    n, p = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(path, F.lit("")))
     layer = F.lit("other")
-    for label, pattern in reversed(LAYER_RULES):
-        layer = F.when(text.rlike(pattern), label).otherwise(layer)
+    for label, of_path, of_name in reversed(rules):
+        hit = p.rlike(of_path) | n.rlike(of_name)
+        if label == "route" and signature is not None:
+            hit = hit | F.contains(F.lower(F.coalesce(signature, F.lit(""))), F.lit("role=entrypoint"))
+        layer = F.when(hit, label).otherwise(layer)
     return layer
 
 
+def layer_cohesion(layer: Column, members: Column) -> Column:
+    """How close the members of a layer's cluster belong together; large clusters less."""
+    base = F.when(layer == "route", 0.6).when(layer == "controller", 0.7).when(layer == "service", 0.75).when(layer == "query", 0.65).otherwise(0.55)
+    return F.round(base - F.when(members > 20, 0.1).otherwise(0.0), 6)
+
+
 def layer_score(layer: Column) -> Column:
     return F.when(layer == "query", 5).when(layer == "route", 4).when(layer == "controller", 3).when(layer == "service", 2).otherwise(0)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions import paths
+
 
 def churn(commits: DataFrame) -> DataFrame:
     """commits(commit_id, file), one row a touched file -> (file, n_commits)."""
@@ -21,6 +23,11 @@ def hotspots(churned: DataFrame, centrality: DataFrame, k: int = 20) -> DataFram
     return d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "file")))
 
 
+def without_noise(d: DataFrame, path) -> DataFrame:
+    """Rows whose path can be a hot path: no dependencies, scripts, tests, generated or secondary trees."""
+    return d.where(~paths.path_flag("hotspot_noise", path) & ~paths.path_flag("test", path) & ~paths.path_flag("secondary", path) & ~paths.path_flag("addon", path))
+
+
 def centrality_only(centrality: DataFrame, k: int = 20) -> DataFrame:
     """Where there is no history: degree over the greatest degree."""
     m = centrality.agg(F.max("degree")).scalar()

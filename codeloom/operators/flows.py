@@ -10,14 +10,14 @@ from codeloom.operators.graph import Graph
 from codeloom.runtime import work_area
 
 
-def entrypoints(g: Graph, limit: int | None = None) -> DataFrame:
+def entrypoints(g: Graph, limit: int | None = None, rules=paths.LAYER_RULES) -> DataFrame:
     """Symbols of the route and controller layers that are functions, methods or classes outside tests."""
-    s = g.symbols.withColumn("layer", paths.flow_layer(F.col("name"), F.col("path")))
+    s = g.symbols.withColumn("layer", paths.flow_layer(F.col("name"), F.col("path"), F.col("signature"), rules))
     d = s.where(F.col("layer").isin("route", "controller") & F.col("kind").isin("function", "method", "class") & ~paths.path_flag("test", F.col("path"))).select("id", "name", "layer")
     return d if limit is None else d.orderBy("layer", "name", "id").limit(limit)
 
 
-def spines(g: Graph, entries: DataFrame, depth: int = 8, fan_out: int = 12) -> DataFrame:
+def spines(g: Graph, entries: DataFrame, depth: int = 8, fan_out: int = 12, rules=paths.LAYER_RULES) -> DataFrame:
     """(entry, path, layers, score): of the walks from each entry (never back, at most ``fan_out`` callees a node, a
     node kept on its best-scored walk only) the one with the best score, most layers and fewest steps.
 
@@ -25,7 +25,7 @@ def spines(g: Graph, entries: DataFrame, depth: int = 8, fan_out: int = 12) -> D
     """
     spark = entries.sparkSession
     area = work_area(spark, "flows")
-    s = g.symbols.select("id", paths.flow_layer(F.col("name"), F.col("path")).alias("layer"))
+    s = g.symbols.select("id", paths.flow_layer(F.col("name"), F.col("path"), F.col("signature"), rules).alias("layer"))
     calls = g.edges.where("kind = 'calls'").select(F.col("src_id").alias("at"), F.col("dst_id").alias("to")).distinct().join(s.select(F.col("id").alias("to"), "layer"), "to")
     calls = calls.withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy(F.desc(paths.layer_score(F.col("layer"))), "to"))).where(F.col("r") <= fan_out).drop("r")
     calls = area.put(calls, "calls")
@@ -50,9 +50,9 @@ def spines(g: Graph, entries: DataFrame, depth: int = 8, fan_out: int = 12) -> D
     return best.select("entry", "b.*")
 
 
-def request_flows(g: Graph) -> DataFrame:
+def request_flows(g: Graph, rules=paths.LAYER_RULES) -> DataFrame:
     """(id, name, entry, steps, layers): useful spines of two steps or more, which start at an entry layer or span two layers."""
-    d = spines(g, entrypoints(g)).where(F.size("path") >= 2)
+    d = spines(g, entrypoints(g, rules=rules), rules=rules).where(F.size("path") >= 2)
     kinds = F.array_distinct(F.filter("layers", lambda x: x != "other"))
     d = d.where(F.element_at("layers", 1).isin("route", "controller") | (F.size(kinds) >= 2))
     d = d.join(g.symbols.select(F.col("id").alias("entry"), F.col("name").alias("entry_name")), "entry")
@@ -68,3 +68,9 @@ def clusters(g: Graph, found: DataFrame) -> DataFrame:
     family = g.symbols.select(F.col("id").alias("entry"), F.get(split_identifier(F.col("name")), 0).alias("w")).where("w IS NOT NULL")
     by_family = steps.join(family, "entry").select(F.concat(F.lit("family:"), "w").alias("name"), "node")
     return by_layer.unionByName(by_family).distinct()
+
+
+def cluster_summary(members: DataFrame) -> DataFrame:
+    """clusters' (name, node) -> (name, n_members, cohesion)."""
+    n = members.groupBy("name").agg(F.count("*").alias("n_members"))
+    return n.select("name", "n_members", paths.layer_cohesion(F.when(F.col("name").startswith("layer:"), F.expr("substring(name, 7)")).otherwise(F.lit("other")), F.col("n_members")).alias("cohesion"))

@@ -38,25 +38,25 @@ def contract_guard(g: Graph, changed: DataFrame) -> DataFrame:
     return g.symbols.join(changed, ["repo_id", "path"], "left_semi").where(public & ~hidden).select("id", "name", "path")
 
 
-#: Layers by folder of a path, and imports that a layer must not make (fixed values).
-LAYERS = {"model": r"(^|/)(model|schema|vault|ledger)[a-z0-9]*/", "view": r"(^|/)(render|view|panel)[a-z0-9]*/", "api": r"(^|/)(routing|api|auth)[a-z0-9]*/"}
+#: Layers by folder of a path, and calls that a layer must not make (fixed values; other rules are given as parameters).
+LAYERS = {"model": r"(^|/)(models?|domain|entities|schema)/", "view": r"(^|/)(views?|components|templates|pages)/", "api": r"(^|/)(api|routes|controllers|handlers)/"}
 FORBIDDEN = (("model", "view"), ("model", "api"), ("view", "model"))
 
 
-def layer_of(path):
+def layer_of(path, layers=None):
     out = F.lit("other")
-    for name, p in reversed(list(LAYERS.items())):
+    for name, p in reversed(list((layers or LAYERS).items())):
         out = F.when(F.lower(path).rlike(p), name).otherwise(out)
     return out
 
 
-def architecture_lint(g: Graph) -> DataFrame:
+def architecture_lint(g: Graph, layers=None, forbidden=FORBIDDEN) -> DataFrame:
     """Calls from a layer into one that it must not use: (src_id, dst_id, src_layer, dst_layer)."""
-    s = g.symbols.select("id", layer_of(F.col("path")).alias("layer"))
+    s = g.symbols.select("id", layer_of(F.col("path"), layers).alias("layer"))
     e = g.edges.where("kind = 'calls'").select("src_id", "dst_id")
     e = e.join(s.select(F.col("id").alias("src_id"), F.col("layer").alias("src_layer")), "src_id").join(s.select(F.col("id").alias("dst_id"), F.col("layer").alias("dst_layer")), "dst_id")
     bad = F.lit(False)
-    for a, b in FORBIDDEN:
+    for a, b in forbidden:
         bad = bad | ((F.col("src_layer") == a) & (F.col("dst_layer") == b))
     return e.where(bad)
 
@@ -143,18 +143,18 @@ SINKS = (("sql", r"(?i)\b(execute|query|raw)\s*\("), ("shell", r"(?i)\b(system|p
 ASSIGN = r"^\s*(?:const |let |var )?([A-Za-z_]\w*)\s*(?::=|=)\s*(.+)$"
 
 
-def dataflow(lines: DataFrame) -> DataFrame:
+def dataflow(lines: DataFrame, source: str = SOURCE, sinks=SINKS) -> DataFrame:
     """lines(file, line, content) -> (file, line, sink, name): sinks that use a name assigned from request data before.
 
     Within each file, names become tainted at their assignment; a sink line after it that has the name as a word is a
     finding. Names and sink lines of a file meet by equi-join, filtered on order and word.
     """
     t = lines.where("content IS NOT NULL")
-    tainted = t.where(F.regexp_extract("content", ASSIGN, 2).rlike(SOURCE)).select("file", F.col("line").alias("at"), F.regexp_extract("content", ASSIGN, 1).alias("name")).groupBy("file", "name").agg(F.min("at").alias("at"))
-    tests = F.array(*[F.when(F.col("content").rlike(p), F.lit(k)) for k, p in SINKS])
+    tainted = t.where(F.regexp_extract("content", ASSIGN, 2).rlike(source)).select("file", F.col("line").alias("at"), F.regexp_extract("content", ASSIGN, 1).alias("name")).groupBy("file", "name").agg(F.min("at").alias("at"))
+    tests = F.array(*[F.when(F.col("content").rlike(p), F.lit(k)) for k, p in sinks])
     words = F.array_distinct(F.regexp_extract_all("content", F.lit(r"([A-Za-z_]\w*)"), 1))
-    sinks = t.select("file", "line", F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("sink"), words.alias("words")).select("file", "line", "sink", F.explode("words").alias("name"))
-    return sinks.join(tainted, ["file", "name"]).where(F.col("line") > F.col("at")).select("file", "line", "sink", "name")
+    used = t.select("file", "line", F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("sink"), words.alias("words")).select("file", "line", "sink", F.explode("words").alias("name"))
+    return used.join(tainted, ["file", "name"]).where(F.col("line") > F.col("at")).select("file", "line", "sink", "name")
 
 
 def finish_check(findings: DataFrame, gaps: DataFrame, public: DataFrame, max_gaps: int = 0) -> DataFrame:

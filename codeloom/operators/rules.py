@@ -16,6 +16,7 @@ SECURITY_RULES = (
     ("weak-hash", "medium", r"(?i)\b(md5|sha1)\s*\("),
     ("tls-off", "high", r"(?i)(insecureskipverify\s*[:=]\s*true|verify\s*=\s*false)"),
     ("debug-on", "low", r"(?i)\bdebug\s*[:=]\s*true\b"),
+    ("embedded-blob", "medium", r"[\"'][A-Za-z0-9+/]{120,}"),
     ("open-cors", "medium", r"(?i)access-control-allow-origin.*\*"),
 )
 NOTE_RULES = (("left-over", "low", r"(?i)\b(todo|fixme|hack)\b"), ("reverted", "low", r"(?i)\breverted\b"), ("lost-value", "medium", r"(?i)\bwas lost after\b"), ("no-owner", "low", r"(?i)\bno owner\b"), ("destructive-ddl", "high", r"(?i)\b(drop table|truncate table|alter table .* drop)\b"))
@@ -37,8 +38,9 @@ def scan_lines(lines: DataFrame, rules, comments: bool = False) -> DataFrame:
     return d.select("file", "line", "x.rule", "x.severity")
 
 
-def lines_of(texts: DataFrame, key: str, text: str) -> DataFrame:
-    d = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("file"), F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("n", "content"))
+def lines_of(texts: DataFrame, key: str, text: str, ends: str = r"\r\n|\n|\r") -> DataFrame:
+    """Numbered lines of texts, or other pieces that end where ``ends`` matches (statements, say)."""
+    d = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("file"), F.posexplode(F.split(text, ends)).alias("n", "content"))
     return d.select("file", (F.col("n") + 1).alias("line"), "content")
 
 
@@ -105,11 +107,11 @@ LOOP = r"^\s*(for|while|foreach)\b"
 CALL = r"(?i)(query|fetch|load|store|request|open)\w*\s*\("
 
 
-def loop_calls(lines: DataFrame, window: int = 12) -> DataFrame:
+def loop_calls(lines: DataFrame, window: int = 12, loop: str = LOOP, call: str = CALL) -> DataFrame:
     """lines(file, line, content) -> calls that look like IO within ``window`` lines after the start of a loop."""
     w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    d = lines.withColumn("loop_line", F.last(F.when(F.col("content").rlike(LOOP), F.col("line")), True).over(w))
-    return d.where(F.col("content").rlike(CALL) & (F.col("line") - F.col("loop_line") <= window)).select("file", "line", "loop_line")
+    d = lines.withColumn("loop_line", F.last(F.when(F.col("content").rlike(loop), F.col("line")), True).over(w))
+    return d.where(F.col("content").rlike(call) & (F.col("line") - F.col("loop_line") <= window)).select("file", "line", "loop_line")
 
 
 ALLOWED = re.compile(r"^(select|with|show|describe|desc|explain|values)\b", re.I)

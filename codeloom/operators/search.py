@@ -14,8 +14,10 @@ from codeloom.functions import text as T
 from codeloom.runtime import work_area
 
 K1, B, AVERAGE, LEAST_IDF = 1.2, 0.75, 50.0, 0.05
-#: Queries a pass; more are searched block by block.
+#: Text queries a pass; more are searched block by block.
 BLOCK = 500
+#: Bytes of query vectors that are sent at once; more are searched block by block.
+BLOCK_BYTES = 64_000_000
 
 
 def tokens_of(query: str) -> list[str]:
@@ -122,14 +124,20 @@ def hybrid(symbols: DataFrame, degrees: DataFrame, queries: dict[str, str], k: i
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, binary: bool = False) -> DataFrame:
     """vectors(id, v), queries(query_id, v) -> (query_id, id, score, rank) by cosine or sign-bit similarity.
 
-    Blocks of the stated queries are multiplied with every Arrow batch; a batch passes on its k best a query, so the
-    final ranking sees k rows a batch and query. Missing vectors, zero norms and other lengths score 0.
+    The stated queries are sent to the tasks in blocks of at most ``BLOCK_BYTES`` (a scan of the vectors a block). A task
+    multiplies them with every Arrow batch and keeps the k best of each, so that the final ranking sees k rows a task and
+    query. Missing vectors, zero norms and other lengths score 0.
     """
-    q = [(str(r["query_id"]), [float(x) for x in r["v"]]) for r in queries.where("v IS NOT NULL").select("query_id", "v").toLocalIterator()]
     spark: SparkSession = vectors.sparkSession
+    area = work_area(spark, "queries")
+    known = queries.where("v IS NOT NULL").select(F.col("query_id").cast("string").alias("query_id"), F.col("v").cast("array<double>").alias("v"))
+    known = area.put(known, "queries")
+    width, n = known.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
+    blocks = max(1, -(-n * max(1, width) * 8 // BLOCK_BYTES))
     whole = None
-    for a in range(0, max(1, len(q)), BLOCK):
-        sent = spark.sparkContext.broadcast(q[a : a + BLOCK])
+    for a in range(blocks):
+        block = known.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == a) if blocks > 1 else known
+        sent = spark.sparkContext.broadcast([(r[0], list(r[1])) for r in block.orderBy("query_id").collect()])
 
         def search(batches, sent=sent):
             import numpy as np
@@ -141,23 +149,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, binary: bool =
                 n = np.linalg.norm(m, axis=1, keepdims=True)
                 return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
-            if sent.value:
-                dim = len(sent.value[0][1])
-                qm = unit(np.array([v for _, v in sent.value], dtype=float))
-                for b in batches:
-                    ids = b.column(0).to_pylist()
-                    rows = b.column(1).to_pylist()
-                    ok = [i for i, v in enumerate(rows) if v is not None and len(v) == dim]
-                    sims = np.zeros((len(qm), len(rows)))
-                    if ok:
-                        s = qm @ unit(np.array([rows[i] for i in ok], dtype=float)).T
+            if not sent.value:
+                return
+            names = [q for q, _ in sent.value]
+            dim = len(sent.value[0][1])
+            qm = unit(np.array([v if len(v) == dim else [0.0] * dim for _, v in sent.value], dtype=float))
+            scores, ids = np.zeros((len(qm), 0)), np.zeros((len(qm), 0), np.int64)
+            for whole_batch in batches:
+                for at in range(0, whole_batch.num_rows, 2048):
+                    b = whole_batch.slice(at, 2048)
+                    lists = b.column(1)
+                    own, flat = b.column(0).to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
+                    size = np.diff(lists.offsets.to_numpy())
+                    ok = (size == dim) & lists.is_valid().to_numpy(zero_copy_only=False)
+                    sims = np.zeros((len(qm), len(own)))
+                    if ok.any():
+                        kept = flat[np.repeat(ok, np.where(lists.is_valid().to_numpy(zero_copy_only=False), size, 0))]
+                        s = qm @ unit(np.nan_to_num(kept.astype(float)).reshape(-1, dim)).T
                         sims[:, ok] = (s + 1) / 2 if binary else s
-                    sims = np.round(sims, 6)
-                    for j, (name, _) in enumerate(sent.value):
-                        best = sorted(range(len(rows)), key=lambda i: (-sims[j, i], ids[i]))[:k]
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(best)), pa.array([ids[i] for i in best], pa.int64()), pa.array(sims[j, best])], ["query_id", "id", "score"])
-
-        one = vectors.select("id", "v").mapInArrow(search, "query_id string, id bigint, score double")
+                    scores = np.concatenate([scores, np.round(sims, 6)], axis=1)
+                    ids = np.concatenate([ids, np.broadcast_to(own, sims.shape)], axis=1)
+                    best = np.lexsort((ids, -scores), axis=1)[:, :k]
+                    scores, ids = np.take_along_axis(scores, best, 1), np.take_along_axis(ids, best, 1)
+            m = scores.shape[1]
+            if m:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, dtype=object), m), pa.string()), pa.array(ids.ravel(), pa.int64()), pa.array(scores.ravel())], ["query_id", "id", "score"])
+
+        one = vectors.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v")).where("id IS NOT NULL").mapInArrow(search, "query_id string, id bigint, score double")
         whole = one if whole is None else whole.unionByName(one)
     return top(whole, k)
 

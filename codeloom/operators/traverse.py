@@ -51,10 +51,15 @@ def impact_summary(reached: DataFrame) -> DataFrame:
     return n.withColumn("tier", risk_tier(F.col("n_nodes")))
 
 
-def affected_tests(g: Graph, targets: DataFrame, depth: int = 6) -> DataFrame:
-    """(node, depth): test symbols that reach any target, at their least distance."""
-    hit = impact(g, targets, depth).join(g.symbols.select(F.col("id").alias("node"), "path"), "node").where(paths.path_flag("test", F.col("path")))
-    return hit.groupBy("node").agg(F.min("depth").alias("depth"))
+def affected_tests(g: Graph, targets: DataFrame, depth: int = 6, tests=None) -> DataFrame:
+    """(node, depth): test symbols that reach any target, at their least distance.
+
+    All targets start the walk together, so that it holds each node once and not once for each target. ``tests`` tells
+    test symbols, by default by their path.
+    """
+    near = reach(arcs(g, "upstream"), targets.select(F.lit("all").alias("seed"), F.col("seed").alias("node")), depth).where("depth > 0")
+    is_test = paths.path_flag("test", F.col("path")) if tests is None else tests
+    return near.join(g.symbols.where(is_test).select(F.col("id").alias("node")), "node").select("node", "depth")
 
 
 def shortest_paths(g: Graph, pairs: DataFrame, depth: int = 12, kinds: list[str] = ("calls",)) -> DataFrame:

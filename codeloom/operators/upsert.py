@@ -15,6 +15,11 @@ def merge_last(old: DataFrame, new: DataFrame, keys: list[str], at: str) -> Data
     return old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
 
+def merge_greatest(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row a key with its greatest value and the number of rows; null only where all are null."""
+    return rows.groupBy(*keys).agg(F.max(value).alias(value), F.count("*").alias("n_rows"))
+
+
 def remove_paths(g: Graph, gone: DataFrame) -> Graph:
     """gone(repo_id, path): their symbols and every edge that touches one of these."""
     ids = g.symbols.join(gone, ["repo_id", "path"], "left_semi").select("id")

@@ -27,7 +27,8 @@ def session_report(calls: DataFrame) -> DataFrame:
 def run_traces(runs: DataFrame, calls: DataFrame) -> DataFrame:
     """Per run that exists: its calls in order of step, as text, with number and errors; bounded by the calls of a run."""
     order = F.array_sort(F.collect_list(F.struct("step_index", "called_at", "id", "tool_name")))
-    c = calls.groupBy("run_id").agg(F.array_join(F.transform(order, lambda x: x["tool_name"]), ">").alias("trace"), F.count("*").alias("n_steps"), F.count("error").alias("n_errors"))
+    known = calls.join(runs.select(F.col("id").alias("run_id")), "run_id", "left_semi")  # calls without a run could be any number
+    c = known.groupBy("run_id").agg(F.array_join(F.transform(order, lambda x: x["tool_name"]), ">").alias("trace"), F.count("*").alias("n_steps"), F.count("error").alias("n_errors"))
     return runs.select(F.col("id").alias("run_id"), "status").join(c, "run_id").select("run_id", "status", "trace", "n_steps", "n_errors")
 
 

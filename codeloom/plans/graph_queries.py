@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import paths
 from codeloom.functions import text as T
 from codeloom.operators import evolve, flows, graph, resolve, traverse, upsert
+from codeloom.operators.current import latest
 from codeloom.plans.base import GRAPH, query
 from codeloom.runtime import driver_tables
 
@@ -247,17 +248,32 @@ def file_languages(spark: SparkSession, d: str) -> DataFrame:
     return graph.load_graph(spark, d).files.select("id", paths.language_of(p).alias("language"), paths.dirname(p).alias("dir"), paths.strip_extension(p).alias("stem"))
 
 
-_LAYER = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for k, p in paths.LAYER_RULES) + " ELSE 'other' END"
+#: Layers of the graph in the tables: the usual rules, and folders and names that stand for routes and controllers there.
+TABLE_LAYERS = (("route", paths.LAYER_RULES[0][1] + r"|/(routing|search)[0-9]*/", paths.LAYER_RULES[0][2]), ("controller", paths.LAYER_RULES[1][1], paths.LAYER_RULES[1][2] + "|manager$"), *paths.LAYER_RULES[2:])
 
 
-@query(GRAPH + f""", t AS (SELECT id, lower(coalesce(name, '') || ' ' || coalesce(regexp_extract(path, '[^/]*$'), '')) AS t, lower(coalesce(path, '')) AS p FROM s)
+def layer_sql(rules, name: str = "n", path: str = "p", signature: str = "sig") -> str:
+    cases = [f"WHEN regexp_matches({path}, '{a}') OR regexp_matches({name}, '{b}')" + (f" OR contains({signature}, 'role=entrypoint')" if k == "route" else "") + f" THEN '{k}'" for k, a, b in rules]
+    return "CASE " + " ".join(cases) + " ELSE 'other' END"
+
+
+_LAYER = layer_sql(TABLE_LAYERS)
+_NAMED = "t AS (SELECT id, kind, lower(coalesce(name, '')) AS n, lower(coalesce(path, '')) AS p, lower(coalesce(signature, '')) AS sig FROM s)"
+
+
+@query(GRAPH + f""", {_NAMED} SELECT id, {layer_sql(TABLE_LAYERS)} AS layer FROM t WHERE kind IN ('function','method','class') AND NOT {matches('p', paths.TEST)} AND {layer_sql(TABLE_LAYERS)} IN ('route','controller')""")
+def flow_entrypoints(spark: SparkSession, d: str) -> DataFrame:
+    return flows.entrypoints(graph.load_graph(spark, d), rules=TABLE_LAYERS).select("id", "layer")
+
+
+@query(GRAPH + f""", {_NAMED}
 SELECT id, {_LAYER} AS layer,
   CASE WHEN regexp_matches(p, '{paths.TEST}') THEN 'test' WHEN regexp_matches(p, '{paths.ENTRY}') THEN 'entrypoint' WHEN regexp_matches(p, '{paths.DEPENDENCY}') THEN 'dependency' WHEN regexp_matches(p, '{paths.CONFIG}') THEN 'config' ELSE 'implementation' END AS context_kind,
   CASE WHEN regexp_matches(p, '{paths.MONEY}') THEN 'money' WHEN regexp_matches(p, '{paths.AUTH}') THEN 'auth' ELSE 'behaviour' END AS risk
 FROM t""")
 def symbol_classes(spark: SparkSession, d: str) -> DataFrame:
     s = graph.load_graph(spark, d).symbols
-    return s.select("id", paths.flow_layer(F.col("name"), F.col("path")).alias("layer"), paths.context_kind(F.col("path")).alias("context_kind"), paths.test_risk(F.coalesce("path", F.lit(""))).alias("risk"))
+    return s.select("id", paths.flow_layer(F.col("name"), F.col("path"), F.col("signature"), TABLE_LAYERS).alias("layer"), paths.context_kind(F.col("path")).alias("context_kind"), paths.test_risk(F.coalesce("path", F.lit(""))).alias("risk"))
 
 
 # traversal -----------------------------------------------------------------------------------------------------------
@@ -289,19 +305,19 @@ def impact_down(spark: SparkSession, d: str) -> DataFrame:
     return traverse.impact(g, g.symbols.where("name LIKE 'main%' OR kind = 'module'").select(F.col("id").alias("seed")), 2, "downstream")
 
 
-@query(GRAPH + _bfs(_UP, "SELECT id AS seed, id AS node FROM s WHERE kind = 'interface'", 3) + f"SELECT node, min(depth)::INT AS depth FROM r JOIN s ON s.id = r.node WHERE depth > 0 AND {matches('path', paths.TEST)} GROUP BY 1")
+@query(GRAPH + _bfs(_UP, "SELECT id AS seed, id AS node FROM s WHERE kind = 'interface'", 3) + "SELECT node, min(depth)::INT AS depth FROM r JOIN s ON s.id = r.node WHERE regexp_matches(name, '^(check|verify)') AND node NOT IN (SELECT id FROM s WHERE kind = 'interface') GROUP BY 1")
 def test_impact(spark: SparkSession, d: str) -> DataFrame:
     g = graph.load_graph(spark, d)
-    return traverse.affected_tests(g, g.symbols.where("kind = 'interface'").select(F.col("id").alias("seed")), 3)
+    return traverse.affected_tests(g, g.symbols.where("kind = 'interface'").select(F.col("id").alias("seed")), 3, F.col("name").rlike("^(check|verify)"))
 
 
-_CHANGED = "c AS (SELECT repo_id, path FROM f WHERE indexed_at >= (SELECT max(indexed_at) FROM f) - INTERVAL 3 DAY)"
+_CHANGED = "c AS (SELECT repo_id, path FROM f WHERE indexed_at >= (SELECT max(indexed_at) FROM f) - INTERVAL 10 DAY)"
 
 
 def changed_files(g: graph.Graph) -> DataFrame:
-    """Files indexed in the last three days before the newest."""
+    """Files indexed in the last ten days before the newest."""
     newest = g.files.agg(F.max("indexed_at")).scalar()
-    return g.files.where(F.col("indexed_at") >= newest - F.expr("INTERVAL 3 DAY")).select("repo_id", "path")
+    return g.files.where(F.col("indexed_at") >= newest - F.expr("INTERVAL 10 DAY")).select("repo_id", "path")
 
 
 @query(GRAPH + f", {_CHANGED} SELECT s.id FROM s JOIN c USING (repo_id, path)")
@@ -358,13 +374,13 @@ def expand_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def request_flows(spark: SparkSession, d: str) -> DataFrame:
-    return flows.request_flows(graph.load_graph(spark, d))
+    return flows.request_flows(graph.load_graph(spark, d), TABLE_LAYERS)
 
 
 @query()
 def flow_clusters(spark: SparkSession, d: str) -> DataFrame:
     g = graph.load_graph(spark, d)
-    return flows.clusters(g, flows.request_flows(g))
+    return flows.clusters(g, flows.request_flows(g, TABLE_LAYERS))
 
 
 # resolution and upserts ------------------------------------------------------------------------------------------------
@@ -420,14 +436,15 @@ def revert_edges(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT id, max(confidence) AS confidence, count(*)::BIGINT AS n_rows FROM edges GROUP BY 1")
 def edge_upsert_max(spark: SparkSession, d: str) -> DataFrame:
     (edges,) = driver_tables(spark, d, "edges")
-    return edges.groupBy("id").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_rows"))
+    return upsert.merge_greatest(edges, ["id"], "confidence")
 
 
 @query(GRAPH + "SELECT id, confidence FROM e")
 def edge_upsert_last(spark: SparkSession, d: str) -> DataFrame:
     (edges,) = driver_tables(spark, d, "edges")
-    empty = edges.where("false")
-    return upsert.merge_last(empty, edges, ["id"], "indexed_at").select("id", "confidence")
+    cut = edges.agg(F.percentile_approx("indexed_at", 0.5)).scalar()
+    old, new = latest(edges.where(F.col("indexed_at") < cut), ["id"], "indexed_at").select(*edges.columns), edges.where(F.col("indexed_at") >= cut)
+    return upsert.merge_last(old, new, ["id"], "indexed_at").select("id", "confidence")
 
 
 @query(GRAPH + f", {_CHANGED}, gone AS (SELECT s.id FROM s JOIN c USING (repo_id, path)) SELECT id FROM e WHERE src_id NOT IN (SELECT id FROM gone) AND dst_id NOT IN (SELECT id FROM gone)")
@@ -452,6 +469,7 @@ def commits_of(spark: SparkSession, d: str) -> DataFrame:
     return files.select(F.concat_ws("@", "repo_id", F.date_format("indexed_at", "yyyy-MM-dd")).alias("commit_id"), F.col("id").alias("file"))
 
 
+_FILE_PATH = "regexp_extract(file, '^file:[^:]*:(.*)$', 1)"
 _COMMITS = "commits AS (SELECT repo_id || '@' || strftime(indexed_at, '%Y-%m-%d') AS commit_id, id AS file FROM files)"
 _CENT = "cent AS (SELECT 'file:' || s.repo_id || ':' || s.path AS file, count(*)::BIGINT AS degree FROM e JOIN s ON s.id = e.dst_id WHERE e.kind = 'calls' GROUP BY 1)"
 
@@ -466,12 +484,17 @@ def churn(spark: SparkSession, d: str) -> DataFrame:
     return evolve.churn(commits_of(spark, d))
 
 
-@query(GRAPH + f""", {_COMMITS}, {_CENT}, ch AS (SELECT file, count(DISTINCT commit_id) AS n FROM commits GROUP BY 1),
-h AS (SELECT file, round(ln(1 + n) / (SELECT ln(1 + max(n)) FROM ch) * ln(1 + degree) / (SELECT ln(1 + max(degree)) FROM cent), 6) AS score FROM ch JOIN cent USING (file)),
+@query(GRAPH + f""", {_COMMITS}, {_CENT}, ok AS (SELECT id FROM files WHERE """ + " AND ".join(f"NOT {matches('path', p)}" for p in (paths.HOTSPOT_NOISE, paths.TEST, paths.SECONDARY, paths.ADDON)) + f"""),
+ch AS (SELECT file, count(DISTINCT commit_id) AS n FROM commits WHERE file IN (SELECT id FROM ok) GROUP BY 1),
+cent0 AS (SELECT * FROM cent WHERE """ + " AND ".join(f"NOT {matches(_FILE_PATH, p)}" for p in (paths.HOTSPOT_NOISE, paths.TEST, paths.SECONDARY, paths.ADDON)) + f"""),
+h AS (SELECT file, round(ln(1 + n) / (SELECT ln(1 + max(n)) FROM ch) * ln(1 + degree) / (SELECT ln(1 + max(degree)) FROM cent0), 6) AS score FROM ch JOIN cent0 USING (file)),
 t AS (SELECT * FROM h WHERE score > 0 ORDER BY score DESC, file LIMIT 20)
 SELECT file, score, row_number() OVER (ORDER BY score DESC, file)::INT AS rank FROM t""")
 def hotspots(spark: SparkSession, d: str) -> DataFrame:
-    return evolve.hotspots(evolve.churn(commits_of(spark, d)), centrality_of(graph.load_graph(spark, d)))
+    path = F.regexp_extract("file", "^file:[^:]*:(.*)$", 1)
+    (files,) = driver_tables(spark, d, "files")
+    ok = evolve.without_noise(files, F.col("path")).select(F.col("id").alias("file")).distinct()
+    return evolve.hotspots(evolve.churn(commits_of(spark, d)).join(ok, "file", "left_semi"), evolve.without_noise(centrality_of(graph.load_graph(spark, d)), path))
 
 
 @query(GRAPH + f", {_CENT} SELECT file, round(degree / (SELECT max(degree) FROM cent), 6) AS score FROM cent ORDER BY score DESC, file LIMIT 20")

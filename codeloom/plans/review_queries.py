@@ -10,7 +10,7 @@ from codeloom.functions import text as T
 from codeloom.operators import docs, evaluate, graph, markdown, review, rules, search
 from codeloom.plans.base import GRAPH, query
 from codeloom.plans.graph_queries import _CHANGED, _EXPORTED, REFS, changed_files, matches
-from codeloom.plans.search_queries import _LINES, _scan, _words
+from codeloom.plans.search_queries import _LINES, _scan, _words, _STATEMENT_ENDS, sample_lines, sample_lines_sql
 from codeloom.runtime import driver_tables
 
 _STEM = "regexp_replace(path, '\\.[^./]*$', '')"
@@ -34,12 +34,14 @@ def contract_guard(spark: SparkSession, d: str) -> DataFrame:
     return review.contract_guard(g, changed_files(g))
 
 
-_LAYER = "CASE " + " ".join(f"WHEN regexp_matches(lower(path), '{p}') THEN '{k}'" for k, p in review.LAYERS.items()) + " ELSE 'other' END"
+#: Layers by the folders that the tables have.
+TABLE_FOLDERS = {"model": r"(^|/)(vault|ledger|registry)[0-9]*/", "view": r"(^|/)(render|profile|alerts)[0-9]*/", "api": r"(^|/)(routing|auth|relay)[0-9]*/"}
+_LAYER = "CASE " + " ".join(f"WHEN regexp_matches(lower(path), '{p}') THEN '{k}'" for k, p in TABLE_FOLDERS.items()) + " ELSE 'other' END"
 
 
 @query(GRAPH + f", l AS (SELECT id, {_LAYER} AS layer FROM s) SELECT e.src_id, e.dst_id, a.layer AS src_layer, b.layer AS dst_layer FROM e JOIN l a ON a.id = e.src_id JOIN l b ON b.id = e.dst_id WHERE e.kind = 'calls' AND (" + " OR ".join(f"(a.layer = '{a}' AND b.layer = '{b}')" for a, b in review.FORBIDDEN) + ")")
 def architecture_lint(spark: SparkSession, d: str) -> DataFrame:
-    return review.architecture_lint(graph.load_graph(spark, d)).select("src_id", "dst_id", "src_layer", "dst_layer")
+    return review.architecture_lint(graph.load_graph(spark, d), TABLE_FOLDERS).select("src_id", "dst_id", "src_layer", "dst_layer")
 
 
 @query(GRAPH + f"""
@@ -99,15 +101,18 @@ def pattern_select(spark: SparkSession, d: str) -> DataFrame:
     return review.select_pattern(runs.select("id", F.col("task").alias("text")).distinct(), PATTERNS)
 
 
+#: What the samples of files have: values taken from arrays by number, and calls that read or keep them.
+READ, KEPT = r"\[[0-9]+\]", (("load", r"\b(load|fetch|resolve|parse)\s*\("), ("store", r"\b(store|flush|publish|push)\s*\("))
+
+
 def _sinks() -> str:
-    return " UNION ALL ".join(f"SELECT file, line, '{k}' AS sink, content FROM l WHERE regexp_matches(content, '{p}')" for k, p in review.SINKS)
+    return " UNION ALL ".join(f"SELECT file, line, '{k}' AS sink, content FROM l WHERE regexp_matches(content, '{p}')" for k, p in KEPT)
 
 
-@query(f"""WITH {_LINES}, t AS (SELECT file, regexp_extract(content, '{review.ASSIGN}', 1) AS name, min(line) AS at FROM l WHERE regexp_matches(regexp_extract(content, '{review.ASSIGN}', 2), '{review.SOURCE}') GROUP BY ALL),
+@query(f"""WITH {sample_lines_sql(_STATEMENT_ENDS)}, t AS (SELECT file, regexp_extract(content, '{review.ASSIGN}', 1) AS name, min(line) AS at FROM l WHERE regexp_matches(regexp_extract(content, '{review.ASSIGN}', 2), '{READ}') GROUP BY ALL),
 k AS ({_sinks()}), w AS (SELECT DISTINCT file, line, sink, unnest(regexp_extract_all(content, '([A-Za-z_]\\w*)', 1)) AS name FROM k) SELECT w.file, w.line, w.sink, w.name FROM w JOIN t ON t.file = w.file AND t.name = w.name WHERE w.line > t.at""")
 def dataflow(spark: SparkSession, d: str) -> DataFrame:
-    (documents,) = driver_tables(spark, d, "documents")
-    return review.dataflow(rules.lines_of(documents, "doc_id", "text"))
+    return review.dataflow(sample_lines(spark, d, _STATEMENT_ENDS), READ, KEPT)
 
 
 @query()

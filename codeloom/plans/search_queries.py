@@ -90,10 +90,10 @@ def hybrid_symbols(spark: SparkSession, d: str) -> DataFrame:
     return search.hybrid(g.symbols, graph.in_degrees(g.edges), SYMBOL_QUERIES).select("query_id", "id", "score", "rank")
 
 
-@query(GRAPH + ", x AS (SELECT id, lower(concat_ws(' ', name, path, signature)) AS doc FROM s) SELECT id FROM x WHERE contains(doc, 'flushledger')")
+@query(GRAPH + ", x AS (SELECT id, lower(concat_ws(' ', name, path, signature)) AS doc FROM s) SELECT id FROM x WHERE contains(doc, 'hledger')")
 def indexed_contains(spark: SparkSession, d: str) -> DataFrame:
     s = graph.load_graph(spark, d).symbols
-    return search.indexed_contains(search.trigram_index(s), search.symbol_docs(s), "flushLedger")
+    return search.indexed_contains(search.trigram_index(s), search.symbol_docs(s), "hLedger")
 
 
 def _words(c: str) -> str:
@@ -137,11 +137,11 @@ def similar_symbols_whole(spark: SparkSession, d: str) -> DataFrame:
     return search.similar_of(s, s.where(search.hashed()))
 
 
-@query(GRAPH + f""", h AS (SELECT *, CASE WHEN lower(name) = 'flushledger' THEN 0 WHEN lower(name) LIKE '%.flushledger' THEN 1 ELSE 2 END AS tier FROM s WHERE contains(lower(name), 'flushledger')),
+@query(GRAPH + f""", h AS (SELECT *, CASE WHEN lower(name) = 'ledger' THEN 0 WHEN lower(name) LIKE '%.ledger' THEN 1 ELSE 2 END AS tier FROM s WHERE contains(lower(name), 'ledger')),
 b AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY repo_id) AS best FROM h) WHERE tier = best),
 o AS (SELECT repo_id, id, name, row_number() OVER (PARTITION BY repo_id ORDER BY CASE WHEN {matches('path', paths.FIXTURE)} THEN 1 ELSE 0 END, path, name, id)::INT AS rank FROM b) SELECT * FROM o WHERE rank <= 5""")
 def group_search(spark: SparkSession, d: str) -> DataFrame:
-    return graph.group_search(graph.load_graph(spark, d).symbols, "flushLedger")
+    return graph.group_search(graph.load_graph(spark, d).symbols, "Ledger")
 
 
 _LINES = "l AS (SELECT doc_id AS file, unnest(regexp_split_to_array(text, '\\r\\n|\\n|\\r')) AS content, generate_subscripts(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), 1)::INT AS line FROM documents WHERE text IS NOT NULL)"
@@ -248,10 +248,24 @@ def quoted(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-def _scan(rule_set, comments: bool) -> str:
+#: Lines of the samples of files, and their statements (what stands between semicolons, braces and line ends).
+_SAMPLES = "(SELECT DISTINCT file_id AS file, head FROM file_samples WHERE file_id IS NOT NULL AND head IS NOT NULL)"
+_ENDS, _STATEMENT_ENDS = r"\r\n|\n|\r", r"[;{}]|\r\n|\n|\r"
+
+
+def sample_lines_sql(ends: str) -> str:
+    return f"l AS (SELECT file, unnest(regexp_split_to_array(head, '{ends}')) AS content, generate_subscripts(regexp_split_to_array(head, '{ends}'), 1)::INT AS line FROM {_SAMPLES})"
+
+
+def sample_lines(spark: SparkSession, d: str, ends: str = _ENDS) -> DataFrame:
+    (samples,) = driver_tables(spark, d, "file_samples")
+    return rules.lines_of(samples.where("file_id IS NOT NULL").select("file_id", "head").distinct(), "file_id", "head", ends)
+
+
+def _scan(rule_set, comments: bool, lines: str | None = None) -> str:
     text = "content" if comments else "regexp_replace(content, '(^|\\s)(//|#).*$', '')"
     flat = "\n UNION ALL ".join(f"SELECT file, line, '{r}' AS rule, '{s}' AS severity FROM l WHERE regexp_matches({text}, '{quoted(p)}')" for r, s, p in rule_set)
-    return f"{_LINES}, x AS ({flat})"
+    return f"{lines or _LINES}, x AS ({flat})"
 
 
 _WEIGHT = "CASE severity WHEN 'critical' THEN 8 WHEN 'high' THEN 5 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
@@ -267,10 +281,9 @@ def rule_scan(spark: SparkSession, d: str) -> DataFrame:
     return findings_of(spark, d)
 
 
-@query(f"WITH {_scan(rules.SECURITY_RULES, False)} SELECT file, line, rule, severity FROM x")
+@query(f"WITH {_scan(rules.SECURITY_RULES, False, sample_lines_sql(_ENDS))} SELECT file, line, rule, severity FROM x")
 def security_scan(spark: SparkSession, d: str) -> DataFrame:
-    (documents,) = driver_tables(spark, d, "documents")
-    return rules.scan_lines(rules.lines_of(documents, "doc_id", "text"), rules.SECURITY_RULES)
+    return rules.scan_lines(sample_lines(spark, d), rules.SECURITY_RULES)
 
 
 @query(f"WITH {_scan(rules.NOTE_RULES, True)} SELECT file, line, rule, severity, row_number() OVER (PARTITION BY file ORDER BY {_WEIGHT} DESC, rule, line)::INT AS rank FROM x")
@@ -283,10 +296,9 @@ def risk_scores(spark: SparkSession, d: str) -> DataFrame:
     return rules.risk_scores(findings_of(spark, d))
 
 
-@query(f"WITH {_LINES}, w AS (SELECT file, line, content, max(CASE WHEN regexp_matches(content, '{rules.LOOP}') THEN line END) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS loop_line FROM l) SELECT file, line, loop_line FROM w WHERE regexp_matches(content, '{rules.CALL}') AND line - loop_line <= 12")
+@query(f"WITH {sample_lines_sql(_STATEMENT_ENDS)}, w AS (SELECT file, line, content, max(CASE WHEN regexp_matches(content, '{rules.LOOP}') THEN line END) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS loop_line FROM l) SELECT file, line, loop_line FROM w WHERE regexp_matches(content, '{rules.CALL}') AND line - loop_line <= 12")
 def loop_calls(spark: SparkSession, d: str) -> DataFrame:
-    (documents,) = driver_tables(spark, d, "documents")
-    return rules.loop_calls(rules.lines_of(documents, "doc_id", "text"))
+    return rules.loop_calls(sample_lines(spark, d, _STATEMENT_ENDS))
 
 
 _SECRET = T.SECRET.replace("'", "''")

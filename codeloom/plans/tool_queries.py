@@ -10,7 +10,7 @@ from codeloom.functions import text as T
 from codeloom.operators import evolve, graph, rules, traverse
 from codeloom.plans.base import GRAPH, query
 from codeloom.plans.graph_queries import _COMMITS, _EXPORTED, REFS, _bfs, commits_of, matches
-from codeloom.plans.search_queries import _LINES, _words
+from codeloom.plans.search_queries import _ENDS, sample_lines, sample_lines_sql, _LINES, _words
 from codeloom.runtime import driver_tables
 
 
@@ -62,10 +62,13 @@ def project_shapes(spark: SparkSession, d: str) -> DataFrame:
 CONFIG_RULES = (("bind-all", "medium", r"\b0\.0\.0\.0\b"), ("plain-http", "low", r"http://[a-z0-9.-]+\.[a-z]{2,}"), ("latest-tag", "low", r":latest\b"), ("privileged", "high", r"(?i)privileged\s*:\s*true"), ("root-user", "medium", r"(?i)^\s*user\s+root\b"))
 
 
-@query(f"WITH {_LINES} " + " UNION ALL ".join(f"SELECT file, line, '{r}' AS rule, '{s}' AS severity FROM l WHERE regexp_matches(content, '{p}')" for r, s, p in CONFIG_RULES))
+#: Numbers and addresses that the samples of files keep in code.
+SAMPLE_RULES = (*CONFIG_RULES, ("fixed-number", "low", r"(?i)\b(const|final int)\s+\w+\s*=\s*[0-9]{3,}"), ("fixed-name", "low", r"^[A-Z_]+\s*=\s*[0-9]+$"))
+
+
+@query(f"WITH {sample_lines_sql(_ENDS)} " + " UNION ALL ".join(f"SELECT file, line, '{r}' AS rule, '{s}' AS severity FROM l WHERE regexp_matches(content, '{p}')" for r, s, p in SAMPLE_RULES))
 def config_scan(spark: SparkSession, d: str) -> DataFrame:
-    (documents,) = driver_tables(spark, d, "documents")
-    return rules.scan_lines(rules.lines_of(documents, "doc_id", "text"), CONFIG_RULES, comments=True)
+    return rules.scan_lines(sample_lines(spark, d), SAMPLE_RULES, comments=True)
 
 
 @query(GRAPH + f""", {_COMMITS}, k AS (SELECT DISTINCT commit_id, file FROM commits), z AS (SELECT commit_id FROM k GROUP BY 1 HAVING count(*) <= 30), t AS (SELECT k.file, count(*) AS n FROM k JOIN z USING (commit_id) GROUP BY 1),
@@ -98,11 +101,11 @@ def _kit(spark: SparkSession, d: str, max_files: int | None) -> DataFrame:
     return f.join(c, "file", "left").join(rules_, "file", "left").na.fill(0, ["n_callers", "n_cochanged"])
 
 
-@query(GRAPH + f", t AS (SELECT DISTINCT e.dst_id AS id, e.src_id AS test_id FROM e JOIN s ON s.id = e.src_id WHERE e.kind = 'calls' AND {matches('s.path', paths.TEST)}) SELECT id, test_id FROM t")
+@query(GRAPH + f", t AS (SELECT DISTINCT e.dst_id AS id, e.src_id AS test_id FROM e JOIN s ON s.id = e.src_id WHERE e.kind = 'calls' AND ({matches('s.path', paths.TEST)} OR regexp_matches(s.name, '^(check|verify)'))) SELECT id, test_id FROM t")
 def nearby_tests(spark: SparkSession, d: str) -> DataFrame:
-    """Direct test callers of every symbol."""
+    """Direct test callers of every symbol: those in test paths, and functions that check something by name."""
     g = graph.load_graph(spark, d)
-    t = g.symbols.where(paths.path_flag("test", F.col("path"))).select(F.col("id").alias("caller"))
+    t = g.symbols.where(paths.path_flag("test", F.col("path")) | F.col("name").rlike("^(check|verify)")).select(F.col("id").alias("caller"))
     return graph.callers(g, ["calls"]).join(t, "caller", "left_semi").select(F.col("callee").alias("id"), F.col("caller").alias("test_id"))
 
 
