@@ -105,9 +105,11 @@ def arch_role(path: Column) -> Column:
     return F.when(p.rlike("controller|handler|routes?/"), "controller").when(p.rlike("view|template|component|render"), "view").when(p.rlike("model|schema|entity"), "model").otherwise("internal")
 
 
+# Fixed value: names that an indexer makes up for routes.
+SYNTHETIC_ROUTE = r"^(route|fastapi|express|flask|fiber|gin|nest|axum|ktor|sinatra)_(get|post|put|patch|delete|head|options|any|use|match)_[0-9]+$"
 # Layer, pattern of the lower-case path, pattern of the lower-case name.
 LAYER_RULES = (
-    ("route", r"/(routes?|routing)/|(routes|router)\.go$|routes\.(php|ts|js)$", r"^(servehttp2?|handle|handlefunc)$|^(route|fastapi|express|flask|fiber|gin|nest|axum|ktor|sinatra)_(get|post|put|patch|delete|head|options|any|use|match)_[0-9]+$"),
+    ("route", r"/(routes?|routing)/|(routes|router)\.go$|routes\.(php|ts|js)$", r"^(servehttp2?|handle|handlefunc)$|" + SYNTHETIC_ROUTE),
     ("controller", r"/controllers?/|controller\.(php|ts|go)$", r"controller$"),
     ("service", r"/(services?|usecases|use_cases|interactors|handlers?)/", r"(service|interactor|usecase|handler)$"),
     ("query", r"/(repositor(ies|y)|quer(ies|y)|models|dao|persistence|stores?)/", r"(repository|repo|query|store|dao|mapper|model)$"),
