@@ -76,37 +76,25 @@ def session_batches(changes: DataFrame, gap: str = "350 milliseconds", delay: st
     return d.select("source", "w.start", "w.end", "paths")
 
 
-def upsert_stream(updates: DataFrame, folder: str, keys: list[str], at: str, checkpoint: str):
-    """Stream of rows into a table of current rows at ``folder``: each micro-batch is merged, last write wins.
-
-    Versions are numbered by batch, so that a batch that is repeated after a failure gives the same table again.
-    """
-    from codeloom.operators.upsert import merge_last
-    from codeloom.runtime import _fs
+def upsert_stream(updates: DataFrame, folder: str, keys: list[str], at: str, checkpoint: str, buckets: int = 32):
+    """Stream of rows into a table of current rows at ``folder``: each micro-batch is merged, last write wins, and only the
+    buckets of its keys are rewritten. A batch that is repeated after a failure finds its number in the table and is left out."""
+    from codeloom.operators.stores import KeyedTable
 
     def merge(batch: DataFrame, n: int):
-        spark = batch.sparkSession
-        old = read_versions(spark, folder, before=n)
-        merged = merge_last(old, batch, keys, at) if old is not None else merge_last(batch.where("false"), batch, keys, at)
-        merged.write.mode("overwrite").parquet(f"{folder}/v{n}")
-        fs, p = _fs(spark, folder)
-        for s in fs.listStatus(p):
-            v = s.getPath().getName()
-            if v.startswith("v") and v[1:].isdigit() and int(v[1:]) < n - 1:  # the one before stays for readers
-                fs.delete(s.getPath(), True)
+        table = KeyedTable(batch.sparkSession, folder, keys, buckets=buckets)
+        if n > table.batch:
+            table.upsert(batch, at, n)
+            table.vacuum()
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def read_versions(spark, folder: str, before: int | None = None) -> DataFrame | None:
-    from codeloom.runtime import _fs
+def read_table(spark, folder: str, keys: list[str]) -> DataFrame | None:
+    """Rows of the newest version of a table of current rows; None where there is none yet."""
+    from codeloom.operators.stores import KeyedTable
 
-    fs, p = _fs(spark, folder)
-    if not fs.exists(p):
-        return None
-    found = [s.getPath().getName() for s in fs.listStatus(p)]
-    numbers = sorted(int(v[1:]) for v in found if v.startswith("v") and v[1:].isdigit() and (before is None or int(v[1:]) < before) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{v}/_SUCCESS")))
-    return spark.read.parquet(f"{folder}/v{numbers[-1]}") if numbers else None
+    return KeyedTable(spark, folder, keys).read()
 
 
 def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:

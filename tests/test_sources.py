@@ -98,7 +98,7 @@ def test_upsert_stream(spark, tmp_path):
         spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(f"{src}")
         q = incremental.upsert_stream(spark.readStream.schema(schema).parquet(src), out, ["id"], "at", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination(60)
-    assert {(r["id"], r["v"]) for r in incremental.read_versions(spark, out).collect()} == {("a", 5), ("b", 1)}
+    assert {(r["id"], r["v"]) for r in incremental.read_table(spark, out, ["id"]).collect()} == {("a", 5), ("b", 1)}
 
 
 def test_changed_files(spark, rows):
