@@ -38,6 +38,8 @@ LANGUAGES = {
     "cxx": "cpp", "hpp": "cpp", "swift": "swift", "dart": "dart", "lua": "lua", "ex": "elixir", "exs": "elixir", "erl": "erlang", "hs": "haskell", "ml": "ocaml", "clj": "clojure",
     "sol": "solidity", "zig": "zig", "r": "r", "pl": "perl", "sh": "bash", "ps1": "powershell", "sql": "sql", "vue": "vue", "svelte": "svelte", "astro": "astro", "html": "html",
     "css": "css", "scss": "css", "md": "markdown", "mdx": "mdx", "proto": "protobuf", "graphql": "graphql", "tf": "hcl", "yaml": "yaml", "yml": "yaml", "json": "json",
+    "fs": "fsharp", "fsx": "fsharp", "gd": "gdscript", "prisma": "prisma", "glsl": "shader", "vert": "shader", "frag": "shader", "hlsl": "shader", "wgsl": "shader", "less": "css", "sass": "css",
+    "cljs": "clojure", "cljc": "clojure", "mli": "ocaml", "pm": "perl", "hrl": "erlang", "gql": "graphql", "bash": "bash", "psm1": "powershell", "htm": "html",
 }
 
 

@@ -11,31 +11,14 @@ import re
 
 from pyspark.sql import DataFrame
 
+from codeloom.sources.grammars import ALIASES, DASH_COMMENTS, DEFINITIONS, FRAMEWORKS, HASH_COMMENTS, HEADS, INDENTED
+
 OUT = "repo_id string, path string, row string, id string, kind string, name string, line_start int, line_end int, signature string, parent_id string, src_id string, dst_id string, confidence double"
 
-# Per language the patterns of definitions (kind, pattern with the name as group) and of imports.
-DEFINITIONS = {
-    "go": (("function", r"^func\s+([A-Za-z_]\w*)\s*\("), ("method", r"^func\s+\([^)]*\)\s*([A-Za-z_]\w*)\s*\("), ("class", r"^type\s+([A-Za-z_]\w*)\s+struct\b"), ("interface", r"^type\s+([A-Za-z_]\w*)\s+interface\b")),
-    "javascript": (("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)"), ("class", r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"), ("function", r"^\s*(?:export\s+)?const\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>"), ("interface", r"^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)"), ("type_alias", r"^\s*(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\s*=")),
-    "java": (("class", r"^\s*(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|data|open)\s+)*(?:class|record|struct|object)\s+([A-Za-z_]\w*)"), ("interface", r"^\s*(?:public\s+)?interface\s+([A-Za-z_]\w*)"), ("enum", r"^\s*(?:public\s+)?enum\s+([A-Za-z_]\w*)"), ("method", r"^\s*(?:(?:public|private|protected|internal|static|final|async|override|virtual)\s+)+[\w<>\[\],.? ]+\s+([A-Za-z_]\w*)\s*\([^;]*$"), ("function", r"^\s*(?:suspend\s+)?fun\s+([A-Za-z_]\w*)")),
-    "rust": (("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_]\w*)"), ("class", r"^\s*(?:pub\s+)?struct\s+([A-Za-z_]\w*)"), ("interface", r"^\s*(?:pub\s+)?trait\s+([A-Za-z_]\w*)"), ("enum", r"^\s*(?:pub\s+)?enum\s+([A-Za-z_]\w*)")),
-    "ruby": (("method", r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!]?)"), ("class", r"^\s*class\s+([A-Z]\w*)"), ("module", r"^\s*module\s+([A-Z]\w*)")),
-    "php": (("function", r"^\s*(?:(?:public|private|protected|static)\s+)*function\s+([A-Za-z_]\w*)"), ("class", r"^\s*(?:abstract\s+|final\s+)?class\s+([A-Za-z_]\w*)"), ("interface", r"^\s*interface\s+([A-Za-z_]\w*)")),
-    "c": (("function", r"^[A-Za-z_][\w\s*&:<>,~]*?\b([A-Za-z_]\w*)\s*\([^;]*\)\s*(?:const\s*)?\{?\s*$"), ("class", r"^\s*(?:class|struct)\s+([A-Za-z_]\w*)\s*(?::[^{]*)?\{")),
-    "python": (("function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)"), ("class", r"^\s*class\s+([A-Za-z_]\w*)")),
-    "sql": (("class", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?[\"`]?([\w.]+)"), ("function", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+([\w.]+)")),
-    "lua": (("function", r"^\s*(?:local\s+)?function\s+([\w.:]+)"),),
-    "bash": (("function", r"^\s*(?:function\s+)?([A-Za-z_]\w*)\s*\(\)\s*\{"),),
-    "protobuf": (("class", r"^\s*message\s+(\w+)"), ("interface", r"^\s*service\s+(\w+)"), ("method", r"^\s*rpc\s+(\w+)")),
-    "hcl": (("class", r"^\s*(?:resource|data)\s+\"[^\"]+\"\s+\"([^\"]+)\""), ("module", r"^\s*module\s+\"([^\"]+)\"")),
-    "elixir": (("module", r"^\s*defmodule\s+([\w.]+)"), ("function", r"^\s*defp?\s+([a-z_]\w*[?!]?)")),
-    "haskell": (("function", r"^([a-z]\w*)\s*::"), ("class", r"^(?:data|newtype)\s+([A-Z]\w*)"), ("interface", r"^class\s+(?:\([^)]*\)\s*=>\s*)?([A-Z]\w*)")),
-    "css": (("class", r"^\s*\.([A-Za-z_][\w-]*)\s*[,{]"),),
-    "markdown": (("module", r"^#{1,3}\s+(.+?)\s*#*$"),),
-}
-ALIASES = {"typescript": "javascript", "vue": "javascript", "svelte": "javascript", "kotlin": "java", "csharp": "java", "scala": "java", "dart": "java", "swift": "java", "cpp": "c", "solidity": "java", "zig": "rust"}
-IMPORTS = re.compile(r"^\s*(?:import\s+(?:[\w*{}\s,]+\s+from\s+)?[\"']([^\"']+)[\"']|import\s+([\w.]+)|from\s+([\w.]+)\s+import|use\s+([\w:\\]+)|using\s+([\w.]+)\s*;|#include\s+[<\"]([^>\"]+)[>\"]|require(?:_relative)?\s*\(?\s*[\"']([^\"']+)[\"']|.*\brequire\([\"']([^\"']+)[\"']\))")
-CALL = re.compile(r"\b([A-Za-z_$][\w$]*)\s*\(")
+IMPORTS = re.compile(r"^\s*(?:(?:export|import)\s+(?:type\s+)?(?:[\w*{}$\s,]+\s+from\s+)?[\"']([^\"']+)[\"']|import\s+([\w.]+)|from\s+([\w.]+)\s+import|use\s+([\w:\\]+)|using\s+([\w.]+)\s*;|#include\s+[<\"]([^>\"]+)[>\"]|require(?:_relative)?\s*\(?\s*[\"']([^\"']+)[\"']|.*\brequire\([\"']([^\"']+)[\"']\))")
+CALL = re.compile(r"(?:\b([A-Z][\w$]*)(?:\.|::|->))?\b([A-Za-z_$][\w$]*[!?]?)\s*\(")
+WORD = re.compile(r"[A-Za-z_$][\w$]*")
+STRING = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`")
 # Words before a parenthesis that are no calls.
 WORDS = set("if for while switch return catch function func def class fn sizeof typeof new await yield super elif match with assert not and or in is lambda print using foreach when unless".split())
 
@@ -64,31 +47,111 @@ def _edge(repo, kind, src, dst, confidence):
     return ("edge", f"e:{repo}:{src}:{kind}:{dst}", kind, None, None, None, None, None, src, dst, confidence)
 
 
+def bare_lines(text: str, language: str) -> list[str]:
+    """Lines with texts and comments blanked, so that words in them are neither calls nor braces."""
+    kind = ALIASES.get(language, language)
+    mark = "#" if kind in HASH_COMMENTS else "--" if kind in DASH_COMMENTS else "%" if kind == "erlang" else ";" if kind == "clojure" else "//"
+    out, inside = [], False
+    for line in text.splitlines():
+        if inside:
+            line, inside = (line.split("*/", 1)[1], False) if "*/" in line else ("", True)
+        line = STRING.sub('""', line).split(mark, 1)[0]
+        if mark == "//" and "/*" in line:
+            head, rest = line.split("/*", 1)
+            inside = "*/" not in rest
+            line = head + ("" if inside else rest.split("*/", 1)[1])
+        out.append(line)
+    return out
+
+
+def block_end(bare: list[str], at: int, indented: bool) -> int:
+    """Number of the last line of what starts at line ``at`` (both from 1)."""
+    if not indented:
+        depth, opened, open_parens = 0, False, 0
+        for n in range(at - 1, len(bare)):
+            open_parens += bare[n].count("(") - bare[n].count(")")
+            for c in bare[n]:
+                if c == "{":
+                    depth, opened = depth + 1, True
+                elif c == "}":
+                    depth -= 1
+            if opened and depth <= 0:
+                return n + 1
+            follows = n + 1 < len(bare) and bare[n + 1].lstrip().startswith("{")
+            if not opened and open_parens <= 0 and not follows and not bare[n].rstrip().endswith((",", "=", ":", ">", "|")):
+                return at
+        return len(bare) if opened else at
+    indent = len(bare[at - 1]) - len(bare[at - 1].lstrip())
+    last = at
+    for n in range(at, len(bare)):
+        if bare[n].strip():
+            own = len(bare[n]) - len(bare[n].lstrip())
+            if own < indent or own == indent and not re.match(r"\s*(end|\)|\]|\})", bare[n]):
+                break
+            last = n + 1
+            if own == indent:
+                break
+    return last
+
+
 def by_patterns(repo: str, path: str, text: str, language: str) -> list[tuple]:
-    rules = [(k, re.compile(p)) for k, p in DEFINITIONS.get(ALIASES.get(language, language), ())]
-    lines = text.splitlines()
-    rows, file_id, owner = [], f"file:{repo}:{path}", None
-    starts: list[tuple[int, str, str]] = []
+    """Rows by line patterns: definitions with their blocks and owners, imports, supertypes, calls (with the type that
+    they are called on, where it is one) and reads of the file's own variables."""
+    kind_of = ALIASES.get(language, language)
+    rules = [(k, re.compile(p)) for k, p in DEFINITIONS.get(kind_of, ())]
+    lines, bare = text.splitlines(), bare_lines(text, language)
+    rows, file_id = [], f"file:{repo}:{path}"
+    found = []
     for n, line in enumerate(lines, 1):
         for kind, rx in rules:
-            if m := rx.match(line):
-                starts.append((n, kind, m.group(1)))
+            if (m := rx.match(line)) and m.group(1) not in WORDS:
+                found.append((n, block_end(bare, n, kind_of in INDENTED), kind, m.group(1)))
                 break
         if m := IMPORTS.match(line):
             rows.append(_edge(repo, "imports", file_id, f"mod:{repo}:{next(g for g in m.groups() if g)}", 1.0))
-    for i, (n, kind, name) in enumerate(starts):
-        end = starts[i + 1][0] - 1 if i + 1 < len(starts) else len(lines)
-        if kind in ("class", "interface", "module", "enum"):
-            owner = name
-        indent = len(lines[n - 1]) - len(lines[n - 1].lstrip())
-        parent = owner if kind == "method" or (kind == "function" and indent and owner) else None
+    types = [x for x in found if x[2] in ("class", "interface", "module", "enum", "namespace")]
+    variables = {name: sym_id(repo, path, n, name) for n, _, kind, name in found if kind == "variable"}
+    for n, end, kind, name in found:
+        around = [t for t in types if t[0] < n <= t[1] and t[2] != "namespace" and kind_of != "yaml"]
+        parent = around[-1][3] if around else None
+        if kind == "method" and kind_of == "go":
+            parent = (re.match(r"func\s+\(\s*\w*\s*\*?\s*([A-Za-z_]\w*)", lines[n - 1]) or [None, None])[1]
         own = sym_id(repo, path, n, name)
         rows.append(_symbol(repo, path, "method" if kind == "function" and parent else kind, name, n, end, lines[n - 1].strip(), parent))
         rows.append(_edge(repo, "contains", file_id, own, 1.0))
+        if kind in ("class", "interface", "enum"):
+            for edge, p in HEADS:
+                if m := re.search(p, bare[n - 1]):
+                    bases = {re.split(r"[.\\:]", b.split("<")[0].strip())[-1] for b in re.split(r"[,+]", m.group(1))} - {"", name}
+                    rows += [_edge(repo, edge, own, f"symref:{repo}:{path}:{b}", 0.5) for b in sorted(bases)]
         if kind in ("function", "method"):
-            called = {m.group(1) for x in lines[n:end] for m in CALL.finditer(x)} - WORDS
+            body = bare[n:end] + ([bare[n - 1].split("{", 1)[1]] if "{" in bare[n - 1] else [])
+            called = {(f"{m.group(1)}.{m.group(2)}" if m.group(1) else m.group(2)) for x in body for m in CALL.finditer(x) if m.group(2) not in WORDS}
             rows += [_edge(repo, "calls", own, f"symref:{repo}:{path}:{c}", 0.5) for c in sorted(called)]
-    return rows
+            read = {w for x in body for w in WORD.findall(x)} & variables.keys()
+            rows += [_edge(repo, "reads", own, variables[v], 1.0) for v in sorted(read)]
+    return list(dict.fromkeys(rows))
+
+
+def framework_marks(repo: str, path: str, text: str, language: str) -> list[tuple[str, str, int, str]]:
+    """(framework, role, line, what) of the marks that frameworks' rules find in a text."""
+    kind = ALIASES.get(language, language)
+    rules = [(f, role, re.compile(p)) for f, of, role, p in FRAMEWORKS if of == kind or (of == "php" and language == "blade")]
+    return [(f, role, n, next((g for g in m.groups() if g), "")) for n, line in enumerate(text.splitlines(), 1) for f, role, rx in rules if (m := rx.search(line))]
+
+
+def script_parts(path: str, text: str, language: str) -> list[tuple[str, str]]:
+    """Scripts and styles of a component file as (language, text) with the lines around them blank, so that numbers stay."""
+    if language not in ("vue", "svelte", "astro", "html"):
+        return [(language, text)]
+    out = []
+    blank = lambda a, b: re.sub(r"[^\n]", "", text[:a]) + text[a:b]
+    if language == "astro" and (m := re.match(r"\s*---\n(.*?)\n---", text, re.S)):
+        out.append(("typescript", blank(m.start(1), m.end(1))))
+    for m in re.finditer(r"<(script|style)\b([^>]*)>(.*?)</\1>", text, re.S | re.I):
+        kind = "css" if m[1].lower() == "style" else "typescript" if re.search(r"lang=[\"']ts", m[2]) else "javascript"
+        out.append((kind, blank(m.start(3), m.end(3))))
+    return out + ([("html", text)] if language == "html" else [])
 
 
 @register("python")
@@ -139,16 +202,39 @@ def extract(files: DataFrame) -> DataFrame:
             for repo, path, language, text in zip(*[b.column(i).to_pylist() for i in range(4)]):
                 if not text:
                     continue
-                try:
-                    found = plugged[language](repo, path, text) if language in plugged else by_patterns(repo, path, text, language)
-                except (SyntaxError, ValueError, RecursionError):
-                    found = by_patterns(repo, path, text, language)
-                rows += [(repo, path, *r) for r in found]
+                for kind, part in script_parts(path, text, language):
+                    try:
+                        found = plugged[kind](repo, path, part) if kind in plugged else by_patterns(repo, path, part, kind)
+                    except (SyntaxError, ValueError, RecursionError):
+                        found = by_patterns(repo, path, part, kind)
+                    rows += [(repo, path, *r) for r in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return files.select("repo_id", "path", "language", "content").mapInArrow(run, OUT)
 
 
+def frameworks(files: DataFrame) -> DataFrame:
+    """files(repo_id, path, language, content) -> (repo_id, path, framework, role, line, what) of frameworks' marks."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [(repo, path, *m) for repo, path, language, text in zip(*[b.column(i).to_pylist() for i in range(4)]) if text for m in framework_marks(repo, path, text, language)]
+            kinds = [pa.string()] * 4 + [pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["repo_id", "path", "framework", "role", "line", "what"])
+
+    return files.select("repo_id", "path", "language", "content").mapInArrow(run, "repo_id string, path string, framework string, role string, line int, what string")
+
+
+def framework_packs(marks: DataFrame, least: int = 1) -> DataFrame:
+    """(repo_id, framework, n_marks, n_files) of the frameworks that a repository shows signs of."""
+    from pyspark.sql import functions as F
+
+    n = marks.groupBy("repo_id", "framework", "path").agg(F.count("*").alias("n"))
+    return n.groupBy("repo_id", "framework").agg(F.sum("n").alias("n_marks"), F.count("*").alias("n_files")).where(F.col("n_marks") >= least)
+
+
 def as_graph(files: DataFrame, rows: DataFrame):
     """The extracted rows as a graph with the columns of the graph tables."""
     from pyspark.sql import functions as F
