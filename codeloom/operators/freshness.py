@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators.graph import Graph, load_graph
+from codeloom.runtime import file_token
 
 #: Share of changed files from which everything is indexed again.
 FULL_SHARE = 0.5
@@ -93,18 +94,6 @@ class QueryCache:
 _GRAPHS: dict[tuple, tuple] = {}
 
 
-def file_token(spark: SparkSession, folder: str) -> tuple:
-    """Names, lengths and times of the files below a folder: another token when any of them changed."""
-    from codeloom.runtime import _fs
-
-    fs, p = _fs(spark, folder)
-    out, found = [], fs.listFiles(p, True)
-    while found.hasNext():
-        f = found.next()
-        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return tuple(sorted(out))
-
-
 def cached_graph(spark: SparkSession, folder: str) -> Graph:
     """The graph of a folder, kept by the session until a file of the folder changes."""
     key, token = (spark.sparkContext.applicationId, folder), file_token(spark, folder)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import paths
 from codeloom.operators.current import latest_same
-from codeloom.runtime import driver_tables
+from codeloom.runtime import WorkArea, driver_tables, file_token
 
 REFERENCES = ["calls", "reads", "inherits", "implements"]
 DEPENDENCIES = [*REFERENCES, "imports"]
@@ -26,8 +26,29 @@ class Graph:
     edges: DataFrame
 
 
+_LAID_OUT: dict[tuple[str, str], tuple] = {}
+TABLES = ("files", "symbols", "sdk_symbols", "edges")
+
+
 def load_graph(spark: SparkSession, folder: str) -> Graph:
-    """Current rows of the graph tables; deleted symbols are left out, shared SDK symbols are in."""
+    """Current rows of the graph tables; deleted symbols are left out, shared SDK symbols are in.
+
+    They are found once a session and written to the shared folder: later queries read the few columns they want from
+    there instead of aggregating all history again. A change of the source files makes them be found anew.
+    """
+    key, token = (spark.sparkContext.applicationId, folder), file_token(spark, *[f"{folder}/{t}.parquet" for t in TABLES])
+    if key in _LAID_OUT and _LAID_OUT[key][0] == token:
+        return _LAID_OUT[key][1]
+    if key in _LAID_OUT:
+        _LAID_OUT.pop(key)[2].close()
+    g, area = current_graph(spark, folder), WorkArea(spark, "graph", kept=True)
+    laid = Graph(area.put(g.files, "files"), area.put(g.symbols, "symbols"), area.put(g.edges, "edges"))
+    _LAID_OUT[key] = (token, laid, area)
+    return laid
+
+
+def current_graph(spark: SparkSession, folder: str) -> Graph:
+    """Current rows of the graph tables as a plan over all their rows."""
     files, symbols, sdk, edges = driver_tables(spark, folder, "files", "symbols", "sdk_symbols", "edges")
     live = latest_same(symbols, ["id"], "indexed_at").unionByName(latest_same(sdk, ["id"], "indexed_at")).where("removed_at IS NULL")
     return Graph(latest_same(files, ["id"], "indexed_at"), live.drop("indexed_at", "removed_at"), latest_same(edges, ["id"], "indexed_at").drop("indexed_at"))

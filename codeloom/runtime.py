@@ -82,6 +82,18 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def file_token(spark: SparkSession, *paths: str) -> tuple:
+    """Names, lengths and times of the files at or below some paths: another token when any of them changed."""
+    out = []
+    for path in paths:
+        fs, p = _fs(spark, path)
+        found = fs.listFiles(p, True)
+        while found.hasNext():
+            f = found.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 class WorkArea:
     """Named intermediate tables under the shared folder.
 
@@ -90,9 +102,12 @@ class WorkArea:
     when the interpreter ends.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, kept: bool = False):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        if kept:  # stays until the interpreter ends, whatever free_all removes
+            atexit.register(self.close)
+            return
         if not _OPEN:
             atexit.register(free_all)
         _OPEN.append(self)
