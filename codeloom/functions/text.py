@@ -115,3 +115,9 @@ def hamming_similarity(a: Column, b: Column) -> Column:
 
 def round3(c: Column) -> Column:
     return F.round(c, 3)
+
+
+def json_path(body: Column, path: str) -> Column:
+    """The value at a dotted path (numbers are places in lists) of a JSON text; null where it is missing or no JSON."""
+    steps = "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.split(".") if p)
+    return F.get_json_object(body, "$" + steps)

@@ -66,3 +66,12 @@ def _list(v, indent, scalar, flat):
     if all(isinstance(x, dict) and x and list(x) == list(v[0]) and all(flat(y) for y in x.values()) for x in v):
         return "\n".join([f"[{len(v)}]{{{','.join(v[0])}}}:", *[pad + ",".join(scalar(y) for y in x.values()) for x in v]])
     return "\n".join([f"[{len(v)}]:", *[pad + "- " + compact(x, indent + 2).lstrip() for x in v]])
+
+
+def resolved_sources(wanted: DataFrame, sources: DataFrame, derived: str) -> DataFrame:
+    """wanted(name), sources(name, priority, url) -> (name, url, origin): of each name the source of the least priority
+    number, then the least url; names without any get ``derived`` with the name in place of ``{}``."""
+    best = sources.where("url IS NOT NULL").groupBy("name").agg(F.min(F.struct("priority", "url")).alias("b"))
+    d = wanted.select("name").distinct().join(best, "name", "left")
+    made = F.replace(F.lit(derived), F.lit("{}"), F.col("name"))
+    return d.select("name", F.coalesce("b.url", made).alias("url"), F.when(F.col("b").isNull(), "derived").otherwise("listed").alias("origin"))

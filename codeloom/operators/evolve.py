@@ -48,3 +48,10 @@ def cochange(commits: DataFrame, max_files: int | None = 30, min_support: int =
     pairs = c.join(c.withColumnRenamed("file", "other"), "commit_id").where("file <> other").groupBy("file", "other").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
     r = pairs.join(total, "file").withColumn("confidence", F.round(F.col("support") / F.col("n_file"), 6))
     return r.where(F.col("confidence") >= min_confidence).select("file", "other", "support", "confidence")
+
+
+def cochanged_with(rules: DataFrame, files: DataFrame, limit: int = 10) -> DataFrame:
+    """rules as of ``cochange``, files(file) -> the strongest rules of each of these files, with their place."""
+    d = rules.join(files.select("file").distinct(), "file", "left_semi")
+    w = Window.partitionBy("file").orderBy(F.desc("confidence"), F.desc("support"), "other")
+    return d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)

@@ -74,3 +74,16 @@ def cluster_summary(members: DataFrame) -> DataFrame:
     """clusters' (name, node) -> (name, n_members, cohesion)."""
     n = members.groupBy("name").agg(F.count("*").alias("n_members"))
     return n.select("name", "n_members", paths.layer_cohesion(F.when(F.col("name").startswith("layer:"), F.expr("substring(name, 7)")).otherwise(F.lit("other")), F.col("n_members")).alias("cohesion"))
+
+
+def persist(g: Graph, flows_table, clusters_table, rules=paths.LAYER_RULES) -> None:
+    """Build the flows and clusters of the graph's repositories and let them replace what two tables (``KeyedTable``, by
+    repo_id) hold of these."""
+    found = work_area(g.symbols.sparkSession, "persist").put(request_flows(g, rules), "flows")
+    of = g.symbols.select(F.col("id").alias("entry"), "repo_id")
+    groups = g.symbols.select("repo_id").distinct()
+    flows_table.replace(found.join(of, "entry").select("repo_id", "id", "name", "entry", "steps"), groups)
+    members = clusters(g, found).join(g.symbols.select(F.col("id").alias("node"), "repo_id"), "node")
+    n = members.groupBy("repo_id", "name").agg(F.count("*").alias("n_members"))
+    layer = F.when(F.col("name").startswith("layer:"), F.expr("substring(name, 7)")).otherwise(F.lit("other"))
+    clusters_table.replace(n.withColumn("cohesion", paths.layer_cohesion(layer, F.col("n_members"))), groups)

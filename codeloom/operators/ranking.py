@@ -137,3 +137,29 @@ def parse_kinds(text: str) -> list[str]:
     if bad := [k for k in out if k not in KINDS]:
         raise ValueError(f"unknown kinds: {', '.join(bad)}")
     return out
+
+
+def embedded(docs: DataFrame, embed, batch: int = 256) -> DataFrame:
+    """docs(id, body) -> (id, v): vectors made by ``embed(list of texts) -> list of vectors``, a service or a model that the
+    tasks can reach, for ``batch`` texts at a time; null texts have null vectors."""
+
+    def run(batches):
+        for b in batches:
+            texts = b["body"].tolist()
+            have = [i for i, t in enumerate(texts) if isinstance(t, str)]
+            out = [None] * len(texts)
+            for a in range(0, len(have), batch):
+                part = have[a : a + batch]
+                for i, v in zip(part, embed([texts[i] for i in part])):
+                    out[i] = [float(x) for x in v]
+            b = b[["id"]].copy()
+            b["v"] = out
+            yield b
+
+    return docs.select("id", "body").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, v array<double>")
+
+
+def first_distinct(d: DataFrame, key: str, place: str, limit: int | None = None) -> DataFrame:
+    """Rows with the first place of each key, in that order; empty and null keys are dropped."""
+    first = d.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(F.min(place).alias(place))
+    return first if limit is None else first.orderBy(place, key).limit(limit)

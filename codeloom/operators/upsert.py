@@ -48,3 +48,11 @@ def write_graph(g: Graph, folder: str) -> None:
 def read_graph(spark, folder: str, by: str = "src") -> Graph:
     r = lambda n: spark.read.parquet(f"{folder}/{n}")
     return Graph(r("files"), r("symbols"), r(f"edges_by_{by}"))
+
+
+def write_merged(g: Graph, path: str) -> None:
+    """The counts over all repositories and of each one as JSON lines."""
+    from codeloom.operators.graph import graph_counts, merge_snapshots
+
+    whole = merge_snapshots(g).select(F.lit(None).cast("string").alias("repo_id"), "n_files", "n_symbols", "n_edges")
+    whole.unionByName(graph_counts(g)).write.mode("overwrite").json(path)

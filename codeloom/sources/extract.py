@@ -245,3 +245,13 @@ def as_graph(files: DataFrame, rows: DataFrame):
     s = rows.where("row = 'symbol'").join(files.select("repo_id", "path", "language"), ["repo_id", "path"]).select("repo_id", "id", "name", "kind", "path", "line_start", "line_end", "language", "signature", "parent_id")
     e = rows.where("row = 'edge'").groupBy("id").agg(F.first("repo_id").alias("repo_id"), F.first("kind").alias("kind"), F.first("src_id").alias("src_id"), F.first("dst_id").alias("dst_id"), F.max("confidence").alias("confidence"))
     return Graph(f, s, e)
+
+
+def structural(rows: DataFrame, kinds: list[str], name: str = "", parent: str = "") -> DataFrame:
+    """Extracted symbols of some kinds whose name and owner match patterns (an empty one matches all)."""
+    from pyspark.sql import functions as F
+
+    d = rows.where(F.col("row") == "symbol").where(F.col("kind").isin(kinds))
+    if name:
+        d = d.where(F.col("name").rlike(name))
+    return d.where(F.coalesce("parent_id", F.lit("")).rlike(parent)) if parent else d
