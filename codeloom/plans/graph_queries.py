@@ -385,22 +385,50 @@ def flow_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 # resolution and upserts ------------------------------------------------------------------------------------------------
 
-_RES = f""", p AS (SELECT id AS edge_id, kind AS edge_kind, src_id, split_part(dst_id, ':', 2) AS ref_repo, regexp_extract(dst_id, '^symref:[^:]*:(.*):[^:]*$', 1) AS ref_path, regexp_extract(dst_id, '[^:]*$') AS name FROM e WHERE dst_id LIKE 'symref:%'),
-x AS (SELECT p.*, s.id AS cand, s.path AS cp, s.kind AS ck, count(*) OVER (PARTITION BY edge_id) AS n_all FROM p JOIN s ON s.repo_id = p.ref_repo AND s.name = p.name),
+_ROOT = "regexp_extract({}, '^((?:packages|apps|services|sample|samples|libs|modules)/[^/]+)/', 1)"
+_STEPS = range(len(resolve.STRATEGIES))
+
+
+def resolved_sql(edges: str) -> str:
+    """CTEs up to ``res``: the cascade over every pair of a reference and a candidate of its name."""
+    tests = {
+        0: "true", 1: "owner = recv_owner", 2: "edge_kind IN ('inherits','implements') AND ck IN ('class','interface','struct')", 3: "cp = ref_path",
+        4: f"EXISTS (SELECT 1 FROM m WHERE m.r = ref_repo AND m.pth = ref_path AND m.module IN (regexp_replace(cp, '\\.[^./]*$', ''), {dirname_sql('cp')}))",
+        5: f"{dirname_sql('cp')} = {dirname_sql('ref_path')}", 6: f"{_ROOT.format('ref_path')} <> '' AND {_ROOT.format('ref_path')} = {_ROOT.format('cp')}",
+        7: f"NOT {matches('cp', paths.FIXTURE)}", 8: f"NOT {matches('cp', paths.VENDOR)}", 9: "regexp_matches(lower(cp), '\\.(c|cc|cpp|cxx)$')",
+    }
+    typed = "regexp_matches(full_name, '^[A-Z][^.]*(\\..*)?\\.[^.]+$')"
+    return f""", p0 AS (SELECT id AS edge_id, kind AS edge_kind, src_id, split_part(dst_id, ':', 2) AS ref_repo, regexp_extract(dst_id, '^symref:[^:]*:(.*):[^:]*$', 1) AS ref_path, regexp_extract(dst_id, '[^:]*$') AS full_name FROM {edges} WHERE dst_id LIKE 'symref:%'),
+p AS (SELECT * EXCLUDE (full_name), CASE WHEN {typed} THEN regexp_extract(full_name, '[^.]*$') ELSE full_name END AS name, CASE WHEN {typed} THEN regexp_extract(regexp_replace(full_name, '\\.[^.]+$', ''), '[^.]*$') END AS recv_owner FROM p0),
+x AS (SELECT p.*, s.id AS cand, s.path AS cp, s.kind AS ck, CASE WHEN starts_with(parent_id, 'sym:') THEN regexp_extract(parent_id, '[^:]*$') ELSE parent_id END AS owner, count(*) OVER (PARTITION BY edge_id) AS n_all FROM p JOIN s ON s.repo_id = p.ref_repo AND s.name = p.name),
 sole AS (SELECT edge_id, src_id, cand AS dst_id, 'unique' AS strategy FROM x WHERE n_all = 1 AND cand <> src_id),
 m AS (SELECT split_part(src_id, ':', 2) AS r, split_part(src_id, ':', 3) AS pth, regexp_extract(dst_id, '^mod:[^:]*:(.*)$', 1) AS module FROM e WHERE kind = 'imports' AND dst_id LIKE 'mod:%'),
-y AS (SELECT *, true AS f0, edge_kind IN ('inherits','implements') AND ck IN ('class','interface','struct') AS f2, cp = ref_path AS f3,
-  EXISTS (SELECT 1 FROM m WHERE m.r = ref_repo AND m.pth = ref_path AND m.module IN (regexp_replace(cp, '\\.[^./]*$', ''), {dirname_sql('cp')})) AS f4,
-  {dirname_sql('cp')} = {dirname_sql('ref_path')} AS f5,
-  regexp_extract(ref_path, '^((?:packages|apps|services|sample|samples|libs|modules)/[^/]+)/', 1) <> '' AND regexp_extract(ref_path, '^((?:packages|apps|services|sample|samples|libs|modules)/[^/]+)/', 1) = regexp_extract(cp, '^((?:packages|apps|services|sample|samples|libs|modules)/[^/]+)/', 1) AS f6,
-  NOT {matches('cp', paths.FIXTURE)} AS f7, NOT {matches('cp', paths.VENDOR)} AS f8, regexp_matches(lower(cp), '\\.(c|cc|cpp|cxx)$') AS f9 FROM x WHERE n_all > 1 AND cand <> src_id),
-z AS (SELECT *, """ + ", ".join(f"count(*) FILTER (f{i}) OVER (PARTITION BY edge_id) AS n{i}" for i in (0, 2, 3, 4, 5, 6, 7, 8, 9)) + """ FROM y),
-v AS (SELECT *, CASE """ + " ".join(f"WHEN n{i} = 1 THEN {i}" for i in (0, 2, 3, 4, 5, 6, 7, 8, 9)) + """ END AS pick FROM z),
-won AS (SELECT edge_id, src_id, cand AS dst_id, ['unique','recv_type','type_kind','same_file','import','same_dir','same_subtree','non_fixture','non_vendor','impl_over_decl'][pick + 1] AS strategy FROM v
-  WHERE """ + " OR ".join(f"(pick = {i} AND f{i})" for i in (0, 2, 3, 4, 5, 6, 7, 8, 9)) + """),
+y AS (SELECT *, {", ".join(f"coalesce({t}, false) AS f{i}" for i, t in tests.items())} FROM x WHERE n_all > 1 AND cand <> src_id),
+z AS (SELECT *, {", ".join(f"count(*) FILTER (f{i}) OVER (PARTITION BY edge_id) AS n{i}" for i in _STEPS)} FROM y),
+v AS (SELECT *, CASE {" ".join(f"WHEN n{i} = 1 THEN {i}" for i in _STEPS)} END AS pick FROM z),
+won AS (SELECT edge_id, src_id, cand AS dst_id, {resolve.STRATEGIES}[pick + 1] AS strategy FROM v WHERE {" OR ".join(f"(pick = {i} AND f{i})" for i in _STEPS)}),
 res AS (SELECT * FROM sole UNION ALL SELECT * FROM won) """
 
 
+_RES = resolved_sql("e")
+_STAMP = "CASE strategy " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in resolve.CONFIDENCE.items()) + " END::DOUBLE"
+
+
+@query(GRAPH + f""", o AS (SELECT id, name, CASE WHEN starts_with(parent_id, 'sym:') THEN regexp_extract(parent_id, '[^:]*$') ELSE parent_id END AS own FROM s WHERE kind = 'method' AND parent_id <> ''),
+e2 AS (SELECT e.id, e.kind, src_id, 'symref:' || split_part(src_id, ':', 2) || ':' || split_part(src_id, ':', 3) || ':' || own || '.' || name AS dst_id FROM e JOIN o ON o.id = e.dst_id WHERE e.kind = 'calls' AND src_id LIKE 'sym:%')
+""" + resolved_sql("e2") + f"SELECT edge_id, dst_id, strategy, {_STAMP} AS confidence FROM res")
+def resolve_receivers(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of methods, turned back into ``Type.method`` references and resolved again."""
+    g = graph.load_graph(spark, d)
+    own = F.when(F.col("parent_id").startswith("sym:"), F.substring_index("parent_id", ":", -1)).otherwise(F.col("parent_id"))
+    m = g.symbols.where("kind = 'method' AND parent_id <> ''").select(F.col("id").alias("dst_id"), F.concat_ws(".", own, "name").alias("ref"))
+    e = g.edges.where("kind = 'calls' AND src_id LIKE 'sym:%'").select("repo_id", "id", "kind", "src_id", "dst_id", "confidence").join(m, "dst_id")
+    place = F.split("src_id", ":")
+    back = e.withColumn("dst_id", F.concat_ws(":", F.lit("symref"), place[1], place[2], "ref")).select("repo_id", "id", "kind", "src_id", "dst_id", "confidence")
+    imports = g.edges.where("kind = 'imports'").select(*back.columns)
+    return resolve.resolve(graph.Graph(g.files, g.symbols, back.unionByName(imports))).select("edge_id", "dst_id", "strategy", "confidence")
+
+
 @query(GRAPH + _RES + "SELECT edge_id, src_id, dst_id, strategy, CASE strategy " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in resolve.CONFIDENCE.items()) + " END::DOUBLE AS confidence FROM res")
 def resolve_refs(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve(graph.load_graph(spark, d))
