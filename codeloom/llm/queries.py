@@ -44,6 +44,29 @@ def p7_windows(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(docs, "doc_id", "text")
 
 
+def p7_properties(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing: texts, tokens lost or doubled, windows above the capacity, texts cut without need."""
+    (docs,) = driver_tables(spark, d, "documents")
+    w = work_area(spark, "windows").put(packing.pack(docs, "doc_id", "text"), "windows")
+    n = packing.token_counts(docs, "doc_id", "text").agg(F.count("*").alias("n_texts"), F.sum("n_tokens").alias("n_in"))
+    out = w.agg(F.sum("n_tokens").alias("n_out"), F.count_if((F.col("piece") > 0) & (F.col("token_start") != F.col("piece") * packing.CAPACITY)).alias("n_gaps"))
+    over = w.where("window_id IS NOT NULL").groupBy("window_id").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > packing.CAPACITY).alias("n_over"))
+    cut = w.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("piece").alias("last")).agg(F.count_if((F.col("n") <= packing.CAPACITY) & (F.col("last") > 0)).alias("n_cut"))
+    one = lambda frame, c: frame.select(c).scalar()
+    r = n.select("n_texts", (F.col("n_in") - one(out, "n_out")).alias("n_lost"), one(over, "n_over").alias("n_over"), one(cut, "n_cut").alias("n_cut"), one(out, "n_gaps").alias("n_gaps"))
+    return r.select("n_texts", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_lost", "n_over", "n_cut", "n_gaps")])
+
+
+def p8_edited_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Recall: copies of every test item with each third word changed; (n_items, n_found)."""
+    (items,) = driver_tables(spark, d, "eval_items")
+    words = F.split(F.trim("text"), r"\s+")
+    other = F.transform(words, lambda w, k: F.when(k % 3 == 2, F.lit("changed")).otherwise(w))
+    copies = items.where("text IS NOT NULL").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("Some notes come first. "), F.array_join(other, " "), F.lit(" More notes follow.")).alias("text"))
+    found = leakage.found_leaks(copies, items).where("doc_id = item_id").select("item_id").distinct().withColumn("hit", F.lit(1))
+    return items.where("text IS NOT NULL").select("item_id").distinct().join(found, "item_id", "left").agg(F.count("*").alias("n_items"), F.count("hit").alias("n_found"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_hand_written(*driver_tables(spark, d, "files", "file_samples"))
 
@@ -66,7 +89,7 @@ def p9_held_out(spark: SparkSession, d: str) -> DataFrame:
     return subjects.held_out_agreement(*driver_tables(spark, d, "documents", "subjects", "doc_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_grounds, p4_found, p4_percentiles, p7_windows, p8_found, p9_found, p9_held_out)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_grounds, p4_found, p4_percentiles, p7_windows, p7_properties, p8_found, p8_edited_copies, p9_found, p9_held_out)}
 
 _P1 = r"""
 WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, package ORDER BY built_at DESC) AS rn FROM vocabularies) WHERE rn = 1),
@@ -91,5 +114,7 @@ UNION ALL SELECT source_field, item, 'common' FROM t WHERE records > 0.2 * (SELE
     "p4_found": _P4 + """
 SELECT tool_name, week, 'p' || p AS stat FROM r JOIN tool_limits l USING (tool_name)
 WHERE n >= 30 AND value > CASE p WHEN 50 THEN p50_limit_ms ELSE p95_limit_ms END""",
+    "p7_properties": "SELECT count(*)::BIGINT AS n_texts, 0::BIGINT AS n_lost, 0::BIGINT AS n_over, 0::BIGINT AS n_cut, 0::BIGINT AS n_gaps FROM documents",
+    "p8_edited_copies": "SELECT count(DISTINCT item_id)::BIGINT AS n_items, count(DISTINCT item_id)::BIGINT AS n_found FROM eval_items WHERE text IS NOT NULL",
     "p4_percentiles": _P4 + "SELECT tool_name, week, p, n::BIGINT AS n, value FROM r",
 }
