@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from codeloom.llm import handwritten, leakage
 from codeloom.operators import evaluate, evolve, hierarchy, search
 
 
@@ -27,34 +26,6 @@ def test_all_descendants_of_symbols(spark, rows):
     assert rows(hierarchy.symbol_descendants(d)) == [("sym:0", "sym:1", 1), ("sym:0", "sym:2", 2), ("sym:0", "sym:3", 1), ("sym:1", "sym:2", 1)]
 
 
-def test_pair_beside_many_repeated_quotations():
-    item = [f"i{k}" for k in range(60)]
-    text = " ".join([*item[:16], *["x"] * 12, *item[45:], *(["y"] * 12 + item[:29]) * 6])
-    # only the first two stretches, with 31 of 60 words in order, reach the half
-    items = leakage.Items([(1, " ".join(item))])
-    assert [i for i, _ in leakage.leaks(text, items)] == [1]
-    text = " ".join([*item[40:58], *["x"] * 12, *(item[14:43] + ["x"] * 12) * 6, *item[:12]])
-    assert leakage.leaks(text, items) == []
-
-
-def test_short_items_leak():
-    fill = ["plain", "words", "of", "a", "page"] * 9
-    items = leakage.Items([(5, "kob zan tir mel dov"), (2, "Lun Par"), (1, "Qix"), (0, "--"), (9, " ".join(f"i{k}" for k in range(16)))])
-    one = lambda *w: sorted(i for i, _ in leakage.leaks(" ".join([*fill, *w, *fill]), items))
-    assert one("kob", "zan", "tir", "mel", "dov") == [5] == one("zan", "tir", "mel")
-    assert one("lun", "par!") == [2] and one("QIX") == [1] and one() == [] == one("kob", "zan") == one("par", "lun")
-    assert one("i0", "i1", "i2", "i3", *fill, "i11", "i12", "i13", "i14") == [9]
-    assert one("i11", "i12", "i13", "i14", *fill, "i0", "i1", "i2", "i3") == []
-
-
-def test_marks_after_a_long_banner():
-    banner = "// A banner that says nothing of who wrote the file.\n" * 60
-    for mark, verdict in (("// Code generated by tool v1. DO NOT EDIT.", "generated"), ("// Copyright (c) other contributors. SPDX-License-Identifier: MIT", "third_party")):
-        head = handwritten.layout(banner + mark + "\n\nfunc run() {\n}\n")[4]
-        assert len(head) > 2000 and handwritten.header_verdict(head, "harbor") == verdict
-    assert handwritten.header_verdict(banner, "harbor") == ""
-
-
 def test_every_hashed_symbol_is_a_query(spark):
     names = ["flushLedger", "ledgerFlush", "splitLedger", "flush", "mergeInvoice"]
     s = spark.createDataFrame([(f"s{i:04d}", names[i * i % 5], ("function", "method", None)[i % 3], f"d{i % 7}/a.py") for i in range(900)], "id string, name string, kind string, path string")
