@@ -256,7 +256,7 @@ def held(item: Item, doc: Doc) -> float:
     if item.in_order(doc.words[linked].tolist()) < LINKED * SHARE * n:  # two stretches in order are no longer than this
         return 0.0
     _, two = covered(item.words, doc.words, np.unique(doc.first[hit]).tolist())
-    return two / n
+    return two / n if two > 1 or n == 1 else 0.0
 
 
 class Numbers:
@@ -437,7 +437,7 @@ def found_leaks(documents: DataFrame, eval_items: DataFrame, text: str = "text")
 
     Whole texts are searched; null and empty texts and items hold nothing. Rows that repeat an item_id count as one item
     each text of which may leak; rows that repeat a document give one row. Of an item of four words or fewer, single
-    words in order count as stretches. Nothing is found only where more than half of the links between the kept words
+    words in order count as stretches, but one word alone is a leak of a one-word item only. Nothing is found only where more than half of the links between the kept words
     of a leak are cut, by changes that lie side by side.
     """
     area = work_area(documents.sparkSession, "leaks")

@@ -87,7 +87,7 @@ def test_items_sent_or_joined(spark, rows, monkeypatch, limit):
 def test_short_items(spark, rows):
     """A verbatim short item is found; of four words or fewer, words in order count."""
     short = [(1, "quick zebra jumps over seven lazy dogs"), (2, "alpha beta gamma delta epsilon"), (3, "solitary"), (4, "left right")]
-    docs = [(10, FILL + " quick zebra jumps over seven lazy dogs " + FILL), (11, "so Alpha, beta; GAMMA delta epsilon!"), (12, FILL + " solitary"), (13, "right there"), (14, FILL), (15, "dogs lazy seven over jumps zebra quick"), (16, "quick zebra x jumps over " + FILL)]
+    docs = [(10, FILL + " quick zebra jumps over seven lazy dogs " + FILL), (11, "so Alpha, beta; GAMMA delta epsilon!"), (12, FILL + " solitary"), (13, "left, then right there"), (17, "right there"), (14, FILL), (15, "dogs lazy seven over jumps zebra quick"), (16, "quick zebra x jumps over " + FILL)]
     found = L.found_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(short, "item_id long, text string"))
     assert rows(found.select("doc_id", "item_id")) == [(10, 1), (11, 2), (12, 3), (13, 4), (16, 1)]
 
