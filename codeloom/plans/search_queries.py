@@ -114,25 +114,14 @@ def symbol_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return i.select(F.lit("identifier").alias("field"), F.col("name").alias("item"), "n", "kind").unionByName(w.select(F.lit("term").alias("field"), "item", "n", F.lit(None).cast("string").alias("kind")))
 
 
-@query(GRAPH + f""", w0 AS (SELECT id, name, kind, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS dir, list_distinct({_words('name')}) AS words FROM s),
-b AS (SELECT name AS query_id, arg_min({{'id': id, 'kind': kind, 'dir': dir, 'words': words}}, id) AS b FROM w0 WHERE name IN ('flushLedger','resolveSignal','splitInvoice') GROUP BY 1),
-w AS (SELECT id, kind, dir, unnest(words) AS word FROM w0), n AS (SELECT word, count(*) AS df FROM w GROUP BY 1),
-a AS (SELECT query_id, b.id AS own, b.kind AS k, b.dir AS d, unnest(b.words) AS word FROM b),
-h AS (SELECT query_id, w.id, round(sum(1 / ln(1.0 + df)) + CASE WHEN any_value(w.kind) = any_value(k) THEN 0.08 ELSE 0 END + CASE WHEN any_value(dir) = any_value(d) THEN 0.06 ELSE 0 END, 6) AS score
-  FROM a JOIN w USING (word) JOIN n USING (word) WHERE w.id <> own GROUP BY query_id, w.id),
-o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM h) SELECT query_id, id, score, rank FROM o WHERE rank <= 10""")
-def similar_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return search.similar_symbols(graph.load_graph(spark, d).symbols, ["flushLedger", "resolveSignal", "splitInvoice"])
-
-
 @query(GRAPH + f""", w0 AS (SELECT id, kind, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS dir, list_distinct({_words('name')}) AS words FROM s),
 w AS (SELECT id, kind, dir, unnest(words) AS word FROM w0), n AS (SELECT word, count(*) AS df FROM w GROUP BY 1),
 a AS (SELECT id AS query_id, kind AS k, dir AS d, word FROM w WHERE ('0x' || substr(md5(id), 1, 8))::BIGINT % 100 = 0),
 h AS (SELECT query_id, w.id, round(sum(1 / ln(1.0 + df)) + CASE WHEN any_value(w.kind) = any_value(k) THEN 0.08 ELSE 0 END + CASE WHEN any_value(dir) = any_value(d) THEN 0.06 ELSE 0 END, 6) AS score
   FROM a JOIN w USING (word) JOIN n USING (word) WHERE w.id <> query_id GROUP BY query_id, w.id),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM h) SELECT query_id, id, score, rank FROM o WHERE rank <= 10""")
-def similar_symbols_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As ``similar_symbols``, for every symbol whose hashed id is divisible by 100."""
+def similar_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols like each symbol whose hashed id is divisible by 100, among all symbols."""
     s = graph.load_graph(spark, d).symbols
     return search.similar_of(s, s.where(search.hashed()))
 

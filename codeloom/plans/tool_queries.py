@@ -71,24 +71,15 @@ def config_scan(spark: SparkSession, d: str) -> DataFrame:
     return rules.scan_lines(sample_lines(spark, d), SAMPLE_RULES, comments=True)
 
 
-@query(GRAPH + f""", {_COMMITS}, k AS (SELECT DISTINCT commit_id, file FROM commits), z AS (SELECT commit_id FROM k GROUP BY 1 HAVING count(*) <= 30), t AS (SELECT k.file, count(*) AS n FROM k JOIN z USING (commit_id) GROUP BY 1),
-p AS (SELECT a.file, b.file AS other, count(*)::BIGINT AS support FROM k a JOIN z USING (commit_id) JOIN k b ON a.commit_id = b.commit_id AND a.file <> b.file GROUP BY ALL HAVING count(*) >= 2),
-r AS (SELECT p.file, other FROM p JOIN t ON t.file = p.file WHERE round(support / n, 6) >= 0.3),
-c AS (SELECT 'file:' || s.repo_id || ':' || s.path AS file, count(DISTINCT e.src_id)::BIGINT AS n FROM e JOIN s ON s.id = e.dst_id WHERE e.kind IN {REFS} GROUP BY 1)
-SELECT f.id AS file, coalesce(c.n, 0) AS n_callers, (SELECT count(*) FROM r WHERE r.file = f.id)::BIGINT AS n_cochanged FROM f LEFT JOIN c ON c.file = f.id""")
-def change_kit(spark: SparkSession, d: str) -> DataFrame:
-    """Per file: distinct callers of its symbols and files that change with it."""
-    return _kit(spark, d, 30)
-
-
 @query(GRAPH + f""", {_COMMITS}, k AS (SELECT DISTINCT commit_id, file FROM commits), t AS (SELECT file, count(*) AS n FROM k GROUP BY 1),
 p AS (SELECT a.file, b.file AS other, count(*)::BIGINT AS support FROM k a JOIN k b ON a.commit_id = b.commit_id AND a.file <> b.file GROUP BY ALL HAVING count(*) >= 2),
 r AS (SELECT p.file, other FROM p JOIN t ON t.file = p.file WHERE round(support / n, 6) >= 0.3),
 c AS (SELECT 'file:' || s.repo_id || ':' || s.path AS file, count(DISTINCT e.src_id)::BIGINT AS n FROM e JOIN s ON s.id = e.dst_id WHERE e.kind IN {REFS} GROUP BY 1),
 m AS (SELECT file, count(*)::BIGINT AS n FROM r GROUP BY 1)
 SELECT f.id AS file, coalesce(c.n, 0) AS n_callers, coalesce(m.n, 0) AS n_cochanged FROM f LEFT JOIN c ON c.file = f.id LEFT JOIN m ON m.file = f.id""")
-def change_kit_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As ``change_kit``, over every indexing day of a repository: such a day grows with the table and is no sweeping commit."""
+def change_kit(spark: SparkSession, d: str) -> DataFrame:
+    """Per file: distinct callers of its symbols, and files that change with it. Every indexing day of a repository counts as a
+    commit, however many files it has: such a day grows with the table and is no sweeping commit."""
     return _kit(spark, d, None)
 
 

@@ -105,3 +105,53 @@ def test_changed_files(spark, rows):
     a = spark.createDataFrame([("r", "x", "1"), ("r", "y", "2"), ("r", "z", None)], "repo_id string, path string, hash string")
     b = spark.createDataFrame([("r", "x", "1"), ("r", "y", "3"), ("r", "z", None), ("r", "w", "4")], "repo_id string, path string, hash string")
     assert rows(incremental.changed_files(a, b)) == [("r", "w", "deleted"), ("r", "y", "changed"), ("r", "z", "changed")]
+
+
+def test_external_database_and_catalog(spark):
+    url = "jdbc:derby:memory:codeloom;create=true"
+    driver = "org.apache.derby.jdbc.EmbeddedDriver"
+    spark.range(5).selectExpr("id AS n").write.jdbc(url, "t", mode="overwrite", properties={"driver": driver})
+    got = trees.jdbc_query(spark, url, 'select "n" from t where "n" > 1', limit=2, driver=driver)
+    assert got.count() == 2 and {r[0] for r in got.collect()} <= {2, 3, 4}
+    from codeloom.operators.rules import NotReadOnly
+
+    with pytest.raises(NotReadOnly):
+        trees.jdbc_query(spark, url, "delete from t", driver=driver)
+    spark.range(1).selectExpr("id AS k", "'x' AS v").createOrReplaceTempView("cat_t")
+    assert {tuple(r)[:3] for r in trees.catalog_schema(spark, ["cat_t"]).collect()} == {("cat_t", "k", "bigint"), ("cat_t", "v", "string")}
+    spark.catalog.dropTempView("cat_t")
+
+
+def test_grep_diff_and_ignores(spark, repo):
+    hits = trees.grep(spark, str(repo / "pkg"), "helper")
+    assert [(r["line"], r["is_definition"]) for r in hits.collect()] == [(7, True), (5, False)] and trees.grep(spark, str(repo / "pkg"), "help").count() == 0
+    (repo / "pkg/b.go").write_text("package b\n")
+    d = trees.unified_diff(spark, str(repo)).first()
+    assert d["diff_id"] == "HEAD" and "-func Run() {" in d["text"]
+    (repo / "pkg/.gitignore").write_text("# c\n\n*.tmp\n!keep.tmp\n/only\n")
+    rules = trees.load_ignores(str(repo))
+    match = trees.compiled(rules)
+    assert match("skip.py") and match("pkg/a.tmp") and not match("pkg/keep.tmp") and not match("a.tmp") and match("pkg/x/b.tmp") and match("pkg/only") and not match("pkg/x/only")
+
+
+def test_transcripts_and_golden_cases(spark, tmp_path):
+    f = tmp_path / "t.jsonl"
+    f.write_text("\n".join(json.dumps(x) for x in [{"session": "a", "ts": "2024-01-01T00:00:00Z", "tokens": 5, "cumulative": False}, {"session": "a", "ts": "2024-01-01T00:00:01Z", "tokens": 7, "cumulative": False}, {"session": "b", "ts": "2024-01-01T00:00:00Z", "tokens": 5, "cumulative": True}, {"session": "b", "ts": "2024-01-01T00:00:09Z", "tokens": 9, "cumulative": True}, {"tokens": 3}]) + "\nbroken\n")
+    assert {tuple(r) for r in trees.session_totals(spark, str(f)).collect()} == {("a", 12), ("b", 9)}
+    g = tmp_path / "g.json"
+    g.write_text(json.dumps({"cases": [{"query": "q", "must_contain_path": ["a", "b"], "top_k": 3}]}))
+    assert [(r["query"], list(r["must_contain_path"]), r["top_k"]) for r in trees.golden_suite(spark, str(g)).collect()] == [("q", ["a", "b"], 3)]
+
+
+def test_rename_scale_and_session_batches(spark, rows, tmp_path):
+    from codeloom.operators import search, upsert
+
+    s = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, name string")
+    assert rows(upsert.rename_symbol(s, "2", "c")) == [("1", "a"), ("2", "c")]
+    d = spark.createDataFrame([("q", 1.0), ("q", 3.0), ("r", 2.0)], "query_id string, score double")
+    assert rows(search.min_max(d)) == [("q", 0.0), ("q", 1.0), ("r", 1.0)]
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    e = spark.createDataFrame([("s", t, "b"), ("s", t + dt.timedelta(milliseconds=100), "a"), ("s", t + dt.timedelta(seconds=60), "c")], "source string, ts timestamp, path string")
+    assert sorted(list(r["paths"]) for r in incremental.session_batches(e).collect()) == [["a", "b"], ["c"]]
