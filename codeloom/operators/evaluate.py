@@ -52,12 +52,30 @@ def set_accuracy(truth: DataFrame, got: DataFrame, by: str) -> DataFrame:
     return c.select(by, F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1"))
 
 
+PARTS = 1024
+
+
 def index_percentile(d: DataFrame, by: list[str], value: str, ps: list[int]) -> DataFrame:
-    """Sorted value at index floor(p/100*(n-1)) per group, by value counts and running sums (no list of all values)."""
+    """Sorted value at index floor(p/100*(n-1)) per group, exact, for numeric values.
+
+    Value counts are added up in ``PARTS`` equal parts of a group's span first; only those of the part that holds the
+    wanted rank are then looked at one by one, so no task sees all values of a group.
+    """
+    from functools import reduce
+
     from pyspark.sql import Window
 
     c = d.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    span = c.groupBy(*by).agg(F.min("v").alias("lo"), ((F.max("v") - F.min("v")) / PARTS).alias("step"))
+    same = lambda a: reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"_{k}")), by, F.lit(True)) & a
+    apart = lambda d_: d_.withColumnsRenamed({k: f"_{k}" for k in by})
+    c = c.join(apart(span), same(F.lit(True)))
+    c = c.select(*by, "v", "n", F.when(F.col("step") > 0, F.floor((F.col("v") - F.col("lo")) / F.col("step"))).otherwise(0).alias("part"))
+    parts = c.groupBy(*by, "part").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by)
-    c = c.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("v")))
-    c = c.withColumn("p", F.explode(F.array(*[F.lit(p) for p in ps]))).withColumn("at", F.expr("(total - 1) * p div 100"))
-    return c.where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))).select(*by, "p", F.col("v").alias("value"))
+    parts = parts.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("part")))
+    parts = parts.withColumn("p", F.explode(F.array(*[F.lit(p) for p in ps]))).withColumn("at", F.expr("(total - 1) * p div 100"))
+    held = parts.where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))).select(*by, "part", "p", (F.col("at") - F.col("upto") + F.col("n")).alias("at"))
+    v = c.join(apart(held).withColumnRenamed("part", "_part"), same(F.col("part") == F.col("_part")))
+    v = v.withColumn("upto", F.sum("n").over(Window.partitionBy(*by, "p").orderBy("v")))
+    return v.where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))).select(*by, "p", F.col("v").alias("value"))

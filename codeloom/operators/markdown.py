@@ -63,7 +63,15 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def within_budget(scored: DataFrame, budget: int) -> DataFrame:
-    """scored(group, pos, score, n_tokens): best first until the budget would be passed; the first one always stays."""
+    """scored(group, pos, score, n_tokens): best first until the budget would be passed; the first one always stays.
+
+    Tokens are added up by score first, which tells the least score that can still be within the budget of a group: rows
+    below it are dropped before any group meets in a task.
+    """
+    by_score = scored.groupBy("group", "score").agg(F.sum("n_tokens").alias("n"))
+    ahead = Window.partitionBy("group").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    least = by_score.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).where(F.col("ahead") <= budget).groupBy(F.col("group").alias("g")).agg(F.min("score").alias("least"))
+    scored = scored.join(least, F.col("group").eqNullSafe(F.col("g"))).where(F.col("score") >= F.col("least")).drop("g", "least")
     w = Window.partitionBy("group").orderBy(F.desc("score"), "pos")
     d = scored.withColumn("used", F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w))
     return d.where((F.col("used") <= budget) | (F.col("rank") == 1))

@@ -530,10 +530,11 @@ def centrality_only(spark: SparkSession, d: str) -> DataFrame:
     return evolve.centrality_only(centrality_of(graph.load_graph(spark, d)))
 
 
-@query("""WITH c AS (SELECT DISTINCT l_orderkey AS commit_id, p_brand AS file FROM lineitem JOIN part ON l_partkey = p_partkey),
-t AS (SELECT file, count(*) AS n FROM c GROUP BY 1), p AS (SELECT a.file, b.file AS other, count(*)::BIGINT AS support FROM c a JOIN c b ON a.commit_id = b.commit_id AND a.file <> b.file GROUP BY ALL HAVING count(*) >= 3)
-SELECT p.file, other, support, round(support / n, 6) AS confidence FROM p JOIN t ON t.file = p.file WHERE round(support / n, 6) >= 0.05""")
+@query("""WITH k AS (SELECT DISTINCT l_orderkey AS commit_id, p_name AS file FROM lineitem JOIN part ON l_partkey = p_partkey), z AS (SELECT commit_id FROM k GROUP BY 1 HAVING count(*) <= 5), c AS (SELECT * FROM k JOIN z USING (commit_id)),
+t AS (SELECT file, count(*) AS n FROM c GROUP BY 1), p AS (SELECT a.file, b.file AS other, count(*)::BIGINT AS support FROM c a JOIN c b ON a.commit_id = b.commit_id AND a.file <> b.file GROUP BY ALL HAVING count(*) >= 20)
+SELECT p.file, other, support, round(support / n, 6) AS confidence FROM p JOIN t ON t.file = p.file WHERE round(support / n, 6) >= 0.048""")
 def cochange(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts that are ordered together, orders of more than five names left out."""
     lineitem, part = driver_tables(spark, d, "lineitem", "part")
-    c = lineitem.select("l_orderkey", "l_partkey").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    return evolve.cochange(c.select(F.col("l_orderkey").alias("commit_id"), F.col("p_brand").alias("file")), min_confidence=0.05)
+    c = lineitem.select("l_orderkey", "l_partkey").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    return evolve.cochange(c.select(F.col("l_orderkey").alias("commit_id"), F.col("p_name").alias("file")), 5, 20, 0.048)

@@ -193,3 +193,28 @@ def test_contracts_and_memory(spark, rows):
     assert rows(contracts.links(contracts.discover(t))) == [("http", "/v1/users", 2, 2)]
     m = spark.createDataFrame([("1", 1, "fix the ledger", 0.5), ("2", 2, None, 0.1)], "id string, ts int, text string, weight double")
     assert [r["id"] for r in usage.search_memory(m, "ledger bug").collect()] == ["1"]
+
+
+def test_percentiles_of_groups_equal_sorting(spark):
+    import random
+
+    from codeloom.operators import evaluate
+
+    rnd = random.Random(6)
+    data = [(rnd.choice(["a", "b", None]), rnd.choice([rnd.randint(-5, 50), int(rnd.paretovariate(0.6)), 2.5])) for _ in range(1500)] + [("one", 3), ("none", None)]
+    d = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in data], "g string, v double")
+    got = {(r["g"], r["p"]): r["value"] for r in evaluate.index_percentile(d, ["g"], "v", [0, 50, 95, 100]).collect()}
+    want = {}
+    for g in ("a", "b", None, "one"):
+        v = sorted(float(x) for k, x in data if k == g and x is not None)
+        want |= {(g, p): v[p * (len(v) - 1) // 100] for p in (0, 50, 95, 100)}
+    assert got == want and evaluate.index_percentile(d.where("false"), ["g"], "v", [50]).count() == 0
+
+
+def test_budget_keeps_the_best(spark):
+    from codeloom.operators import markdown
+
+    rows_ = [(g, i, s, n) for g in ("a", None) for i, (s, n) in enumerate([(5, 4), (9, 3), (5, 2), (1, 1), (7, 9)])] + [("big", 0, 1, 99)]
+    d = spark.createDataFrame(rows_, "`group` string, pos long, score int, n_tokens long")
+    got = sorted((str(r["group"]), r["pos"]) for r in markdown.within_budget(d, 12).collect())
+    assert got == [("None", 1), ("None", 4), ("a", 1), ("a", 4), ("big", 0)]
