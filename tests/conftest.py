@@ -3,6 +3,8 @@ import sys
 
 import pytest
 
+# many small plans: compiling them well takes longer than running them
+os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--driver-memory 4g --driver-java-options -XX:TieredStopAtLevel=1 pyspark-shell")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
