@@ -2,10 +2,11 @@
 
 The store is a folder with the entries of each record as last counted (in record buckets), the counts of each item (in
 item buckets) and manifests. ``apply`` takes a batch of added, changed and deleted records, turns only those into signed
-changes (what a record held before counts minus, what it holds now plus), adds the changes up, and reads and rewrites
-only the buckets of either kind that they touch. New buckets lie beside the old ones until a manifest of the next version
-names them, counts and records together: a batch that failed half-way has changed nothing and can be given again. A store
-is opened again, by any session, from its folder.
+changes (what a record held before counts minus, what it holds now plus), adds the changes up, and reads only the buckets
+of either kind that they touch: of counts these are rewritten, beside the records of a bucket the changed ones are laid
+down with the batch's version. New files count once a manifest of the next version names them, counts and records
+together: a batch that failed half-way has changed nothing and can be given again. A store is opened again, by any
+session, from its folder.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from codeloom.runtime import delete, names_in, read_text, work_area, write_new_t
 SPACE = " \t\n\x0b\f\r"
 
 ENTRY = "array<struct<source_field:string,item:string,count:bigint>>"
-HELD = f"record_key string, entries {ENTRY}"
+HELD = f"record_key string, entries {ENTRY}, version bigint"
 COUNTS = "source_field string, item string, occurrences bigint, records bigint"
 #: Bytes of a batch, as written, a bucket is made for; a batch that fills buckets this many times over makes more of them.
 BUCKET_BYTES, GROWTH = 4_000_000, 4
+#: Batches whose records may lie beside each other in a record bucket before they are made into one.
+BESIDE = 8
 MANIFEST = re.compile(r"manifest-(\d+)\.json")
 
 
@@ -46,35 +49,38 @@ class TermCounts:
     def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
         self.spark, self.folder = spark, folder
         self.version, self.records, self.buckets = 0, 0, buckets or 0
-        # bucket -> folder of its newest rows; as many as there are buckets
-        self.counted: dict[int, str] = {}
-        self.held: dict[int, str] = {}
+        # bucket -> folders of its rows: one of counts, up to BESIDE of records
+        self.counted: dict[int, list[str]] = {}
+        self.held: dict[int, list[str]] = {}
         known = [int(m[1]) for n in names_in(spark, folder) if (m := MANIFEST.fullmatch(n))]
         if known:
             m = json.loads(read_text(spark, f"{folder}/manifest-{max(known)}.json"))
             self.version, self.records, self.buckets = m["version"], m["records"], m["buckets"]
             self.counted, self.held = [{int(b): at for b, at in m[k].items()} for k in ("counted", "held")]
 
-    def _read(self, parts: dict[int, str], buckets: list[int], schema: str) -> DataFrame:
-        paths = sorted(f"{self.folder}/{parts[b]}" for b in buckets if b in parts)
+    def _read(self, parts: dict[int, list[str]], buckets: list[int], schema: str) -> DataFrame:
+        paths = sorted(f"{self.folder}/{p}" for b in buckets for p in parts.get(b, []))
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _write(self, rows: DataFrame, name: str, touched: list[int], parts: dict[int, str]) -> dict[int, str]:
-        """Write rows (with ``bucket``) as the new contents of the touched buckets; where the buckets then lie."""
+    def _write(self, rows: DataFrame, name: str, touched: list[int], parts: dict[int, list[str]]) -> dict[int, list[str]]:
+        """Write rows (with ``bucket``) as the new contents of the touched buckets, beside those of others; where all lie."""
         name = f"{name}-{uuid.uuid4().hex[:8]}"  # another writer of the same version writes elsewhere
-        rows.repartition(max(1, len(touched)), "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        rows.repartition(self.buckets, "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/{name}")
         there = {int(n.split("=", 1)[1]): f"{name}/{n}" for n in names_in(self.spark, f"{self.folder}/{name}") if n.startswith("bucket=")}
-        return {b: at for b, at in parts.items() if b not in touched} | there
+        kept = {b: at for b, at in parts.items() if b not in touched}
+        return kept | {b: [*kept.get(b, []), at] for b, at in there.items()}
 
     def _bucket(self, *cols: str) -> Column:
         return F.pmod(F.xxhash64(*cols), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def _changes(self, entries: DataFrame) -> DataFrame:
         """entries(sign, sorted entries) -> (source_field, item, occurrences, records); an item twice in a record is one record."""
-        e = entries.select("sign", F.col("entries").alias("e"), F.posexplode("entries").alias("at", "x"))
-        before = F.when(F.col("at") > 0, F.element_at("e", F.col("at")))  # element_at counts from 1: the entry before
-        first = F.when(before.isNotNull() & (before["source_field"] == F.col("x.source_field")) & (before["item"] == F.col("x.item")), 0).otherwise(1)
-        e = e.select("x.source_field", "x.item", (F.col("sign") * F.col("x.count")).alias("c"), (F.col("sign") * first).alias("r"))
+        x = F.col("entries")
+        shifted = F.concat(F.array(F.lit(None).cast("struct<source_field:string,item:string,count:bigint>")), F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))))
+        # each entry beside the one before it: the list itself is not carried along with every entry
+        e = entries.where(F.size(x) > 0).select("sign", F.explode(F.arrays_zip(x.alias("x"), shifted.alias("y"))).alias("z")).select("sign", "z.x", "z.y")
+        same = (F.col("y.source_field") == F.col("x.source_field")) & (F.col("y.item") == F.col("x.item"))
+        e = e.select("x.source_field", "x.item", (F.col("sign") * F.col("x.count")).alias("c"), F.when(F.coalesce(same, F.lit(False)), 0).otherwise(F.col("sign")).alias("r"))
         return e.groupBy("source_field", "item").agg(F.sum("c").alias("occurrences"), F.sum("r").cast("bigint").alias("records"))
 
     def apply(self, batch: DataFrame) -> None:
@@ -93,16 +99,14 @@ class TermCounts:
         everything = wanted > GROWTH * self.buckets
         if everything:  # more buckets: all of them are written anew
             self.buckets, counted, held = wanted, {}, {}
-        keyed = new.withColumn("bucket", self._bucket("record_key"))
         if was:
-            touched = list(range(self.buckets)) if everything else [r[0] for r in keyed.select("bucket").distinct().collect()]
-            old = self._read(was, list(was) if everything else touched, HELD).select("record_key", F.col("entries").alias("was"))
-            both = new.withColumn("given", F.lit(True)).join(old, "record_key", "full")
+            touched = [r[0] for r in new.select(self._bucket("record_key")).distinct().collect()] if not everything else list(was)
+            old = self._read(was, touched, HELD).join(new.select("record_key"), "record_key", "left_semi")
+            both = new.join(_newest(old).withColumnRenamed("entries", "was"), "record_key", "left")
             both = area.put(both, "both")
         else:
-            touched = list(range(self.buckets))
-            both = new.select("record_key", "now", F.lit(True).alias("given"), F.lit(None).cast(ENTRY).alias("was"))
-        changed = both.where("given AND NOT (was <=> now)")
+            both = new.withColumn("was", F.lit(None).cast(ENTRY))
+        changed = both.where("NOT (was <=> now)")
         came = changed.agg(F.count("*"), F.count_if(F.col("was").isNull()), F.count_if(F.col("now").isNull())).first()
         if not came[0]:
             area.close()
@@ -120,8 +124,18 @@ class TermCounts:
         else:
             dirty = list(range(self.buckets))
         counted = self._write(delta.withColumn("bucket", self._bucket("source_field", "item")), f"counts-{turn}", dirty, counted)
-        kept = both.select("record_key", F.when(F.col("given"), F.col("now")).otherwise(F.col("was")).alias("entries")).where("entries IS NOT NULL")
-        held = self._write(kept.withColumn("bucket", self._bucket("record_key")), f"held-{turn}", touched, held)
+        fresh = changed.select("record_key", F.col("now").alias("entries"), F.lit(turn).cast("bigint").alias("version"))
+        bucket = self._bucket("record_key")
+        if everything:
+            whole = _newest(self._read(was, list(was), HELD).unionByName(fresh)).where("entries IS NOT NULL").withColumn("version", F.lit(turn).cast("bigint"))
+            held = self._write(whole.withColumn("bucket", bucket), f"held-{turn}", list(range(self.buckets)), held)
+        else:
+            crowded = [b for b, at in was.items() if len(at) >= BESIDE]
+            rows = fresh if was else fresh.where("entries IS NOT NULL")
+            if crowded:
+                again = self._read(was, crowded, HELD).unionByName(fresh.where(bucket.isin(crowded)))
+                rows = fresh.where(~bucket.isin(crowded)).unionByName(_newest(again).where("entries IS NOT NULL").withColumn("version", F.lit(turn).cast("bigint")))
+            held = self._write(rows.withColumn("bucket", bucket), f"held-{turn}", crowded, held)
         records = self.records + came[1] - came[2]
         manifest = {"version": turn, "records": records, "buckets": self.buckets, "counted": counted, "held": held}
         write_new_text(self.spark, f"{self.folder}/manifest-{turn}.json", json.dumps(manifest))
@@ -130,7 +144,7 @@ class TermCounts:
 
     def vacuum(self) -> None:
         """Delete buckets and manifests of older versions, which readers of this version do not need."""
-        live = {*self.counted.values(), *self.held.values()}
+        live = {p for parts in (self.counted, self.held) for at in parts.values() for p in at}
         for n in names_in(self.spark, self.folder):
             m = MANIFEST.fullmatch(n)
             if m and int(m[1]) < self.version:
@@ -151,6 +165,11 @@ class TermCounts:
         return self.counts().withColumn("marks", F.filter(F.array(F.when(rare, F.lit("rare")), F.when(common, F.lit("common"))), lambda m: m.isNotNull()))
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    """(record_key, entries) of the newest version of each record; null entries: deleted."""
+    return rows.groupBy("record_key").agg(F.max_by("entries", "version").alias("entries"))
+
+
 def vocabulary_batches(vocabularies: DataFrame) -> list[DataFrame]:
     """The table as two batches: each record's first build, then the current one of those built again."""
     key = F.concat_ws("\x00", "repo_id", "package")

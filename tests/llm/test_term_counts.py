@@ -149,3 +149,16 @@ def test_buckets_grow_with_the_batches(spark, monkeypatch):
     monkeypatch.setattr(TC, "BUCKET_BYTES", 50)
     state.apply(spark.createDataFrame([(k, held[k], False) for k in list(held)[4:]], SCHEMA))
     assert state.buckets > 16 and counts(state) == recount(held) == counts(TC.TermCounts(spark, at)) and state.records == 40
+
+
+def test_records_of_many_batches(spark, monkeypatch):
+    """More batches than may lie beside each other, with records changed, deleted and added again."""
+    monkeypatch.setattr(TC, "BESIDE", 2)
+    at, held, rnd = work_area(spark, "t").root, {}, random.Random(9)
+    for turn in range(5):
+        batch = {f"k{rnd.randrange(8)}": None if rnd.random() < 0.3 else [("term", rnd.choice("abc"), turn + 1)] for _ in range(4)}
+        state = TC.TermCounts(spark, at, 2)
+        state.apply(spark.createDataFrame([(k, e, e is None) for k, e in batch.items()], SCHEMA))
+        held = {k: e for k, e in (held | batch).items() if e is not None}
+        again = TC.TermCounts(spark, at)
+        assert counts(again) == recount(held) and again.records == len(held) and all(len(x) <= 3 for x in again.held.values())
