@@ -83,17 +83,20 @@ class TermCounts:
         e = e.select("x.source_field", "x.item", (F.col("sign") * F.col("x.count")).alias("c"), F.when(F.coalesce(same, F.lit(False)), 0).otherwise(F.col("sign")).alias("r"))
         return e.groupBy("source_field", "item").agg(F.sum("c").alias("occurrences"), F.sum("r").cast("bigint").alias("records"))
 
-    def apply(self, batch: DataFrame) -> None:
+    def apply(self, batch: DataFrame, written: int | None = None) -> None:
         """batch(record_key STRING, entries, deleted BOOLEAN), one row per added, changed or deleted record.
 
         A record whose entries did not change causes no delta; deleting an unknown record does nothing; a null key is no
-        record. A record has one row in a batch. A batch that changes nothing leaves the store as it is.
+        record. A record has one row in a batch. A batch that changes nothing leaves the store as it is. ``written`` says
+        that the batch is read from a table that stays as it is, of so many bytes, with sorted entries; any other batch is
+        written first, as it is read more than once.
         """
         area = work_area(self.spark, "terms")
         turn = self.version + 1
-        new = batch.where("record_key IS NOT NULL").select("record_key", F.when(F.col("deleted"), None).otherwise(F.sort_array("entries")).alias("now"))
-        new = area.put(new, "batch")
-        wanted = -(-area.bytes("batch") // BUCKET_BYTES)
+        new = batch.where("record_key IS NOT NULL").select("record_key", F.when(F.col("deleted"), None).otherwise(F.col("entries") if written is not None else F.sort_array("entries")).alias("now"))
+        if written is None:
+            new = area.put(new, "batch")
+        wanted = -(-(area.bytes("batch") if written is None else written) // BUCKET_BYTES)
         counted, held, was, before = self.counted, self.held, self.held, self.buckets
         self.buckets = self.buckets or max(4, wanted)
         everything = wanted > GROWTH * self.buckets
@@ -170,14 +173,17 @@ def _newest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("record_key").agg(F.max_by("entries", "version").alias("entries"))
 
 
-def vocabulary_batches(vocabularies: DataFrame) -> list[DataFrame]:
-    """The table as two batches: each record's first build, then the current one of those built again."""
+def vocabulary_batches(vocabularies: DataFrame) -> tuple[list[DataFrame], int]:
+    """The table as two batches, each record's first build, then the current one of those built again; and the bytes of
+    the table they are read from."""
     key = F.concat_ws("\x00", "repo_id", "package")
     v = vocabularies.where("repo_id IS NOT NULL AND package IS NOT NULL").select(key.alias("record_key"), F.struct("built_at", "identifiers", "terms").alias("build"))
     builds = v.groupBy("record_key").agg(F.min("build").alias("first"), F.max("build").alias("last"))
-    builds = work_area(vocabularies.sparkSession, "builds").put(builds.select("record_key", "first", F.when(~F.col("last").eqNullSafe(F.col("first")), F.col("last")).alias("last")), "builds")
-    entries = lambda b: F.concat(cleaned("identifier", F.col(f"{b}.identifiers"), "text", False), cleaned("term", F.col(f"{b}.terms"), "term", True)).cast(ENTRY)
-    return [builds.where(f"{b} IS NOT NULL").select("record_key", entries(b).alias("entries"), F.lit(False).alias("deleted")) for b in ("first", "last")]
+    entries = lambda b: F.sort_array(F.concat(cleaned("identifier", F.col(f"{b}.identifiers"), "text", False), cleaned("term", F.col(f"{b}.terms"), "term", True)).cast(ENTRY))
+    area = work_area(vocabularies.sparkSession, "builds")
+    again = F.when(~F.col("last").eqNullSafe(F.col("first")), entries("last"))
+    builds = area.put(builds.select("record_key", entries("first").alias("first"), again.alias("last")), "builds")
+    return [builds.where(f"{b} IS NOT NULL").select("record_key", F.col(b).alias("entries"), F.lit(False).alias("deleted")) for b in ("first", "last")], area.bytes("builds")
 
 
 def vocabulary_counts(vocabularies: DataFrame, folder: str | None = None) -> TermCounts:
@@ -185,6 +191,7 @@ def vocabulary_counts(vocabularies: DataFrame, folder: str | None = None) -> Ter
     in as changes. A new store in ``folder``, or in the work area, if none is given."""
     spark = vocabularies.sparkSession
     state = TermCounts(spark, folder or work_area(spark, "counts").root)
-    for batch in vocabulary_batches(vocabularies):
-        state.apply(batch)
+    batches, size = vocabulary_batches(vocabularies)
+    for batch in batches:
+        state.apply(batch, size)
     return state
