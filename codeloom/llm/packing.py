@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import os
 from bisect import insort
 from functools import lru_cache
 
@@ -39,12 +40,17 @@ def encoding(path: str = TOKENIZER, split: str = SPLIT):
 
 
 def token_counts(texts: DataFrame, key: str, text: str, path: str = TOKENIZER) -> DataFrame:
-    """(key, n_tokens); a null or empty text has none. Whole texts are measured."""
+    """(key, n_tokens); a null or empty text has none. Whole texts are measured. The vocabulary file goes to the executors
+    with the job, where the driver has it; else each must have it at the path."""
+    if os.path.exists(path):
+        texts.sparkSession.sparkContext.addFile(path)
 
     def measure(batches):
         import pyarrow as pa
+        from pyspark import SparkFiles
 
-        enc = encoding(path)
+        sent = SparkFiles.get(os.path.basename(path))
+        enc = encoding(sent if os.path.exists(sent) else path)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["k", "n_tokens"])
