@@ -163,9 +163,14 @@ def finish_check(spark: SparkSession, d: str) -> DataFrame:
     return review.finish_check(findings_of(spark, d), review.test_gap(g, c), review.contract_guard(g, c))
 
 
-@query()
+@query(GRAPH + """, x AS (SELECT id, path, coalesce(language, 'none') AS language, regexp_extract(path, '[^/]*$') AS title FROM f WHERE regexp_matches(path, '^[A-Za-z0-9_./-]+$') AND NOT ends_with(path, '/'))
+SELECT id, 1 AS pos, language AS section, title, path AS url, 'in ' || language AS note FROM x""")
 def document_links(spark: SparkSession, d: str) -> DataFrame:
-    (documents,) = driver_tables(spark, d, "documents")
-    return docs.link_index(documents.select(F.col("doc_id").alias("id"), "text"))
+    """Link lists read back: one made of each file, with a heading, a link and a note."""
+    f = graph.load_graph(spark, d).files.where(F.col("path").rlike("^[A-Za-z0-9_./-]+$") & ~F.col("path").endswith("/"))
+    language, title = F.coalesce("language", F.lit("none")), F.substring_index("path", "/", -1)
+    text = F.concat(F.lit("## "), language, F.lit("\n- ["), title, F.lit("]("), "path", F.lit("): in "), language, F.lit("\nno link here"))
+    return docs.link_index(f.select("id", text.alias("text")))
+
 
 
