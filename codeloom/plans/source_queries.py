@@ -33,7 +33,7 @@ def _names(language: str) -> str:
     return f"WHEN language = '{language}' THEN CASE {' '.join(cases)} END"
 
 
-@query(GRAPH + f", {_LINES}, n AS (SELECT repo_id, path, line, CASE {' '.join(_names(x) for x in LANGUAGES)} END AS name FROM l) SELECT repo_id, path, line AS line_start, name FROM n WHERE name IS NOT NULL")
+@query(GRAPH + f", {_LINES}, n AS MATERIALIZED (SELECT repo_id, path, line, CASE {' '.join(_names(x) for x in LANGUAGES)} END AS name FROM l) SELECT repo_id, path, line AS line_start, name FROM n WHERE name IS NOT NULL")
 def extracted_definitions(spark: SparkSession, d: str) -> DataFrame:
     rows = extract.extract(sample_files(spark, d)).where("row = 'symbol'")
     return rows.select("repo_id", "path", "line_start", "name")
@@ -56,7 +56,7 @@ def _kinds(language: str) -> str:
     return f"WHEN language = '{language}' THEN CASE {' '.join(cases)} END"
 
 
-@query(GRAPH + f", {_LINES}, n AS (SELECT repo_id, path, line, CASE {' '.join(_kinds(x) for x in LANGUAGES)} END AS found FROM l), k AS (SELECT repo_id, path, line AS line_start, split_part(found, '|', 1) AS kind, regexp_extract(found, '[|](.*)$', 1) AS name FROM n WHERE found IS NOT NULL) SELECT * FROM k WHERE kind IN ('class', 'interface', 'enum') AND regexp_matches(name, '(Worker|Handler|Ledger)')")
+@query(GRAPH + f", {_LINES}, n AS MATERIALIZED (SELECT repo_id, path, line, CASE {' '.join(_kinds(x) for x in LANGUAGES)} END AS found FROM l), k AS (SELECT repo_id, path, line AS line_start, split_part(found, '|', 1) AS kind, regexp_extract(found, '[|](.*)$', 1) AS name FROM n WHERE found IS NOT NULL) SELECT * FROM k WHERE kind IN ('class', 'interface', 'enum') AND regexp_matches(name, '(Worker|Handler|Ledger)')")
 def defined_types(spark: SparkSession, d: str) -> DataFrame:
     """Structural search: types in source texts by kind and name."""
     rows = extract.extract(sample_files(spark, d)).where("row = 'symbol'")
